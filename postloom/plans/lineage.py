@@ -1,0 +1,24 @@
+"""Cutting lineage in shared storage."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a small intermediate that several branches read.
+
+    The cluster names the shared folder in `spark.checkpoint.dir`. Only a local session without
+    that setting gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor reaches")
+            shared = tempfile.mkdtemp(prefix="postloom-")
+        context.setCheckpointDir(shared)
+    return df.checkpoint()
