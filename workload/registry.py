@@ -254,11 +254,11 @@ _PLAIN_DESCRIPTION = """trim(replace(replace(replace(replace(description, '<p>',
 
 
 @query(
-    f"""SELECT {_DETAIL}, {_PLAIN_DESCRIPTION} FROM postings WHERE job_uid = '77-6'
+    f"""SELECT {_DETAIL}, {_PLAIN_DESCRIPTION} FROM postings WHERE job_uid = '5-7'
         ORDER BY CAST(raw_id AS BIGINT) DESC LIMIT 1"""
 )
 def job_detail(spark, sf_dir):
-    return filters.job_detail(postings(spark, sf_dir), "77-6")
+    return filters.job_detail(postings(spark, sf_dir), "5-7")
 
 
 @query(
@@ -578,7 +578,74 @@ def json_decode(spark, sf_dir):
 # Context
 
 
-@query()
+def _json_members(fields: list[str], depth: int = 0) -> str:
+    pad, end = "  " * (depth + 1), "  " * depth
+    joined = f" || ',' || chr(10) || '{pad}' || ".join(fields)
+    return f"'{{' || chr(10) || '{pad}' || {joined} || chr(10) || '{end}}}'"
+
+
+def _json_items(items: str, depth: int, brackets: str = "[]") -> str:
+    pad, end = "  " * (depth + 1), "  " * depth
+    return (
+        f"'{brackets[0]}' || chr(10) || '{pad}' || array_to_string({items}, ',' || chr(10) || '{pad}')"
+        f" || chr(10) || '{end}{brackets[1]}'"
+    )
+
+
+def _first(expr: str) -> str:
+    return f"list({expr} ORDER BY {_STORED})[1:30]"
+
+
+_NAMES = f"""'"categories": ' || {_json_items(_first("CAST(to_json(category) AS VARCHAR)"), 3)}"""
+_VALUES = _json_items(_first("CAST(value AS VARCHAR)"), 3)
+_AVERAGES = _json_items(_first("coalesce(CAST(average_salary_wan AS VARCHAR), 'null')"), 3)
+_SUMMARY = f"""SELECT scope_id, count(*) AS job_count,
+               count(DISTINCT CASE WHEN trim(company) <> '' THEN company END) AS company_count,
+               count(DISTINCT CASE WHEN trim(city) <> '' THEN city END) AS city_count,
+               {_AVG} AS average_annual_salary_wan,
+               count(salary_low_wan + salary_high_wan) AS salary_job_count
+        FROM typed GROUP BY scope_id"""
+_SUMMARY_FIELDS = [
+    "job_count", "company_count", "city_count", "average_annual_salary_wan", "salary_job_count"
+]
+_SUMMARY_BLOCK = _json_members(
+    [f"""'"{c}": ' || coalesce(CAST({c} AS VARCHAR), 'null')""" for c in _SUMMARY_FIELDS]
+    + [f"""'"data_updated_at": "{STAMP}"'"""],
+    2,
+)
+_SAMPLE_BLOCK = _json_members(
+    [f"""'"{n}": ' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null')""" for c, n in S.LIST_FIELDS.items()], 2
+)
+_TYPE_ORDER = "list_position([" + ", ".join(f"'{t}'" for t in S.STAT_TYPES) + "], stat_type)"
+_CONTEXT = _json_members(
+    [
+        """'"scope_id": "' || scope_id || '"'""",
+        "'\"statistics\": ' || statistics",
+        "'\"job_samples\": ' || samples",
+    ]
+)
+
+
+@query(
+    f"""SELECT scope_id, CASE WHEN length(t) > {S.CONTEXT_LIMIT}
+               THEN substr(t, 1, {S.CONTEXT_LIMIT}) || '{S.CONTEXT_TRUNCATED}' ELSE t END AS context
+        FROM (SELECT scope_id, {_CONTEXT} AS t FROM (
+            SELECT scope_id, {_json_items(f"list('\"' || stat_type || '\": ' || block ORDER BY {_TYPE_ORDER})", 1, "{}")} AS statistics
+            FROM (
+                SELECT scope_id, stat_type, CASE WHEN stat_type = 'city'
+                       THEN {_json_members([_NAMES, f"""'"job_counts": ' || {_VALUES}""", f"""'"average_salary_wan": ' || {_AVERAGES}"""], 2)}
+                       ELSE {_json_members([_NAMES, f"""'"values": ' || {_VALUES}"""], 2)} END AS block
+                FROM cats GROUP BY scope_id, stat_type
+                UNION ALL SELECT scope_id, 'summary', {_SUMMARY_BLOCK} FROM ({_SUMMARY})
+            ) GROUP BY scope_id
+        ) JOIN (
+            SELECT scope_id, {_json_items("list(block ORDER BY rn)", 1)} AS samples FROM (
+                SELECT scope_id, rn, {_SAMPLE_BLOCK} AS block FROM (
+                    SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY {_NEWEST}) AS rn FROM postings
+                ) WHERE rn <= 5
+            ) GROUP BY scope_id
+        ) USING (scope_id))"""
+)
 def context_pack(spark, sf_dir):
     source = postings(spark, sf_dir)
     detail = typed(source)
@@ -587,10 +654,6 @@ def context_pack(spark, sf_dir):
     return context.scope_context(blocks, context.sample_blocks(source))
 
 
-def _json_members(sql_fields: list[str]) -> str:
-    return "'{' || chr(10) || '  ' || " + " || ',' || chr(10) || '  ' || ".join(sql_fields) + " || chr(10) || '}'"
-
-
 _JOB_FIELDS = [
     f"""'"{n}": ' || coalesce(CAST(to_json({c}) AS VARCHAR), 'null')""" for c, n in S.DETAIL_FIELDS.items()
 ]
