@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.dedup import latest
+from postloom.operators.lookup import left_lookup
 
 
 def assemble(posting: DataFrame, company: DataFrame, recruiter: DataFrame) -> DataFrame:
-    """Left joins on company name and recruiter id; every posting stays, once.
-
-    Neither side is broadcast by hint: both grow with the data. Spark broadcasts one when its
-    measured size allows, and otherwise AQE splits a hot company's partition.
-    """
+    """Left joins on company name and recruiter id; every posting stays, once."""
     version = F.col("raw_id").try_cast("long")
     companies = latest(company, ["company"], version).drop("raw_id")
     recruiters = latest(recruiter, ["recruiter_id"], version).drop("raw_id")
-    return posting.join(companies, "company", "left").join(recruiters, "recruiter_id", "left")
+    with_company = left_lookup(posting, companies, "company")
+    return left_lookup(with_company, recruiters, "recruiter_id", counted=posting)

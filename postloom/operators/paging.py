@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from postloom.operators.filters import check_page
 
-# Rows a top-k may hold per task; deeper pages first look up where they start.
-DIRECT_ROWS = 100_000
+# Rows a top-k may keep per task, all of which meet in one; deeper pages first locate their start.
+DIRECT_ROWS = 1_000
 _BINS = 1_000
 _ABSENT = -(10**9)
 
@@ -28,7 +28,8 @@ def newest_first() -> list[Column]:
 def _order_keys() -> list[Column]:
     """`newest_first` as whole numbers, most significant first: day, microsecond of day, raw id."""
     at = _published()
-    micros = (F.hour(at) * 60 + F.minute(at)) * 60_000_000 + F.extract(F.lit("SECOND"), at) * 1_000_000
+    minutes = (F.hour(at) * 60 + F.minute(at)).cast("long")
+    micros = minutes * 60_000_000 + F.extract(F.lit("SECOND"), at) * 1_000_000
     keys = [F.unix_date(at.cast("date")), micros, _number()]
     return [F.coalesce(k.cast("long"), F.lit(_ABSENT)) for k in keys]
 

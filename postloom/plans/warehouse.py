@@ -12,7 +12,7 @@ from postloom.operators.filters import has_uid, valid_row
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import clean, typed
 from postloom.plans.statistics import statistics
-from postloom.sources.snapshot import read_snapshot, snapshot_path, write_snapshot
+from postloom.sources.snapshot import read_snapshot, write_snapshot
 from postloom.sources.tables import Warehouse
 
 
@@ -76,9 +76,9 @@ def publish_clean(
     cleaned = latest_postings(clean(counted).filter(has_uid()))
     stamped = cleaned.withColumn("created_at", F.lit(at).cast("timestamp"))
     rows = warehouse.replace("posting_serving", stamped, scope)
-    write_snapshot(warehouse.read("posting_serving", scope), csv_root)
+    path = write_snapshot(warehouse.read("posting_serving", scope), csv_root, scope)
     warehouse.log_run(scope, "clean", "ok", seen.get["rows"], rows, at)
-    return snapshot_path(csv_root, scope)
+    return path
 
 
 def publish_statistics(warehouse: Warehouse, scope: S.Scope, updated_at: str) -> None:

@@ -27,16 +27,12 @@ def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     )
 
 
-def snapshot_path(root: str, scope: S.Scope) -> str:
-    return f"{root.rstrip('/')}/scope={scope.scope_id}"
-
-
-def write_snapshot(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Replace the snapshot of every scope present in `df`; other scopes stay."""
+def write_snapshot(df: DataFrame, root: str, scope: S.Scope, rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Replace one scope's snapshot when the write commits; returns its path."""
     names = {new: old for old, new in S.SNAPSHOT_COLUMNS.items()}
     (
-        df.select(*[F.col(n).alias(names[n]) for n in S.SNAPSHOT.names], F.col("scope_id").alias("scope"))
-        .hint("rebalance", "scope")
+        df.filter(F.col("scope_id") == scope.scope_id)
+        .select(*[F.col(n).alias(names[n]) for n in S.SNAPSHOT.names], F.lit(scope.scope_id).alias("scope"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
@@ -44,3 +40,4 @@ def write_snapshot(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE)
         .partitionBy("scope")
         .csv(root)
     )
+    return f"{root.rstrip('/')}/scope={scope.scope_id}"

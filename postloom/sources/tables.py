@@ -49,26 +49,27 @@ class Warehouse:
     def replace(self, table: str, df: DataFrame, scope: S.Scope | None = None) -> int:
         """Swap in the partitions present in `df` when the write commits; returns the rows written.
 
-        A failed write leaves the old partitions. `rebalance` lets AQE split a hot scope into
-        evenly sized files and merge the small ones. With `scope` given, an empty result
-        empties that scope's partition, which a dynamic overwrite would leave as it was.
+        A failed write leaves the old partitions. With `scope` given, `df` holds that scope only:
+        it is written without a shuffle, and an empty result empties the partition, which a
+        dynamic overwrite would leave as it was. Otherwise rows are first rebalanced, so that a
+        task does not open a file per scope; AQE splits a hot scope into evenly sized files.
         """
         keys = PARTITIONS.get(table, ["scope_id"])
         seen = Observation()
+        rows = df.select(*SCHEMAS[table].names).observe(seen, F.count(F.lit(1)).alias("rows"))
+        if scope is None:
+            rows = rows.hint("rebalance", *keys)
         (
-            df.select(*SCHEMAS[table].names)
-            .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .hint("rebalance", *keys)
-            .write.mode("overwrite")
+            rows.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .format(self.fmt)
             .save(self.path(table))
         )
-        rows = seen.get["rows"]
-        if rows == 0 and scope is not None:
+        written = seen.get["rows"]
+        if written == 0 and scope is not None:
             self._empty(table, scope)
-        return rows
+        return written
 
     def _empty(self, table: str, scope: S.Scope) -> None:
         fields = [f for f in SCHEMAS[table].fields if f.name != "scope_id"]
