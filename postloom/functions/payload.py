@@ -45,5 +45,4 @@ def updated_at(c: Column) -> Column:
 
 def quoted(c: Column) -> Column:
     """A string as a JSON literal, `null` for a missing one."""
-    literal = F.to_json(F.array(c))
-    return F.substring(literal, F.lit(2), F.length(literal) - 2)
+    return F.btrim(F.to_json(F.array(c)), F.lit("[]"))

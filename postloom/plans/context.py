@@ -17,12 +17,11 @@ SAMPLE_ROWS, SAMPLE_TEXT_LIMIT = 5, 500
 JOB_TEXT_LIMIT = 2000
 
 
-def _lines(items: Column, opening: str, closing: str, depth: int) -> Column:
+def _block(items: Column, brackets: str, depth: int) -> Column:
     """Items one per line inside brackets, indented by two blanks per level."""
     pad = "  " * (depth + 1)
     body = F.array_join(items, f",\n{pad}")
-    block = F.concat(F.lit(f"{opening}\n{pad}"), body, F.lit(f"\n{'  ' * depth}{closing}"))
-    return F.when(F.size(items) == 0, F.lit(opening + closing)).otherwise(block)
+    return F.concat(F.lit(f"{brackets[0]}\n{pad}"), body, F.lit(f"\n{'  ' * depth}{brackets[1]}"))
 
 
 def _field(name: str, value: Column) -> Column:
@@ -30,23 +29,36 @@ def _field(name: str, value: Column) -> Column:
 
 
 def _object(fields: list[Column], depth: int) -> Column:
-    return _lines(F.array(*fields), "{", "}", depth)
+    return _block(F.array(*fields), "{}", depth)
 
 
 def _texts(items: Column, depth: int) -> Column:
-    return _lines(F.transform(items, lambda x: quoted(truncate(x, TEXT_LIMIT))), "[", "]", depth)
+    return _block(F.transform(items, lambda x: quoted(truncate(x, TEXT_LIMIT))), "[]", depth)
 
 
-def _scalars(items: Column, depth: int) -> Column:
-    return _lines(F.transform(items, lambda x: F.coalesce(x.cast("string"), F.lit("null"))), "[", "]", depth)
+def _numbers(items: Column, depth: int) -> Column:
+    return _block(F.transform(items, _number), "[]", depth)
+
+
+def _text_object(names: dict[str, str], limit: int, depth: int) -> Column:
+    """Text columns as one object.
+
+    Line breaks inside values are escaped, so every line of the pretty form starts with a field
+    name; only the blank before its colon has to go.
+    """
+    fields = [truncate(F.col(c).cast("string"), limit).alias(n) for c, n in names.items()]
+    pretty = F.to_json(F.struct(*fields), {"pretty": "true", "ignoreNullFields": "false"})
+    text = F.regexp_replace(pretty, r'(?m)^  "(\w+)" : ', '  "$1": ')
+    return F.replace(text, F.lit("\n"), F.lit("\n" + "  " * depth)) if depth else text
 
 
 def _number(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("null"))
 
 
-def bounded(text: Column, limit: int = S.CONTEXT_LIMIT) -> Column:
-    return truncate(text, limit, S.CONTEXT_TRUNCATED)
+def _bounded(texts: DataFrame, limit: int) -> DataFrame:
+    """Cut the context column; a projection of its own, so the text is built once per row."""
+    return texts.withColumn("context", truncate(F.col("context"), limit, S.CONTEXT_TRUNCATED))
 
 
 def statistic_blocks(rows: DataFrame, summary: DataFrame, updated_at: str) -> DataFrame:
@@ -61,12 +73,12 @@ def statistic_blocks(rows: DataFrame, summary: DataFrame, updated_at: str) -> Da
     lists = first.groupBy("scope_id", "stat_type").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     e = F.col("e")
     names = _field("categories", _texts(e["category"], 3))
-    plain = _object([names, _field("values", _scalars(e["value"], 3))], 2)
+    plain = _object([names, _field("values", _numbers(e["value"], 3))], 2)
     city = _object(
         [
             names,
-            _field("job_counts", _scalars(e["value"], 3)),
-            _field("average_salary_wan", _scalars(e["average_salary_wan"], 3)),
+            _field("job_counts", _numbers(e["value"], 3)),
+            _field("average_salary_wan", _numbers(e["average_salary_wan"], 3)),
         ],
         2,
     )
@@ -85,13 +97,9 @@ def sample_blocks(postings: DataFrame) -> DataFrame:
     """(scope_id, samples): the newest postings of each scope as an indented JSON list."""
     order = Window.partitionBy("scope_id").orderBy(*newest_first())
     rows = recent(postings, SAMPLE_ROWS).withColumn("_rn", F.row_number().over(order))
-    fields = [
-        _field(name, quoted(truncate(F.col(c).cast("string"), SAMPLE_TEXT_LIMIT)))
-        for c, name in S.LIST_FIELDS.items()
-    ]
-    entries = rows.select("scope_id", "_rn", _object(fields, 2).alias("block"))
+    entries = rows.select("scope_id", "_rn", _text_object(S.LIST_FIELDS, SAMPLE_TEXT_LIMIT, 2).alias("block"))
     packed = entries.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("_rn", "block"))).alias("e"))
-    return packed.select("scope_id", _lines(F.col("e")["block"], "[", "]", 1).alias("samples"))
+    return packed.select("scope_id", _block(F.col("e")["block"], "[]", 1).alias("samples"))
 
 
 def scope_context(blocks: DataFrame, samples: DataFrame | None = None, limit: int = S.CONTEXT_LIMIT) -> DataFrame:
@@ -105,20 +113,18 @@ def scope_context(blocks: DataFrame, samples: DataFrame | None = None, limit: in
     joined = placed.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("o", member.alias("m")))).alias("e"))
     fields = [
         _field("scope_id", quoted(F.col("scope_id"))),
-        _field("statistics", _lines(F.col("e")["m"], "{", "}", 1)),
+        _field("statistics", _block(F.col("e")["m"], "{}", 1)),
     ]
     if samples is not None:
         joined = joined.join(samples, "scope_id", "left")
         fields.append(_field("job_samples", F.coalesce("samples", F.lit("[]"))))
-    return joined.select("scope_id", bounded(_object(fields, 0), limit).alias("context"))
+    return _bounded(joined.select("scope_id", _object(fields, 0).alias("context")), limit)
 
 
 def job_context(details: DataFrame, limit: int = S.CONTEXT_LIMIT) -> DataFrame:
     """(job_id, context): bounded JSON text of single posting details."""
-    fields = [
-        _field(c, quoted(truncate(F.col(c).cast("string"), JOB_TEXT_LIMIT))) for c in details.columns
-    ]
-    return details.select("job_id", bounded(_object(fields, 0), limit).alias("context"))
+    text = _text_object({c: c for c in details.columns}, JOB_TEXT_LIMIT, 0)
+    return _bounded(details.select("job_id", text.alias("context")), limit)
 
 
 def detail_context(postings: DataFrame) -> DataFrame:

@@ -44,12 +44,21 @@ def category(stat_type: str) -> Column:
     return F.coalesce(X.known_value(F.col(S.CATEGORY_COLUMN[stat_type])), F.lit(S.UNKNOWN))
 
 
+def has_category(stat_type: str) -> Column:
+    """Whether a posting counts at all; kept apart from `category`, so the filter stays cheap."""
+    if stat_type == "salary":
+        return salary_total() >= 0
+    if stat_type == "publish_trend":
+        return F.col("publish_date").isNotNull()
+    return F.lit(True)
+
+
 def distribution(detail: DataFrame, stat_type: str) -> DataFrame:
     """(scope_id, category, value) of one statistic, every category."""
     return (
-        detail.groupBy("scope_id", category(stat_type).alias("category"))
+        detail.filter(has_category(stat_type))
+        .groupBy("scope_id", category(stat_type).alias("category"))
         .agg(F.count(F.lit(1)).alias("value"))
-        .filter(F.col("category").isNotNull())
     )
 
 
