@@ -53,3 +53,22 @@ def latest_update(served: DataFrame) -> DataFrame:
 def unwrapped(served: DataFrame) -> DataFrame:
     """Payloads without their envelope, as JSON text."""
     return served.withColumn("payload", F.to_json(P.unwrap(F.col("payload"))))
+
+
+class StatisticsMissing(LookupError):
+    """Some requested statistics exist in neither tier."""
+
+
+def dashboard(hot: DataFrame, durable: DataFrame, scope_id: str, view: str = "all") -> tuple[DataFrame, DataFrame]:
+    """(payloads, updated_at) of one dashboard view; raises when one of its statistics is missing.
+
+    Only the names of missing types, twelve at most, reach the driver.
+    """
+    stat_types = S.DASHBOARD_VIEWS[view]
+    mine = F.col("scope_id") == scope_id
+    served = serve(hot.filter(mine), durable.filter(mine), stat_types)
+    asked = served.sparkSession.createDataFrame([(scope_id,)], "scope_id string")
+    gap = [r.stat_type for r in coverage_gap(asked, served, stat_types).collect()]
+    if gap:
+        raise StatisticsMissing(f"{scope_id}: " + ", ".join(t for t in stat_types if t in gap))
+    return served, latest_update(served)

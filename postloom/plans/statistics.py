@@ -136,24 +136,26 @@ _COUNTED = [*S.CATEGORY_COLUMN, "salary", "publish_trend"]
 
 
 def category_counts(detail: DataFrame) -> DataFrame:
-    """Counts behind eleven statistics from one scan and one shuffle.
+    """Counts behind ten statistics and the summary, from one scan and one shuffle.
 
     Every posting yields one (stat_type, category) pair per statistic; the map side folds them
-    into per-task counts before anything moves.
+    into per-task counts before anything moves. Salaries are summed per city only.
     """
     pairs = []
     for stat_type in _COUNTED:
         column = S.CATEGORY_COLUMN.get(stat_type)
         known = ~X.is_blank(F.col(column)) if column else F.lit(True)
+        total = salary_total() if stat_type == "city" else F.lit(None).cast("decimal(11,2)")
         pairs.append(
             F.struct(
                 F.lit(stat_type).alias("stat_type"),
                 category(stat_type).alias("category"),
                 known.alias("known"),
+                total.alias("total"),
             )
         )
     return (
-        detail.select("scope_id", salary_total().alias("total"), F.inline(F.array(*pairs)))
+        detail.select("scope_id", F.inline(F.array(*pairs)))
         .filter(F.col("category").isNotNull())
         .groupBy(*GROUP, "category")
         .agg(
@@ -186,12 +188,11 @@ def statistic_rows(counts: DataFrame, skill_rows: DataFrame) -> DataFrame:
     """Rows of every statistic but the summary: (scope_id, stat_type, category, value, average)."""
     stat_type = F.col("stat_type")
     no_average = F.lit(None).cast("double").alias("average_salary_wan")
-    apart = ["top_companies", "industry", "publish_trend"]
+    ranked_types = ["top_companies", "industry"]
     average = F.when(stat_type == "city", average_salary(F.col("total"), F.col("jobs")))
-    whole = counts.filter(~stat_type.isin(apart)).select(*ROW[:-1], average.alias(ROW[-1]))
+    whole = counts.filter(~stat_type.isin(*ranked_types, "publish_trend")).select(*ROW[:-1], average.alias(ROW[-1]))
     best = [
-        top(counts.filter(stat_type == t), S.TOP_LIMIT[t]).select(*ROW[:-1], no_average)
-        for t in ("top_companies", "industry")
+        top(counts.filter(stat_type == t), S.TOP_LIMIT[t], GROUP).select(*ROW[:-1], no_average) for t in ranked_types
     ]
     days = counts.filter(stat_type == "publish_trend").select(
         "scope_id", F.col("category").try_cast("date").alias("day"), "value"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom import schema as S
@@ -45,10 +45,11 @@ def load(warehouse: Warehouse, scope: S.Scope, csv_path: str, at: str, complete:
     """
     first = valid_rows(read_snapshot(warehouse.spark, csv_path), scope)
     _gate(warehouse, first, scope, "load", complete, at)
-    rows_in = warehouse.replace("snapshot_raw", first, scope)
-    rows_out = warehouse.replace("posting_detail", to_detail(warehouse.read("snapshot_raw", scope)), scope)
+    warehouse.replace("snapshot_raw", first, scope)
+    warehouse.replace("posting_detail", to_detail(warehouse.read("snapshot_raw", scope)), scope)
     warehouse.replace("posting_skill", explode_skills(warehouse.read("posting_detail", scope)), scope)
-    warehouse.log_run(scope, "load", "ok", rows_in, rows_out, at)
+    kept = [warehouse.count(t, scope) for t in ("snapshot_raw", "posting_detail")]
+    warehouse.log_run(scope, "load", "ok", *kept, at)
     return layer_counts(warehouse, scope)
 
 
@@ -71,13 +72,11 @@ def publish_clean(
     """
     mine = raw.filter(F.col("scope_id") == scope.scope_id)
     _gate(warehouse, mine, scope, "clean", complete, at)
-    seen = Observation()
-    counted = mine.observe(seen, F.count(F.lit(1)).alias("rows"))
-    cleaned = latest_postings(clean(counted).filter(has_uid()))
+    cleaned = latest_postings(clean(mine).filter(has_uid()))
     stamped = cleaned.withColumn("created_at", F.lit(at).cast("timestamp"))
-    rows = warehouse.replace("posting_serving", stamped, scope)
+    warehouse.replace("posting_serving", stamped, scope)
     path = write_snapshot(warehouse.read("posting_serving", scope), csv_root, scope)
-    warehouse.log_run(scope, "clean", "ok", seen.get["rows"], rows, at)
+    warehouse.log_run(scope, "clean", "ok", mine.count(), warehouse.count("posting_serving", scope), at)
     return path
 
 

@@ -131,6 +131,19 @@ CATEGORY_COLUMN = {
 }
 TOP_LIMIT = {"top_companies": 15, "industry": 15, "skills": 20}
 COMPANY_TYPES = ["company_size", "company_type", "financing", "top_companies"]
+
+# Dashboard view -> statistic types it shows.
+DASHBOARD_VIEWS = {
+    "all": STAT_TYPES,
+    "summary": ["summary"],
+    "city": ["city"],
+    "salary": ["salary"],
+    "education": ["education"],
+    "experience": ["experience"],
+    "industry": ["industry"],
+    "skills": ["skills"],
+    "company": COMPANY_TYPES,
+}
 TREND_DAYS = 30
 
 UNKNOWN = "未知"
@@ -147,17 +160,18 @@ SALARY_BUCKETS = [
     (None, "50+"),
 ]
 
-# Label shown when a posting leaves the field blank.
-DEFAULT_LABELS = {
+# Label shown in place of a blank field, in job listings and in job details.
+LIST_LABELS = {"education": "不限", "experience": "不限", "company_type": "未知"}
+DETAIL_LABELS = {
     "education": "学历不限",
     "experience": "经验不限",
     "job_type": "全职",
     "financing": "融资信息未知",
+    "description": "暂无职位描述",
     "industry": "未知",
     "publish_time": "未知",
     "recruiter_status": "未知",
 }
-LIST_LABELS = {"education": "不限", "experience": "不限", "company_type": "未知"}
 
 # Facet name -> posting column.
 FACETS = {

@@ -6,6 +6,7 @@ from postloom.functions import text as X
 from postloom.operators import filters, paging
 from postloom.operators.counts import default_scope, scope_catalog
 from postloom.operators.facets import facet_values, ordered_facets
+from postloom.plans import display
 from postloom.plans.search import list_jobs
 
 SCOPE = "shuju_fenxi"
@@ -207,3 +208,12 @@ def test_amount_rules_differ_on_inner_markers(snapshot):
     row = snapshot({"salary_low": "1万5"})
     assert row.select(X.wan_amount(F.col("salary_low"))).first()[0] is None
     assert row.select(X.wan_amount_anywhere(F.col("salary_low"))).first()[0] == 15
+
+
+def test_display(snapshot):
+    rows = snapshot({"education": "", "experience": None, "salary_high": None, "address": "", "job_type": " "})
+    shown = display.listing(filters.renamed(rows, S.LIST_FIELDS)).first()
+    assert (shown.salary, shown.education, shown.experience, shown.company_type) == ("10万–—", "不限", "不限", "未知")
+    full = display.detail(filters.job_detail(rows, "u1")).first()
+    assert (full.education, full.job_type, full.address, full.industry) == ("学历不限", " ", "北京", "未知")
+    assert (full.description, full.skill_tags, full.salary) == ("暂无职位描述", ["sql", "python"], "10万–—")

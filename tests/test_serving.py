@@ -62,3 +62,12 @@ def test_unwrapped(tier):
     rows = tier(("a", "city", GOOD), ("a", "salary", '{"x":1}'))
     got = {r.stat_type: r.payload for r in serving.unwrapped(rows).collect()}
     assert got == {"city": '{"categories":["x"],"values":[1]}', "salary": '{"x":1}'}
+
+
+def test_dashboard_view(tier):
+    durable = tier(("a", "city", GOOD), ("a", "salary", NEWER), *[("a", t, GOOD) for t in S.COMPANY_TYPES], ("b", "city", NEWER))
+    payloads, stamp = serving.dashboard(tier(), durable, "a", "company")
+    assert {r.stat_type for r in payloads.collect()} == set(S.COMPANY_TYPES)
+    assert stamp.first().updated_at == "2024-01-01"
+    with pytest.raises(LookupError, match="a: summary, education, experience, industry, publish_trend, skills"):
+        serving.dashboard(tier(), durable, "a")

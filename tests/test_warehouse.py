@@ -238,3 +238,12 @@ def test_jdbc_reader_asks_for_its_driver(spark):
 def test_scope_code_is_checked():
     with pytest.raises(ValueError):
         S.Scope("x", "../x")
+
+
+def test_scope_codes_stay_text(spark, store, snapshot):
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "true")
+    try:
+        store.replace("snapshot_raw", snapshot({"scope_id": "007"}))
+        assert column(store.read("snapshot_raw", S.Scope("k", "007")), "scope_id") == ["007"]
+    finally:
+        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")

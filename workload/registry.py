@@ -17,7 +17,7 @@ from postloom.operators.dedup import latest_postings
 from postloom.operators.facets import facet_values
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import typed
-from postloom.plans import context, search, serving
+from postloom.plans import context, display, search, serving
 from postloom.plans import statistics as stats
 from postloom.plans.warehouse import to_detail
 from workload.adapter import cte, postings, raw_postings, table
@@ -442,14 +442,27 @@ def salary_label(spark, sf_dir):
     return postings(spark, sf_dir).select("raw_id", label.alias("label"))
 
 
+def _labelled(labels: dict[str, str]) -> str:
+    return ", ".join(f"coalesce(NULLIF({c}, ''), '{d}') AS {c}" for c, d in labels.items())
+
+
+_SALARY_LABEL = """CASE WHEN coalesce(salary_low, '') = '' AND coalesce(salary_high, '') = '' THEN '面议'
+    ELSE coalesce(NULLIF(salary_low, ''), '—') || '–' || coalesce(NULLIF(salary_high, ''), '—') END AS salary"""
+_PLAIN_LIST_FIELDS = ["job_uid", "job_name", "city", "company", "publish_time"]
+
+
 @query(
-    "SELECT raw_id, "
-    + ", ".join(f"coalesce(NULLIF({c}, ''), '{d}') AS {c}" for c, d in S.DEFAULT_LABELS.items())
-    + f", coalesce(NULLIF(company_type, ''), '{S.LIST_LABELS['company_type']}') AS company_type FROM postings"
+    f"""SELECT {", ".join(f"{c} AS {S.LIST_FIELDS[c]}" for c in _PLAIN_LIST_FIELDS)},
+               {_SALARY_LABEL}, {_labelled(S.LIST_LABELS)} FROM postings"""
 )
+def display_list(spark, sf_dir):
+    return display.listing(filters.renamed(postings(spark, sf_dir), S.LIST_FIELDS))
+
+
+@query(f"SELECT raw_id, {_labelled({k: v for k, v in S.DETAIL_LABELS.items() if k != 'description'})} FROM postings")
 def default_labels(spark, sf_dir):
-    labels = {**S.DEFAULT_LABELS, "company_type": S.LIST_LABELS["company_type"]}
-    return postings(spark, sf_dir).select("raw_id", *[X.or_label(F.col(c), d).alias(c) for c, d in labels.items()])
+    labels = {k: v for k, v in S.DETAIL_LABELS.items() if k != "description"}
+    return display.labelled(postings(spark, sf_dir), labels).select("raw_id", *labels)
 
 
 @query(
