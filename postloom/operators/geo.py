@@ -9,8 +9,11 @@ from postloom import schema as S
 
 
 def coordinates(spark: SparkSession) -> DataFrame:
-    rows = [(city, lon, lat) for city, (lon, lat) in S.CITY_COORDINATES.items()]
-    return spark.createDataFrame(rows, "category string, lon double, lat double")
+    rows = [
+        F.struct(F.lit(city).alias("category"), F.lit(float(lon)).alias("lon"), F.lit(float(lat)).alias("lat"))
+        for city, (lon, lat) in S.CITY_COORDINATES.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def city_points(city_counts: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # A key is hot when it holds more than one in this many fact rows, so at most this many are hot.
 HOT_SHARE = 1_000
-_SPREAD = 100_000
 
 
 def hot_keys(facts: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
@@ -22,10 +21,11 @@ def left_lookup(
 ) -> DataFrame:
     """Every fact row with the dimension's columns, null where the key is unknown.
 
-    Hot keys meet their dimension rows in a broadcast bounded by `share` rows. Those facts, and
-    facts without a key, then pass the shuffle under a spread-out key that matches nothing; all
-    other facts meet the dimension there. The spread is a hash of the row, so a task that runs
-    again sends each row to the same place. `counted` may name a cheaper frame with the same keys.
+    Hot keys meet their dimension rows in a broadcast bounded by `share` rows; all other facts
+    meet the dimension in a shuffle on the key and a place derived from it. Facts that are done,
+    or have no key, get a place derived from the whole row instead, so they pass that shuffle
+    spread out. Places are hashes, so a task that runs again sends each row to the same one.
+    `counted` may name a cheaper frame with the same keys.
     """
     columns = [c for c in dimension.columns if c != key]
     found = F.struct(*columns)
@@ -33,8 +33,8 @@ def left_lookup(
     hot = dimension.join(F.broadcast(keys), key, "left_semi")
     marked = facts.join(F.broadcast(hot.select(key, found.alias("_hot"))), key, "left")
     done = F.col("_hot").isNotNull() | F.col(key).isNull()
-    spread = F.when(done, 1 + F.pmod(F.xxhash64(*facts.columns), F.lit(_SPREAD))).otherwise(0)
-    cold = dimension.select(key, found.alias("_cold"), F.lit(0).cast("long").alias("_spread"))
-    joined = marked.withColumn("_spread", spread).join(cold, [key, "_spread"], "left")
+    place = F.when(done, F.xxhash64(*facts.columns)).otherwise(F.xxhash64(key))
+    cold = dimension.select(key, found.alias("_cold"), F.xxhash64(key).alias("_place"))
+    joined = marked.withColumn("_place", place).join(cold, [key, "_place"], "left")
     row = F.coalesce("_hot", "_cold")
     return joined.select(*facts.columns, *[row[c].alias(c) for c in columns])

@@ -32,10 +32,11 @@ def _with_parts(rows: DataFrame, part_size: int) -> DataFrame:
     """Number the payload row each category goes to.
 
     A statistic of up to `part_size` categories stays whole in part 0. A larger one is spread
-    by category hash, so no task has to build an unbounded array.
+    by category hash and each part goes to its own task, so none has to hold an unbounded group.
     """
     sizes = rows.groupBy(*_KEY).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("parts"))
-    return rows.join(sizes, _KEY).withColumn("part", F.pmod(F.hash("category"), F.col("parts")))
+    placed = rows.join(sizes, _KEY).withColumn("part", F.pmod(F.hash("category"), F.col("parts")))
+    return placed.repartition(*[F.col(c) for c in _PART])
 
 
 def pack(rows: DataFrame, updated_at: str, part_size: int = PART_SIZE) -> DataFrame:

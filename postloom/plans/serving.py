@@ -67,7 +67,7 @@ def dashboard(hot: DataFrame, durable: DataFrame, scope_id: str, view: str = "al
     stat_types = S.DASHBOARD_VIEWS[view]
     mine = F.col("scope_id") == scope_id
     served = serve(hot.filter(mine), durable.filter(mine), stat_types)
-    asked = served.sparkSession.createDataFrame([(scope_id,)], "scope_id string")
+    asked = served.sparkSession.range(1).select(F.lit(scope_id).alias("scope_id"))
     gap = [r.stat_type for r in coverage_gap(asked, served, stat_types).collect()]
     if gap:
         raise StatisticsMissing(f"{scope_id}: " + ", ".join(t for t in stat_types if t in gap))

@@ -79,10 +79,11 @@ class Warehouse:
         return self.read(table, scope).count()
 
     def log_run(self, scope: S.Scope, stage: str, status: str, rows_in: int, rows_out: int, at: str) -> None:
-        row = [(scope.scope_id, stage, status, rows_in, rows_out, at)]
+        values = (scope.scope_id, stage, status, rows_in, rows_out, at)
+        row = [F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(S.RUN_LOG.fields, values)]
         (
-            self.spark.createDataFrame(row, S.RUN_LOG)
-            .coalesce(1)
+            self.spark.range(0, 1, 1, 1)
+            .select(*row)
             .write.mode("append")
             .partitionBy("scope_id")
             .format(self.fmt)

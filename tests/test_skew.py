@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from postloom.operators.assembly import assemble
-from postloom.operators.dedup import latest_postings
+from postloom.operators.dedup import latest, latest_postings
 from postloom.operators.lookup import hot_keys, left_lookup
+from postloom.operators.packing import pack
 from postloom.plans import statistics as stats
 from postloom.operators.typing import typed
 
@@ -35,20 +36,44 @@ def test_lookup_keeps_every_row(spark):
 
 def test_lookup_spreads_the_hot_key(spark):
     rows = facts(spark)
-    dimension = spark.createDataFrame([("hot", 1)], "k string, v long").unionByName(
-        spark.range(700).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+    versions = spark.range(1400).select(
+        F.concat(F.lit("k"), F.col("id") % 700).alias("k"), F.col("id").alias("v"), F.col("id").alias("raw_id")
     )
+    versions = versions.unionByName(spark.createDataFrame([("hot", 1, 1)], "k string, v long, raw_id long"))
+    dimension = latest(versions, ["k"], F.col("raw_id")).drop("raw_id")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         got = left_lookup(rows, dimension, "k", share=100)
+        assert "hashpartitioning(k" in got._jdf.queryExecution().executedPlan().toString()
         per_task = got.groupBy(F.spark_partition_id()).count().collect()
+        plain = rows.join(dimension, "k", "left").select("id", "k", "v")
+        assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in per_task) == 3000
     assert max(r["count"] for r in per_task) < 1000
 
 
+def test_parts_of_a_large_statistic_go_to_different_tasks(spark):
+    rows = spark.range(4000).select(
+        F.lit("s").alias("scope_id"),
+        F.lit("city").alias("stat_type"),
+        F.col("id").cast("string").alias("category"),
+        F.lit(1).cast("long").alias("value"),
+        F.lit(None).cast("double").alias("average_salary_wan"),
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        packed = pack(rows, "t", part_size=100)
+        tasks = packed.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in tasks) == 40
+    assert len(tasks) > 1
+
+
 def test_hot_uid_is_pruned_before_the_shuffle(snapshot):
     rows = snapshot(*[{"raw_id": str(i)} for i in range(500)], {"raw_id": "1", "job_uid": "u2"})
     newest = latest_postings(rows.repartition(4))
