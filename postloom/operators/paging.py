@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.operators.filters import check_page
 
-# Rows a top-k may keep per task, all of which meet in one; deeper pages first locate their start.
-DIRECT_ROWS = 1_000
+# Rows all tasks together may send to one place for a plain top-k.
+DIRECT_ROWS = 1_000_000
+# Rows a located page may hold on either side beyond its own.
+BIN_ROWS = 1_000
 _BINS = 1_000
 _ABSENT = -(10**9)
 
@@ -34,53 +38,88 @@ def _order_keys() -> list[Column]:
     return [F.coalesce(k.cast("long"), F.lit(_ABSENT)) for k in keys]
 
 
-def _locate(df: DataFrame, key: Column, skip: int, direct_rows: int) -> tuple[int, int]:
-    """Highest key that still matters after skipping `skip` rows, and how many of those remain.
+@dataclass(frozen=True)
+class _Bin:
+    """Rows whose leading keys equal `prefix` and whose next key lies in [low, high]."""
+
+    prefix: list[int]
+    low: int
+    high: int
+    before: int
+    rows: int
+
+    def holds(self, position: int) -> bool:
+        return self.before <= position < self.before + self.rows
+
+    def _from(self, edge: Column, beyond) -> Column:
+        """Lexicographic bound: the edge at the last key, or already beyond at an earlier one."""
+        for key, value in reversed(list(zip(_order_keys(), self.prefix))):
+            edge = beyond(key, value) | ((key == value) & edge)
+        return edge
+
+    def and_later(self) -> Column:
+        return self._from(_order_keys()[len(self.prefix)] <= self.high, lambda k, v: k < v)
 
-    Counts rows in equal-width bins of the key and descends into the bin that holds the target.
-    Only bin counts reach the driver, whatever the skew.
+    def and_earlier(self) -> Column:
+        return self._from(_order_keys()[len(self.prefix)] >= self.low, lambda k, v: k > v)
+
+
+def _locate(df: DataFrame, position: int, bin_rows: int) -> _Bin | None:
+    """A bin of few rows that holds the given position in the ordering; None past the end.
+
+    Counts rows in equal-width bins of the first key and descends into the one that holds the
+    position, then into the next key where one value alone has too many rows. Only bin counts
+    reach the driver, whatever the skew.
     """
-    keys = df.select(key.alias("k"))
-    low, high = keys.agg(F.min("k"), F.max("k")).first()
-    if low is None:
-        return _ABSENT - 1, skip
-    while skip > direct_rows and low < high:
-        width = -(-(high - low + 1) // _BINS)
-        bins = (
-            keys.filter(F.col("k").between(low, high))
-            .groupBy(F.expr(f"({high} - k) div {width}").alias("bin"))
-            .count()
-            .orderBy("bin")
-            .collect()
-        )
-        target = None
-        for row in bins:
-            if skip < row["count"]:
-                target = row["bin"]
-                break
-            skip -= row["count"]
-        if target is None:
-            return low - 1, skip
-        high -= target * width
-        low = max(low, high - width + 1)
-    return high, skip
-
-
-def page(df: DataFrame, number: int, size: int, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+    prefix, before, here = [], 0, F.lit(True)
+    for key in _order_keys():
+        keys = df.filter(here).select(key.alias("k"))
+        low, high, rows = keys.agg(F.min("k"), F.max("k"), F.count("k")).first()
+        if position >= before + rows:
+            return None
+        while low < high:
+            width = -(-(high - low + 1) // _BINS)
+            bins = (
+                keys.filter(F.col("k").between(low, high))
+                .groupBy(F.expr(f"({high} - k) div {width}").alias("bin"))
+                .count()
+                .orderBy("bin")
+                .collect()
+            )
+            for target in bins:
+                if position < before + target["count"]:
+                    break
+                before += target["count"]
+            high -= target["bin"] * width
+            low = max(low, high - width + 1)
+            rows = target["count"]
+            if rows <= bin_rows:
+                return _Bin(prefix, low, high, before, rows)
+        prefix.append(high)
+        here = here & (key == high)
+    return _Bin(prefix[:-1], low, high, before, rows)
+
+
+def page(
+    df: DataFrame, number: int, size: int, direct_rows: int = DIRECT_ROWS, bin_rows: int = BIN_ROWS
+) -> DataFrame:
     """Page of postings, newest first, ties by raw id.
 
-    Shallow pages are a plain top-k. A deep page would make every task hold all the rows before
-    it, so its start is located by counting, key by key, and the top-k begins there.
+    A plain top-k makes every task send all rows up to the page's end to one place, which is fine
+    for few tasks or early pages. Beyond that the page is located by counting, and the top-k only
+    sees the rows between its bounds.
     """
     check_page(number, size)
     skip = (number - 1) * size
-    at_start = F.lit(True)
-    for key in _order_keys():
-        if skip <= direct_rows:
-            break
-        upper, skip = _locate(df.filter(at_start), key, skip, direct_rows)
-        df = df.filter(~at_start | (key <= upper))
-        at_start = at_start & (key == upper)
+    if (skip + size) * df.rdd.getNumPartitions() > direct_rows:
+        first = _locate(df, skip, bin_rows)
+        if first is None:
+            return df.limit(0)
+        end = skip + size - 1
+        last = first if first.holds(end) else _locate(df, end, bin_rows)
+        df = df.filter(first.and_later())
+        df = df if last is None else df.filter(last.and_earlier())
+        skip -= first.before
     return df.orderBy(*newest_first()).offset(skip).limit(size)
 
 

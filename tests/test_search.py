@@ -114,20 +114,36 @@ def _expected(df):
     return [r.raw_id for r in sorted(rows, key=lambda r: (r.publish_time or "", int(r.raw_id)), reverse=True)]
 
 
-@pytest.mark.parametrize("direct_rows", [0, 3, 50, 10_000])
+@pytest.mark.parametrize("bin_rows", [1, 50, 10_000])
 @pytest.mark.parametrize("days", [1, 7, 365])
-def test_every_page_depth_agrees(spark, direct_rows, days):
+def test_every_page_depth_agrees(spark, bin_rows, days):
     df = _many(spark, 600, days).cache()
     expected = _expected(df)
-    for number in (1, 2, 13, 58, 60, 61, 1000):
-        got = [r.raw_id for r in paging.page(df, number, 10, direct_rows).collect()]
-        assert got == expected[(number - 1) * 10 : number * 10]
+    for number in (1, 17, 58, 60, 61):
+        got = [r.raw_id for r in paging.page(df, number, 11, 0, bin_rows).collect()]
+        assert got == expected[(number - 1) * 11 : number * 11]
 
 
 def test_pages_cover_everything_once(spark):
     df = _many(spark, 95)
-    seen = [r.raw_id for n in range(1, 11) for r in paging.page(df, n, 10, direct_rows=20).collect()]
-    assert seen == _expected(df)
+    expected = _expected(df)
+    for direct_rows in (10**6, 0):
+        pages = [paging.page(df, n, 30, direct_rows, 20).collect() for n in range(1, 5)]
+        assert [r.raw_id for rows in pages for r in rows] == expected
+
+
+def test_located_page_survives_equal_keys(spark):
+    same = spark.range(40).select(F.lit("7").alias("raw_id"), F.lit("2024-01-01").alias("publish_time"))
+    sizes = [paging.page(same, n, 15, 0, 5).count() for n in (1, 2, 3, 4)]
+    assert sizes == [15, 15, 10, 0]
+
+
+def test_located_page_reads_only_its_rows(spark):
+    df = _many(spark, 600, 365)
+    first = paging._locate(df, 300, 10)
+    last = paging._locate(df, 309, 10)
+    between = df.filter(first.and_later()).filter(last.and_earlier())
+    assert 10 <= between.count() <= 30
 
 
 def test_shallow_page_is_a_top_k(spark):

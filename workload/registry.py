@@ -236,7 +236,7 @@ def job_page(spark, sf_dir):
 @query(f"SELECT raw_id, {_LIST} FROM postings ORDER BY {_NEWEST} LIMIT 40 OFFSET 12000")
 def job_page_deep(spark, sf_dir):
     """A page deep enough to be located by counting."""
-    rows = paging.page(postings(spark, sf_dir), 301, 40, direct_rows=500)
+    rows = paging.page(postings(spark, sf_dir), 301, 40, direct_rows=0)
     return rows.select("raw_id", *[F.col(c).alias(n) for c, n in S.LIST_FIELDS.items()])
 
 
