@@ -138,32 +138,32 @@ _COUNTED = [*S.CATEGORY_COLUMN, "salary", "publish_trend"]
 def category_counts(detail: DataFrame) -> DataFrame:
     """Counts behind ten statistics and the summary, from one scan and one shuffle.
 
-    Every posting yields one (stat_type, category) pair per statistic; the map side folds them
-    into per-task counts before anything moves. Salaries are summed per city only.
+    Every posting yields one (position, category) pair per statistic; the map side folds them
+    into per-task counts before anything moves. Salaries are summed per city only, and only
+    cities and companies are told apart from the label of a blank.
     """
-    pairs = []
-    for stat_type in _COUNTED:
-        column = S.CATEGORY_COLUMN.get(stat_type)
-        known = ~X.is_blank(F.col(column)) if column else F.lit(True)
-        total = salary_total() if stat_type == "city" else F.lit(None).cast("decimal(11,2)")
-        pairs.append(
-            F.struct(
-                F.lit(stat_type).alias("stat_type"),
-                category(stat_type).alias("category"),
-                known.alias("known"),
-                total.alias("total"),
-            )
-        )
+    at = F.col("at")
+    is_city, is_company = (at == _COUNTED.index(t) for t in ("city", "top_companies"))
+    total = F.when(is_city, F.col("total"))
+    known = F.when(is_city, F.col("city_known")).when(is_company, F.col("company_known"))
+    names = F.array(*[F.lit(t) for t in _COUNTED])
     return (
-        detail.select("scope_id", F.inline(F.array(*pairs)))
+        detail.select(
+            "scope_id",
+            salary_total().alias("total"),
+            (~X.is_blank(F.col("city"))).alias("city_known"),
+            (~X.is_blank(F.col("company"))).alias("company_known"),
+            F.posexplode(F.array(*[category(t) for t in _COUNTED])).alias("at", "category"),
+        )
         .filter(F.col("category").isNotNull())
-        .groupBy(*GROUP, "category")
+        .groupBy("scope_id", "at", "category")
         .agg(
             F.count(F.lit(1)).alias("value"),
-            F.sum("total").alias("total"),
-            F.count("total").alias("jobs"),
-            F.max("known").alias("known"),
+            F.sum(total).alias("total"),
+            F.count(total).alias("jobs"),
+            F.max(known).alias("known"),
         )
+        .select("scope_id", F.get(names, at).alias("stat_type"), "category", "value", "total", "jobs", "known")
     )
 
 
