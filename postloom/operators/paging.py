@@ -107,7 +107,7 @@ def page(
 
     A plain top-k makes every task send all rows up to the page's end to one place, which is fine
     for few tasks or early pages. Beyond that the page is located by counting, and the top-k only
-    sees the rows between its bounds.
+    sees the rows between its bounds. `df` should read a stored table, as locating scans it again.
     """
     check_page(number, size)
     skip = (number - 1) * size

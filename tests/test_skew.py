@@ -7,6 +7,7 @@ from postloom.operators.dedup import latest, latest_postings
 from postloom.operators.lookup import hot_keys, left_lookup
 from postloom.operators.packing import pack
 from postloom.plans import statistics as stats
+from postloom.plans.lineage import settle
 from postloom.operators.typing import typed
 
 
@@ -105,3 +106,10 @@ def test_assembly(spark):
         ("3", None, None),
         ("4", None, "on"),
     ]
+
+
+def test_intermediates_go_to_the_shared_folder(spark, snapshot):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    counts = settle(stats.category_counts(typed(snapshot({}))))
+    assert shared in spark.sparkContext.getCheckpointDir()
+    assert "Scan ExistingRDD" in counts._jdf.queryExecution().executedPlan().toString()

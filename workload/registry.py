@@ -422,7 +422,7 @@ def company_bundle(spark, sf_dir):
 
 @query(
     r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-              replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'),
+              regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g'),
               '<\s*br\s*/?\s*>', chr(10), 'gi'),
               '<\s*/?\s*(div|p|li|ul|ol)\b[^>]*>', chr(10), 'gi'),
               '<[^>]+>', '', 'g'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS content
