@@ -19,6 +19,7 @@ from postloom.operators.skills import explode_skills
 from postloom.operators.typing import typed
 from postloom.plans import context, display, search, serving
 from postloom.plans import statistics as stats
+from postloom.plans.lineage import settle
 from postloom.plans.warehouse import to_detail
 from workload.adapter import cte, postings, raw_postings, table
 
@@ -516,7 +517,7 @@ def _with_faults(payloads: DataFrame, faults: dict[str, str]) -> DataFrame:
 
 def _tiers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(hot, durable) tiers with broken payloads; the hot one is newer and lacks some types."""
-    payloads = _payloads(spark, sf_dir).filter(~F.col("stat_type").isin("summary", "city"))
+    payloads = settle(_payloads(spark, sf_dir).filter(~F.col("stat_type").isin("summary", "city")))
     newer = payloads.withColumn("payload", F.replace("payload", F.lit(STAMP), F.lit("2024-02-02 00:00:00")))
     hot = newer.filter(~F.col("stat_type").isin("industry", "company_type"))
     return _with_faults(hot, _HOT_FAULTS), _with_faults(payloads, _DURABLE_FAULTS)
