@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import best_fit, byte_bpe, chat, sharding
+from postloom.llm import best_fit, byte_bpe, chat, sharding, simhash, substring
 from postloom.llm.common import table
 
 SHARDS = 24
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = simhash.fingerprints(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(prints, simhash.band_pairs(simhash.RADIUS))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return best_fit.pack(best_fit.cut(table(spark, sf_dir, "documents"), vocabulary))
@@ -42,8 +48,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding)
+    f.__name__: f for f in (op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding, op8_substring_dedup)
 }
 
 ORACLES: dict[str, str] = {}
