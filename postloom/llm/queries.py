@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import best_fit, byte_bpe, chat, sharding, simhash, substring
+from postloom.llm import best_fit, byte_bpe, chat, hnsw, sharding, simhash, substring, va_file
 from postloom.llm.common import table
 
 SHARDS = 24
@@ -52,8 +52,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.highest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding, op8_substring_dedup)
+    f.__name__: f for f in (op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
 }
 
 ORACLES: dict[str, str] = {}
