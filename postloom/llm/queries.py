@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import best_fit, byte_bpe, chat, hnsw, sharding, simhash, substring, va_file
-from postloom.llm.common import table
+from postloom.llm import best_fit, byte_bpe, chat, hnsw, langid, sharding, simhash, substring, va_file
+from postloom.llm.common import id_crc, table
 
 SHARDS = 24
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(langid.learning_rows(docs)))
+    return found.withColumn("held_out", F.pmod(id_crc("doc_id"), F.lit(4)) == 2)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.fingerprints(table(spark, sf_dir, "documents"))
     found = simhash.near_duplicates(prints, simhash.band_pairs(simhash.RADIUS))
@@ -61,7 +67,7 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
+    f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
 }
 
 ORACLES: dict[str, str] = {}
