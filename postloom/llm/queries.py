@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import best_fit, byte_bpe, chat, hnsw, langid, sharding, simhash, substring, va_file
+from postloom.llm import best_fit, byte_bpe, chat, hnsw, langid, sharding, simhash, substring, toxicity, va_file
 from postloom.llm.common import id_crc, table
 
 SHARDS = 24
@@ -27,7 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")  # byte_bpe_50k.json as ranks
     return best_fit.pack(best_fit.cut(table(spark, sf_dir, "documents"), vocabulary))
 
 
@@ -44,6 +44,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.learn(docs, toxicity.learning_labels(labels)))
+    return scored.withColumn("held_out", F.pmod(id_crc("doc_id"), F.lit(3)) == 1)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     records = table(spark, sf_dir, "documents").select(
@@ -67,7 +73,7 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
+    f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op6_toxicity, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
 }
 
 ORACLES: dict[str, str] = {}
