@@ -17,7 +17,7 @@ texts, and those shorter than a window, keep all their words. An empty table giv
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,9 @@ BASE = 0x9E3779B97F4A7C15
 TOP = np.uint64(2**64 - 1)
 
 #: What a task sends: keys with the rows they stand for, or positions that are settled (no keys).
-SENT = "bucket int, keys binary, more binary, docs binary, texts binary, starts binary"
-FLAGGED = "doc bigint, text_key bigint, starts binary"
+SENT = "bucket int, keys binary, more binary, ids binary, of binary, starts binary"
+RETURNED = "bucket int, ids binary, of binary, starts binary"
+FLAGGED = "doc bigint, text_key bigint, flags binary"
 
 
 class Powers:
@@ -115,6 +116,44 @@ def candidates(hashes: np.ndarray, flagged: np.ndarray, window: int, anchor: int
     return starts, rolling(hashes, window)[starts], low[starts].astype(np.uint32)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit values as two planes of 16 bits; the upper one is mostly zero and compresses well."""
+    return values.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype="<u2").reshape(2, -1).T).view("<u4")[:, 0]
+
+
+def _entry(bucket: int, keys, more, docs, texts, starts) -> tuple:
+    """A row to send: documents are listed once, entries hold their number in the list."""
+    pairs = np.column_stack([docs, texts])
+    _, first, of = np.unique(docs * np.int64(0x100000001B3) ^ texts, return_index=True, return_inverse=True)
+    keyed = (None, None) if keys is None else (keys.astype("<u8").tobytes(), more.astype("<u4").tobytes())
+    return (bucket, *keyed, pairs[first].astype("<i8").tobytes(), packed(of), packed(starts))
+
+
+def in_order(keys, more, docs, texts, starts) -> list[np.ndarray]:
+    """The entries by key, document and start, each once."""
+    columns = (keys, more, docs, texts, starts)
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    if not len(order):
+        return columns
+    changes = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return [c[np.r_[True, changes]] for c in columns]
+
+
+def _by_document(buckets: int, docs, texts, starts) -> Iterator[tuple]:
+    """Rows to send that hold positions by the documents' buckets."""
+    bucket = mixed(docs.view(np.uint64)) % np.uint64(buckets)
+    by = np.argsort(bucket, kind="stable")
+    columns = [c[by] for c in (docs, texts, starts)]
+    edges = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=np.uint64))
+    for b in np.flatnonzero(edges[1:] > edges[:-1]):
+        yield _entry(int(b), None, None, *[c[edges[b] : edges[b + 1]] for c in columns])
+
+
 class Outbox:
     """Entries of a task, kept as columns and sent in blocks.
 
@@ -128,16 +167,14 @@ class Outbox:
     def add(self, keys, more, doc: int, text_key: int, starts) -> None:
         if len(keys):
             n = len(keys)
-            self.parts.append((keys, more, np.full(n, doc), np.full(n, text_key), starts.astype(np.int32)))
+            self.parts.append((keys, more, np.full(n, doc), np.full(n, text_key), starts))
             self.size += n
 
     def rows(self, settle_first: bool) -> pd.DataFrame:
         """settle_first: a key that repeats here is known to be repeated, so its first entry is settled, too."""
         columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
         self.parts, self.size = [], 0
-        keys, more, docs, texts, starts = columns
-        order = np.lexsort((starts, texts, docs, more, keys))
-        keys, more, docs, texts, starts = (c[order] for c in columns)
+        keys, more, docs, texts, starts = in_order(*columns)
         new = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])]
         again = ~np.r_[new[1:], True]  # the next entry has the same key
         past = ~new | (again if settle_first else False)
@@ -148,51 +185,54 @@ class Outbox:
         edges = np.searchsorted(bucket[by], np.arange(self.buckets + 1))
         for b in np.flatnonzero(edges[1:] > edges[:-1]):
             cut = slice(edges[b], edges[b + 1])
-            out.append((int(b), *[c[cut].tobytes() for c in first]))
-        if past.any():
-            key = mixed(docs[past].view(np.uint64)) % np.uint64(self.buckets)
-            by = np.argsort(key, kind="stable")
-            rest = [c[past][by] for c in (docs, texts, starts)]
-            edges = np.searchsorted(key[by], np.arange(self.buckets + 1, dtype=np.uint64))
-            for b in np.flatnonzero(edges[1:] > edges[:-1]):
-                cut = slice(edges[b], edges[b + 1])
-                out.append((int(b), None, None, *[c[cut].tobytes() for c in rest]))
-        return pd.DataFrame(out, columns=["bucket", "keys", "more", "docs", "texts", "starts"])
+            out.append(_entry(int(b), *[c[cut] for c in first]))
+        out += _by_document(self.buckets, docs[past], texts[past], starts[past])
+        return pd.DataFrame(out, columns=["bucket", "keys", "more", "ids", "of", "starts"])
 
 
 #: Entries that a task gathers before it sends them: about 40 bytes each, twice while sorting.
 GATHERED = 1 << 21
 
 
-def _resolved(rows: pd.DataFrame, keep_first: bool) -> pd.DataFrame:
-    """Positions of the repeated keys of one bucket, per document; without each key's first if `keep_first`."""
+def _positions(rows: pd.DataFrame) -> list[np.ndarray]:
+    """Document, text hash and start of all entries."""
+    parts = [np.zeros((0, 3), dtype=np.int64)]
+    for ids, of, starts in zip(rows["ids"], rows["of"], rows["starts"], strict=True):
+        listed = np.frombuffer(ids, dtype="<i8").reshape(-1, 2)
+        parts.append(np.column_stack([listed[unpacked(of)], unpacked(starts).astype(np.int64)]))
+    return list(np.ascontiguousarray(np.concatenate(parts).T))
+
+
+def _resolved(rows: pd.DataFrame, buckets: int, keep_first: bool) -> pd.DataFrame:
+    """Positions of the repeated keys of one bucket; without each key's first if `keep_first`."""
     keyed = rows["keys"].notna()
-    read = lambda sub, c, kind: np.frombuffer(b"".join(sub[c]), dtype=kind)
-    columns = [read(rows[keyed], c, k) for c, k in (("docs", "<i8"), ("texts", "<i8"), ("starts", "<i4"))]
-    keys, more = read(rows[keyed], "keys", "<u8"), read(rows[keyed], "more", "<u4")
-    order = np.lexsort((columns[2], columns[1], columns[0], more, keys))
-    keys, more = keys[order], more[order]
-    new = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])] if len(keys) else np.zeros(0, bool)
+    keys, more = (np.frombuffer(b"".join(rows.loc[keyed, c]), dtype=k) for c, k in (("keys", "<u8"), ("more", "<u4")))
+    keys, more, *columns = in_order(keys, more, *_positions(rows[keyed]))
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])] if len(keys) else np.zeros(0, dtype=bool)
     flagged = ~new if keep_first else ~(new & np.r_[new[1:], True]) if len(keys) else new
-    known = [read(rows[~keyed], c, k) for c, k in (("docs", "<i8"), ("texts", "<i8"), ("starts", "<i4"))]
-    docs, texts, starts = (np.r_[c[order][flagged], k] for c, k in zip(columns, known, strict=True))
+    found = [np.r_[c[flagged], known] for c, known in zip(columns, _positions(rows[~keyed]), strict=True)]
+    out = pd.DataFrame(_by_document(buckets, *found), columns=["bucket", "keys", "more", "ids", "of", "starts"])
+    return out[["bucket", "ids", "of", "starts"]]
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per document of a bucket, with all its positions."""
+    docs, texts, starts = _positions(rows)
     order = np.lexsort((starts, texts, docs))
     docs, texts, starts = docs[order], texts[order], starts[order]
-    edges = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1]), True]) if len(docs) else []
-    return pd.DataFrame(
-        [(docs[a], texts[a], starts[a:b].astype("<i4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)],
-        columns=["doc", "text_key", "starts"],
-    )
+    edges = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1]), True])
+    found = [(docs[a], texts[a], starts[a:b].astype("<i4").tobytes()) for a, b in zip(edges, edges[1:], strict=False)]
+    return pd.DataFrame(found, columns=["doc", "text_key", "flags"])
 
 
 def _counted(sent: DataFrame, buckets: int, keep_first: bool) -> DataFrame:
     """Per document the positions that counting flags (packed 32-bit starts)."""
-    found = sent.groupBy("bucket").applyInPandas(lambda rows: _resolved(rows, keep_first), FLAGGED)
-    return found.groupBy("doc", "text_key").agg(F.collect_list("starts").alias("flags"))
+    found = sent.groupBy("bucket").applyInPandas(lambda rows: _resolved(rows, buckets, keep_first), RETURNED)
+    return found.groupBy("bucket").applyInPandas(_merged, FLAGGED)
 
 
-def _starts(flags) -> np.ndarray:
-    return np.frombuffer(b"".join(flags), dtype="<i4") if flags is not None else np.zeros(0, dtype=np.int32)
+def _starts(flags: bytes | None) -> np.ndarray:
+    return np.frombuffer(flags, dtype="<i4") if flags is not None else np.zeros(0, dtype=np.int32)
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -204,10 +244,20 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.column_stack([starts[np.r_[0, gap + 1]], np.minimum(starts[np.r_[gap, len(starts) - 1]] + window, n_words)])
 
 
-def removal_intervals(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc, text_key, text and flags (packed starts of the windows to remove) for every row of doc_id, text."""
+def removal_intervals(
+    df: DataFrame,
+    window: int = WINDOW,
+    anchor: int = ANCHOR,
+    bucket_bytes: int = BUCKET_BYTES,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """doc_id, text, the columns to `carry` and flags (packed starts of the windows to remove) for every row."""
     docs = df.select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("text_key"), "doc_id", "text"
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"),
+        F.xxhash64("text").alias("text_key"),
+        "doc_id",
+        "text",
+        F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
     )
     total = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -238,7 +288,7 @@ def removal_intervals(df: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     flagged = _counted(docs.select(*keyed, "text").mapInPandas(send_anchors, SENT), buckets, keep_first=False)
     # Both joins below read this one exchange of the texts.
     dealt = docs.repartition(buckets, *keyed)
-    marked = dealt.join(flagged, keyed).select(*keyed, "text", "flags")
+    marked = dealt.join(flagged, keyed).select(*keyed, "doc_id", "text", "carried", "flags")
     removed = _counted(marked.mapInPandas(send_windows, SENT), buckets, keep_first=True)
     return dealt.join(removed, keyed, "left")
 
@@ -251,8 +301,11 @@ def _kept(words: list[bytes], intervals: np.ndarray) -> list[bytes]:
     return kept + words[at:]
 
 
-def deduplicated(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text without the repeated words (untouched where nothing repeats), n_words, n_removed, intervals."""
+def deduplicated(df: DataFrame, window: int = WINDOW, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text without the repeated words (untouched where nothing repeats), n_words, n_removed, intervals.
+
+    The columns to `carry` are passed on; the text is cut natively from what the intervals leave.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,10 +318,14 @@ def deduplicated(df: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((left, len(words), n_removed, cut.tolist()))
             out = pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "intervals"])
             out.insert(0, "doc_id", pd.array(batch["doc_id"], dtype="Int64"))
+            out["carried"] = batch["carried"]
             yield out
 
-    schema = "doc_id bigint, text string, n_words bigint, n_removed bigint, intervals array<array<bigint>>"
-    return removal_intervals(df, window).select("doc_id", "text", "flags").mapInPandas(run, schema)
+    marked = removal_intervals(df, window, carry=carry).select("doc_id", "text", "carried", "flags")
+    kind = marked.schema["carried"].dataType.simpleString()
+    schema = f"doc_id bigint, text string, n_words bigint, n_removed bigint, intervals array<array<bigint>>, carried {kind}"
+    found = marked.mapInPandas(run, schema)
+    return found.select(*[c for c in found.columns if c != "carried"], *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def digests(df: DataFrame, window: int = WINDOW) -> DataFrame:
