@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom import schema as S
 from postloom.functions.payload import envelope
 
-# Categories one payload row may hold; a larger statistic is spread over several rows.
+# Categories one payload row holds; the first so many are part 0, the next ones part 1, and so on.
 PART_SIZE = 10_000
 _KEY = ["scope_id", "stat_type"]
 _PART = [*_KEY, "part", "parts"]
@@ -29,32 +29,47 @@ def stored_order() -> Column:
 
 
 def _with_parts(rows: DataFrame, part_size: int) -> DataFrame:
-    """Number the payload row each category goes to.
+    """Number the payload row each category goes to: ranges of its rank in the stored order.
 
-    A statistic of up to `part_size` categories stays whole in part 0. A larger one is spread
-    by category hash and each part goes to its own task, so none has to hold an unbounded group.
+    Ranks are read off a sort that may spill; no array holds more than `part_size` categories.
     """
     sizes = rows.groupBy(*_KEY).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("parts"))
-    placed = rows.join(sizes, _KEY).withColumn("part", F.pmod(F.hash("category"), F.col("parts")))
-    return placed.repartition(*[F.col(c) for c in _PART])
+    order = Window.partitionBy(*_KEY).orderBy(stored_order(), "category")
+    ranked = rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / part_size).cast("int"))
+    return ranked.join(sizes, _KEY).repartition(*[F.col(c) for c in _PART])
+
+
+def _payload(stat_type: Column, categories: Column, values: Column, averages: Column, stamp: Column) -> Column:
+    plain = F.struct(categories.alias("categories"), values.alias("values"))
+    city = F.struct(
+        categories.alias("categories"), values.alias("job_counts"), averages.alias("average_salary_wan")
+    )
+    return F.when(stat_type == "city", envelope(city, stamp)).otherwise(envelope(plain, stamp))
 
 
 def pack(rows: DataFrame, updated_at: str, part_size: int = PART_SIZE) -> DataFrame:
     """Statistic rows to payload rows (scope_id, stat_type, part, parts, payload)."""
     entry = F.struct(stored_order().alias("o"), "category", "value", "average_salary_wan")
     packed = _with_parts(rows, part_size).groupBy(*_PART).agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    stamp = F.lit(updated_at)
     e = F.col("e")
-    plain = F.struct(e["category"].alias("categories"), e["value"].alias("values"))
-    city = F.struct(
-        e["category"].alias("categories"),
-        e["value"].alias("job_counts"),
-        e["average_salary_wan"].alias("average_salary_wan"),
-    )
-    payload = F.when(F.col("stat_type") == "city", envelope(city, stamp)).otherwise(envelope(plain, stamp))
+    payload = _payload(F.col("stat_type"), e["category"], e["value"], e["average_salary_wan"], F.lit(updated_at))
     return packed.select(*_PART, payload.alias("payload"))
 
 
+def completed(packed: DataFrame, scopes: DataFrame, updated_at: str) -> DataFrame:
+    """The payloads, and an empty one for every statistic that a scope lacks, so none can go stale."""
+    types = F.array(*[F.lit(t) for t in S.STAT_TYPES if t != "summary"])
+    asked = scopes.select("scope_id", F.explode(types).alias("stat_type"))
+    none = [F.array().cast(f"array<{t}>") for t in ("string", "bigint", "double")]
+    empty = _payload(F.col("stat_type"), *none, F.lit(updated_at))
+    return asked.join(packed, _KEY, "left").select(
+        *_KEY,
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("parts", F.lit(1)).alias("parts"),
+        F.coalesce("payload", empty).alias("payload"),
+    )
+
+
 def pack_summary(summary: DataFrame, updated_at: str) -> DataFrame:
     data = F.struct(*[c for c in summary.columns if c != "scope_id"], F.lit(updated_at).alias("data_updated_at"))
     return summary.select(

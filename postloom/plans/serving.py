@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom import schema as S
 from postloom.functions import payload as P
+from postloom.sources.tables import Warehouse
 
 _HOT, _DURABLE = 0, 1
 
@@ -23,20 +24,22 @@ def serve(hot: DataFrame, durable: DataFrame, stat_types=S.STAT_TYPES) -> DataFr
         .select(*S.STATISTIC.names, F.lit(tier).alias("tier"))
         for df, tier, valid in [(hot, _HOT, P.is_json_object), (durable, _DURABLE, P.is_json)]
     ]
-    group = Window.partitionBy("scope_id", "stat_type")
-
-    def whole(tier):
-        mine = F.col("tier") == tier
-        return F.count_if(mine).over(group) == F.max(F.when(mine, F.col("parts"))).over(group)
-
-    chosen = F.when(whole(_HOT), _HOT).when(whole(_DURABLE), _DURABLE)
-    return (
-        tiers[0]
-        .unionByName(tiers[1])
-        .withColumn("chosen", chosen)
-        .filter("tier = chosen")
-        .select(*S.STATISTIC.names)
+    found = tiers[0].unionByName(tiers[1])
+    # Completeness is counted without the payloads' texts.
+    whole = (
+        found.groupBy("scope_id", "stat_type", "tier")
+        .agg(F.count_distinct("part").alias("found"), F.max("parts").alias("parts"))
+        .filter("found = parts")
     )
+    chosen = whole.groupBy("scope_id", "stat_type").agg(F.min("tier").alias("tier"))
+    return found.join(chosen, ["scope_id", "stat_type", "tier"], "left_semi").select(*S.STATISTIC.names)
+
+
+def repair(warehouse: Warehouse, scope: S.Scope, stat_types=S.STAT_TYPES) -> None:
+    """Refill the hot tier after hits of the durable one: statistics served from there are copied over."""
+    hot, durable = (warehouse.statistics(scope, stat_types, t) for t in ("statistic_hot", "statistic"))
+    missing = durable.join(serve(hot, durable.limit(0), stat_types), ["scope_id", "stat_type"], "left_anti")
+    warehouse.replace("statistic_hot", missing.filter(P.is_json(F.col("payload"))))
 
 
 def coverage_gap(scopes: DataFrame, served: DataFrame, stat_types=S.STAT_TYPES) -> DataFrame:

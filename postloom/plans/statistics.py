@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from postloom import schema as S
 from postloom.functions import text as X
-from postloom.operators.packing import pack, pack_summary
+from postloom.operators.packing import completed, pack, pack_summary
 from postloom.operators.ranking import GROUP, top
-from postloom.plans.lineage import settle
 
 ROW = ["scope_id", "stat_type", "category", "value", "average_salary_wan"]
 
@@ -140,7 +139,8 @@ def category_counts(detail: DataFrame) -> DataFrame:
 
     Every posting yields one (position, category) pair per statistic; the map side folds them
     into per-task counts before anything moves. Salaries are summed per city only, and only
-    cities and companies are told apart from the label of a blank.
+    cities and companies are told apart from the label of a blank. The type comes out of an
+    aggregate, so filters on it stay above the shuffle, and all branches reuse that shuffle.
     """
     at = F.col("at")
     is_city, is_company = (at == _COUNTED.index(t) for t in ("city", "top_companies"))
@@ -162,8 +162,9 @@ def category_counts(detail: DataFrame) -> DataFrame:
             F.sum(total).alias("total"),
             F.count(total).alias("jobs"),
             F.max(known).alias("known"),
+            F.max(at).alias("type"),
         )
-        .select("scope_id", F.get(names, at).alias("stat_type"), "category", "value", "total", "jobs", "known")
+        .select("scope_id", F.get(names, F.col("type")).alias("stat_type"), "category", "value", "total", "jobs", "known")
     )
 
 
@@ -203,7 +204,8 @@ def statistic_rows(counts: DataFrame, skill_rows: DataFrame) -> DataFrame:
 
 
 def statistics(detail: DataFrame, skill_rows: DataFrame, updated_at: str) -> DataFrame:
-    """All twelve statistics as payload rows."""
-    counts = settle(category_counts(detail))
-    rows = settle(statistic_rows(counts, skill_rows))
-    return pack(rows, updated_at).unionByName(pack_summary(_summary_from(counts), updated_at))
+    """All twelve statistics of every scope as payload rows; one that counts nothing is empty."""
+    counts = category_counts(detail)
+    totals = _summary_from(counts)
+    packed = pack(statistic_rows(counts, skill_rows), updated_at)
+    return completed(packed, totals, updated_at).unionByName(pack_summary(totals, updated_at))

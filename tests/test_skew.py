@@ -6,9 +6,9 @@ from postloom.operators.assembly import assemble
 from postloom.operators.dedup import latest, latest_postings
 from postloom.operators.lookup import hot_keys, left_lookup
 from postloom.operators.packing import pack
-from postloom.plans import statistics as stats
-from postloom.plans.lineage import settle
+from postloom.operators.skills import explode_skills
 from postloom.operators.typing import typed
+from postloom.plans import statistics as stats
 
 
 def facts(spark, n=3000):
@@ -108,8 +108,27 @@ def test_assembly(spark):
     ]
 
 
-def test_intermediates_go_to_the_shared_folder(spark, snapshot):
-    shared = spark.conf.get("spark.checkpoint.dir")
-    counts = settle(stats.category_counts(typed(snapshot({}))))
-    assert shared in spark.sparkContext.getCheckpointDir()
-    assert "Scan ExistingRDD" in counts._jdf.queryExecution().executedPlan().toString()
+def test_building_statistics_runs_no_job(spark, snapshot):
+    detail = typed(snapshot({}))
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        stats.statistics(detail, explode_skills(detail), "t")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+
+
+def test_hot_key_without_a_dimension_row_is_spread(spark):
+    """A placeholder id that a third of the facts hold, unknown to the dimension."""
+    facts = spark.range(9000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    dimension = spark.range(9000).select(F.col("id").alias("k"), F.col("id").alias("w"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = left_lookup(facts, dimension, "k", share=20)
+        tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert joined.filter("k = -1 AND w IS NOT NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(tasks) == 9000 and max(tasks) < 2 * 9000 / len(tasks)

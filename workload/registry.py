@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom import schema as S
@@ -14,12 +14,11 @@ from postloom.operators import filters, geo, packing, paging, ranking
 from postloom.operators.assembly import assemble
 from postloom.operators.counts import default_scope, labelled_counts, scope_catalog
 from postloom.operators.dedup import latest_postings
-from postloom.operators.facets import facet_values
+from postloom.operators.facets import facet_values, ordered_facets
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import typed
 from postloom.plans import context, display, search, serving
 from postloom.plans import statistics as stats
-from postloom.plans.lineage import settle
 from postloom.plans.warehouse import to_detail
 from workload.adapter import cte, postings, raw_postings, table
 
@@ -147,28 +146,23 @@ def dedup_latest(spark, sf_dir):
     return rows.select("raw_id", "scope_id", "job_uid")
 
 
-@query(
-    """SELECT raw_id, scope_id, job_uid, city, company, salary_low_wan, salary_high_wan, publish_date, skills
-       FROM detail"""
-)
+_TYPED_COLUMNS = [c for c in S.DETAIL.names]
+
+
+@query(f"SELECT {', '.join(_TYPED_COLUMNS)} FROM detail")
 def typed_detail(spark, sf_dir):
-    return to_detail(valid_postings(spark, sf_dir)).select(
-        "raw_id",
-        "scope_id",
-        "job_uid",
-        "city",
-        "company",
-        "salary_low_wan",
-        "salary_high_wan",
-        "publish_date",
-        "skills",
-    )
+    return to_detail(valid_postings(spark, sf_dir)).select(*_TYPED_COLUMNS)
+
 
+_SKILL_COLUMNS = [c for c in S.SKILL.names if c not in ("skill", "skill_pos")]
 
-@query("SELECT raw_id, scope_id, skill, skill_pos FROM skill_rows")
+
+@query(
+    f"""SELECT {", ".join(f"t.{c}" for c in _SKILL_COLUMNS)}, s.skill, s.skill_pos
+        FROM skill_rows s JOIN typed t USING (raw_id, scope_id)"""
+)
 def skills_exploded(spark, sf_dir):
-    rows = explode_skills(typed_postings(spark, sf_dir))
-    return rows.select("raw_id", "scope_id", "skill", "skill_pos")
+    return explode_skills(typed_postings(spark, sf_dir)).select(*_SKILL_COLUMNS, "skill", "skill_pos")
 
 
 @query(
@@ -241,6 +235,32 @@ def job_page_deep(spark, sf_dir):
     return rows.select("raw_id", *[F.col(c).alias(n) for c, n in S.LIST_FIELDS.items()])
 
 
+@query(
+    f"""SELECT count(*) AS total, CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size,
+               CAST(greatest(1, ceil(count(*) / 20.0)) AS BIGINT) AS pages
+        FROM postings WHERE scope_id = 'machinery' AND education = 'F' AND {_SEARCH.format(k='%STEEL%')}"""
+)
+def page_meta_filtered(spark, sf_dir):
+    wanted = filters.JobQuery("machinery", education="F", keyword="STEEL")
+    return paging.page_meta(postings(spark, sf_dir).filter(wanted.predicate()), 3, 20)
+
+
+@query(
+    "SELECT facet, value, row_number() OVER (ORDER BY facet, value) AS position FROM ("
+    + "\nUNION ALL ".join(
+        f"(SELECT DISTINCT '{f}' AS facet, {c} AS value FROM postings WHERE scope_id = 'building' AND trim({c}) <> '')"
+        for f, c in S.FACETS.items()
+    )
+    + ")"
+)
+def facets_in_order(spark, sf_dir):
+    """The filter values of one scope with their place in the list, so that the order is checked."""
+    rows = ordered_facets(postings(spark, sf_dir), "building").select("facet", "value")
+    return rows.withColumn("position", F.monotonically_increasing_id()).groupBy("facet", "value").agg(
+        F.max("position").alias("position")
+    ).withColumn("position", F.row_number().over(Window.orderBy("position")).cast("long"))
+
+
 @query(
     """SELECT scope_id, count(*) AS total, CAST(2 AS BIGINT) AS page, CAST(10 AS BIGINT) AS page_size,
               CAST(greatest(1, ceil(count(*) / 10.0)) AS BIGINT) AS pages
@@ -291,11 +311,11 @@ def salary_overlap(spark, sf_dir):
                count(DISTINCT CASE WHEN trim(company) <> '' THEN company END) AS company_count,
                count(DISTINCT CASE WHEN trim(city) <> '' THEN city END) AS city_count,
                {_AVG} AS average_annual_salary_wan,
-               count(salary_low_wan + salary_high_wan) AS salary_job_count
+               count(salary_low_wan + salary_high_wan) AS salary_job_count, '{STAMP}' AS data_updated_at
         FROM typed GROUP BY scope_id"""
 )
 def stat_summary(spark, sf_dir):
-    return stats.summary(typed_postings(spark, sf_dir))
+    return stats.summary(typed_postings(spark, sf_dir)).withColumn("data_updated_at", F.lit(STAMP))
 
 
 @query("SELECT scope_id, category, value, average_salary_wan FROM cats WHERE stat_type = 'city'")
@@ -331,6 +351,9 @@ def event_trend(spark, sf_dir):
     return stats.publish_trend(events, "day")
 
 
+_BUCKET_ORDER = "list_position([" + ", ".join(f"'{n}'" for _, n in S.SALARY_BUCKETS) + "], category)"
+
+
 @query(
     f"""SELECT scope_id, CASE WHEN rn <= 6 THEN category ELSE '{S.OTHER}' END AS category,
                CAST(sum(value) AS BIGINT) AS value
@@ -385,23 +408,98 @@ def city_geo(spark, sf_dir):
     return geo.city_points(stats.distribution(rows, "city"))
 
 
+@query(
+    f"""SELECT scope_id, CASE WHEN rn <= 6 THEN category ELSE '{S.OTHER}' END AS category,
+               CAST(sum(value) AS BIGINT) AS value
+        FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY value DESC, {_BUCKET_ORDER}) AS rn
+              FROM counts WHERE stat_type = 'salary')
+        GROUP BY ALL"""
+)
+def topn_salary(spark, sf_dir):
+    """Ties of the salary roll-up go by bucket, as in the stored order."""
+    rows = stats.distribution(typed_postings(spark, sf_dir), "salary").withColumn("stat_type", F.lit("salary"))
+    return ranking.top_with_other(rows, tie=packing.stored_order())
+
+
 def _payloads(spark, sf_dir) -> DataFrame:
     detail = typed_postings(spark, sf_dir)
     return stats.statistics(detail, explode_skills(detail), STAMP)
 
 
-_BUCKET_ORDER = "list_position([" + ", ".join(f"'{n}'" for _, n in S.SALARY_BUCKETS) + "], category)"
 _STORED = f"""CASE stat_type WHEN 'publish_trend' THEN 0 WHEN 'salary' THEN {_BUCKET_ORDER} ELSE -value END, category"""
 _DATA = f"""{{'categories': list(category ORDER BY {_STORED}), 'values': list(value ORDER BY {_STORED})}}"""
-_PACKED = f"""SELECT scope_id, stat_type, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS parts,
-                     CAST(to_json({{'data': {_DATA}, 'updated_at': '{STAMP}'}}) AS VARCHAR) AS payload
-              FROM cats WHERE stat_type <> 'city' GROUP BY scope_id, stat_type"""
+_CITY_DATA = f"""{{'categories': list(category ORDER BY {_STORED}), 'job_counts': list(value ORDER BY {_STORED}),
+                  'average_salary_wan': list(average_salary_wan ORDER BY {_STORED})}}"""
+_SUMMARY_COLUMNS = f"""count(*) AS job_count,
+               count(DISTINCT CASE WHEN trim(company) <> '' THEN company END) AS company_count,
+               count(DISTINCT CASE WHEN trim(city) <> '' THEN city END) AS city_count,
+               {_AVG} AS average_annual_salary_wan,
+               count(salary_low_wan + salary_high_wan) AS salary_job_count, '{STAMP}' AS data_updated_at"""
+
+
+def _packed_part(data: str, source: str, stat_type: str = "stat_type", part: str = "0", parts: str = "1") -> str:
+    return f"""SELECT scope_id, {stat_type} AS stat_type, CAST({part} AS INTEGER) AS part,
+                      CAST({parts} AS INTEGER) AS parts,
+                      CAST(to_json({{'data': {data}, 'updated_at': '{STAMP}'}}) AS VARCHAR) AS payload
+               FROM {source}"""
+
+
+_MADE = "[" + ", ".join(f"'{t}'" for t in S.STAT_TYPES if t != "summary") + "]"
+_NOTHING = f"""(SELECT scope_id, stat_type FROM (SELECT DISTINCT scope_id, unnest({_MADE}) AS stat_type FROM postings)
+               ANTI JOIN cats USING (scope_id, stat_type)) AS lacking"""
+_PACKED = "\nUNION ALL ".join(
+    [
+        _packed_part(_DATA, "cats WHERE stat_type <> 'city' GROUP BY scope_id, stat_type"),
+        _packed_part(_CITY_DATA, "cats WHERE stat_type = 'city' GROUP BY scope_id, stat_type"),
+        _packed_part("summed", f"(SELECT scope_id, struct_pack(job_count, company_count, city_count, average_annual_salary_wan,"
+                     f" salary_job_count, data_updated_at) AS summed FROM (SELECT scope_id, {_SUMMARY_COLUMNS} FROM typed"
+                     " GROUP BY scope_id)) AS s", "'summary'"),
+        _packed_part("{'categories': [], 'values': []}", f"{_NOTHING} WHERE stat_type <> 'city'"),
+        _packed_part(
+            "{'categories': [], 'job_counts': [], 'average_salary_wan': []}", f"{_NOTHING} WHERE stat_type = 'city'"
+        ),
+    ]
+)
 
 
 @query(_PACKED)
 def stat_packed(spark, sf_dir):
-    """Payload text of the statistics that hold whole numbers only."""
-    return _payloads(spark, sf_dir).filter(~F.col("stat_type").isin("summary", "city"))
+    """Payload text of all statistics."""
+    return _payloads(spark, sf_dir)
+
+
+# One scope without skills, readable dates and salaries.
+_THIN = {"skills": "CAST(NULL AS STRING)", "salary_low": "'面议'", "salary_high": "'面议'", "publish_time": "'未知'"}
+_THIN = {c: f"CASE WHEN scope_id = 'furniture' THEN {v} ELSE {c} END" for c, v in _THIN.items()}
+
+
+@query()
+def stat_thin(spark, sf_dir):
+    """A scope that lacks whole statistics gets empty ones."""
+    source = postings(spark, sf_dir)
+    detail = typed(source.selectExpr(*[f"{_THIN[c]} AS {c}" if c in _THIN else c for c in source.columns]))
+    return stats.statistics(detail, explode_skills(detail), STAMP)
+
+
+ORACLES["stat_thin"] = (
+    _CTE.replace("WITH postings AS (", "WITH whole AS (", 1).replace(
+        "),\nraw AS (",
+        f"),\npostings AS (SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in _THIN.items())}) FROM whole),\nraw AS (",
+        1,
+    )
+    + f"\n{_PACKED}"
+)
+
+_PART_CATS = f"""(SELECT *, (row_number() OVER (PARTITION BY scope_id, stat_type ORDER BY {_STORED}) - 1) // 4 AS part,
+                  ceil(count(*) OVER (PARTITION BY scope_id, stat_type) / 4) AS parts FROM cats WHERE stat_type <> 'city')"""
+
+
+@query(_packed_part(_DATA, f"{_PART_CATS} GROUP BY scope_id, stat_type, part, parts", part="part", parts="parts"))
+def stat_parts(spark, sf_dir):
+    """Payload rows of at most four categories: part 0 holds the first ones of the stored order."""
+    detail = typed_postings(spark, sf_dir)
+    rows = stats.statistic_rows(stats.category_counts(detail), explode_skills(detail))
+    return packing.pack(rows, STAMP, part_size=4).filter("stat_type <> 'city'")
 
 
 @query("SELECT scope_id, stat_type, category, value, average_salary_wan FROM cats")
@@ -460,10 +558,9 @@ def display_list(spark, sf_dir):
     return display.listing(filters.renamed(postings(spark, sf_dir), S.LIST_FIELDS))
 
 
-@query(f"SELECT raw_id, {_labelled({k: v for k, v in S.DETAIL_LABELS.items() if k != 'description'})} FROM postings")
+@query(f"SELECT raw_id, {_labelled(S.DETAIL_LABELS)} FROM postings")
 def default_labels(spark, sf_dir):
-    labels = {k: v for k, v in S.DETAIL_LABELS.items() if k != "description"}
-    return display.labelled(postings(spark, sf_dir), labels).select("raw_id", *labels)
+    return display.labelled(postings(spark, sf_dir), S.DETAIL_LABELS).select("raw_id", *S.DETAIL_LABELS)
 
 
 @query(
@@ -517,7 +614,7 @@ def _with_faults(payloads: DataFrame, faults: dict[str, str]) -> DataFrame:
 
 def _tiers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(hot, durable) tiers with broken payloads; the hot one is newer and lacks some types."""
-    payloads = settle(_payloads(spark, sf_dir).filter(~F.col("stat_type").isin("summary", "city")))
+    payloads = _payloads(spark, sf_dir)
     newer = payloads.withColumn("payload", F.replace("payload", F.lit(STAMP), F.lit("2024-02-02 00:00:00")))
     hot = newer.filter(~F.col("stat_type").isin("industry", "company_type"))
     return _with_faults(hot, _HOT_FAULTS), _with_faults(payloads, _DURABLE_FAULTS)
@@ -564,13 +661,25 @@ def latest_update(spark, sf_dir):
     return serving.latest_update(serving.serve(*_tiers(spark, sf_dir)))
 
 
+_SUMMARY_FIELDS = [
+    "job_count", "company_count", "city_count", "average_annual_salary_wan", "salary_job_count"
+]
+
+
+def _sorted_members(names: list[str]) -> str:
+    """Spark writes the members of a parsed object in the order of their names, and whole numbers without `.0`."""
+    return "json_object(" + ", ".join(f"'{n}', json_extract(data, '$.{n}')" for n in sorted(names)) + ")"
+
+
 @query(
-    f"""SELECT scope_id, stat_type, part, parts, CAST(json_extract(payload, '$.data') AS VARCHAR) AS payload
-        FROM ({_PACKED})"""
+    f"""SELECT scope_id, stat_type, part, parts, regexp_replace(CAST(CASE stat_type
+               WHEN 'city' THEN {_sorted_members(["categories", "job_counts", "average_salary_wan"])}
+               WHEN 'summary' THEN {_sorted_members([*_SUMMARY_FIELDS, "data_updated_at"])}
+               ELSE data END AS VARCHAR), '(\\d)\.0([,}}\]])', '\\1\\2', 'g') AS payload
+        FROM (SELECT *, json_extract(payload, '$.data') AS data FROM ({_PACKED}))"""
 )
 def unwrap_payload(spark, sf_dir):
-    whole = _payloads(spark, sf_dir).filter(~F.col("stat_type").isin("summary", "city"))
-    return serving.unwrapped(whole)
+    return serving.unwrapped(_payloads(spark, sf_dir))
 
 
 @query(
@@ -619,9 +728,6 @@ _SUMMARY = f"""SELECT scope_id, count(*) AS job_count,
                {_AVG} AS average_annual_salary_wan,
                count(salary_low_wan + salary_high_wan) AS salary_job_count
         FROM typed GROUP BY scope_id"""
-_SUMMARY_FIELDS = [
-    "job_count", "company_count", "city_count", "average_annual_salary_wan", "salary_job_count"
-]
 _SUMMARY_BLOCK = _json_members(
     [f"""'"{c}": ' || coalesce(CAST({c} AS VARCHAR), 'null')""" for c in _SUMMARY_FIELDS]
     + [f"""'"data_updated_at": "{STAMP}"'"""],
