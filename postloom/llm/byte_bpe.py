@@ -2,7 +2,7 @@
 
 Merges are taken from a rank queue: a bucket per merge rank holds positions of a linked list of symbols, and a
 hierarchical bitmap over the ranks finds the lowest rank that waits by find-first-set. Entries whose pair has
-changed meanwhile are skipped when they are met. One merge costs the same however long the pre-token is.
+changed meanwhile are skipped when they are met. Finding the next merge costs the same however long a pre-token is.
 
 Null texts count as empty: no ids, no bytes. Every row is encoded on its own, so ties and repeats need no rule.
 """
@@ -11,62 +11,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from postloom.llm.pretokens import ChunkCache
+from postloom.llm.pretokens import Cache
 
 WORD = 64
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-class RankQueue:
-    """Ranks that wait, with positions. Three levels of 64-bit words say which ranks have any."""
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: tuple[dict[int, int], dict[int, int], dict[int, int]] = ({}, {}, {})
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            rank, bit = divmod(rank, WORD)
-            word = level.get(rank, 0)
-            level[rank] = word | 1 << bit
-            if word:
-                break
-
-    def pop(self) -> tuple[int, int] | None:
-        """Lowest rank and its leftmost position, or None."""
-        bottom, middle, top = self.levels
-        if not top:
-            return None
-        at = 0
-        for level in (top, middle, bottom):
-            word = level[at]
-            at = at * WORD + (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            rank = at
-            for level in self.levels:
-                rank, bit = divmod(rank, WORD)
-                word = level[rank] & ~(1 << bit)
-                if word:
-                    level[rank] = word
-                    break
-                del level[rank]
-        return at, position
-
-
 class BytePairs:
     """A vocabulary of ranks."""
 
@@ -75,6 +30,9 @@ class BytePairs:
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {str(i): b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
+        self.pairs = {tuple(b): i for b, i in ranks.items() if len(b) == 2}
+        self.bottom, self.middle = [0] * WORD**2, [0] * WORD
 
     @classmethod
     def read(cls, path: str, pattern: str) -> BytePairs:
@@ -86,33 +44,68 @@ class BytePairs:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        if (known := ranks.get(piece)) is not None:
-            return [known]
+        ranks, size = self.ranks, self.size
+        if (whole := ranks.get(piece)) is not None:
+            return [whole]
         n = len(piece)
-        if n == 2:
-            return [ranks[piece[:1]], ranks[piece[1:]]]
+        known = ranks.get
         end = list(range(1, n + 1))  # of the symbol that starts here; 0: merged away
         before = list(range(-1, n - 1))
-        queue = RankQueue()
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                queue.push(rank, i)
-        while (found := queue.pop()) is not None:
-            rank, i = found
-            middle = end[i]
-            if not middle or middle == n:
-                continue
-            last = end[middle]
-            if ranks.get(piece[i:last]) != rank:
-                continue  # stale: one of its symbols has grown
-            end[i], end[middle] = last, 0
-            if last < n:
-                before[last] = i
-                if (rank := ranks.get(piece[i : end[last]])) is not None:
-                    queue.push(rank, i)
-            if (left := before[i]) >= 0 and (rank := ranks.get(piece[left:last])) is not None:
-                queue.push(rank, left)
+        # The queue: positions by rank, and which ranks wait: a bit each in `bottom`, a bit for each word of it that
+        # is not 0 in `middle`, and likewise in `top`. All are empty again when the piece is done.
+        buckets: dict[int, list[int]] = {}
+        bottom, middle, top = self.bottom, self.middle, 0
+        pairs = self.pairs
+        new = [(rank, i) for i, rank in enumerate(map(pairs.get, zip(piece, piece[1:], strict=False))) if rank is not None]
+        while True:
+            for rank, i in new:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                    continue
+                buckets[rank] = [i]
+                word = rank >> 6
+                if not bottom[word]:
+                    high = word >> 6
+                    if not middle[high]:
+                        top |= 1 << high
+                    middle[high] |= 1 << (word & 63)
+                bottom[word] |= 1 << (rank & 63)
+            if not top:
+                break
+            # Find-first-set, level by level; then the rank's bit goes.
+            high = (top & -top).bit_length() - 1
+            at = middle[high]
+            word = high << 6 | (at & -at).bit_length() - 1
+            bits = bottom[word]
+            rank = word << 6 | (bits & -bits).bit_length() - 1
+            bottom[word] = bits = bits & bits - 1
+            if not bits:
+                middle[high] = at = at & at - 1
+                if not at:
+                    top &= top - 1
+            positions = buckets.pop(rank)
+            if len(positions) > 1:
+                positions.sort()
+            length, lower, new = size[rank], False, []
+            for i in positions:
+                if lower:
+                    new.append((rank, i))  # a rank below this one has come up: it goes first
+                    continue
+                middle_of = end[i]
+                if not middle_of or middle_of == n:
+                    continue
+                last = end[middle_of]
+                if last - i != length:
+                    continue  # stale: one of its symbols has grown
+                end[i], end[middle_of] = last, 0
+                if last < n:
+                    before[last] = i
+                    if (other := known(piece[i : end[last]])) is not None:
+                        new.append((other, i))
+                        lower = other < rank
+                if (left := before[i]) >= 0 and (other := known(piece[left:last])) is not None:
+                    new.append((other, left))
+                    lower = lower or other < rank
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : end[i]]])
@@ -126,15 +119,15 @@ class BytePairs:
         return b"".join(self.bytes_of[str(i)] for i in ids)
 
 
-_known: dict[tuple[str, str], tuple[BytePairs, ChunkCache]] = {}
+_known: dict[tuple[str, str], tuple[BytePairs, Cache]] = {}
 
 
-def _worker(path: str, pattern: str) -> tuple[BytePairs, ChunkCache]:
-    """The vocabulary and a cache of chunks, kept as long as the Python worker."""
+def _worker(path: str, pattern: str) -> tuple[BytePairs, Cache]:
+    """The vocabulary and a cache, kept as long as the Python worker. Forms are ids with a comma after each."""
     if (path, pattern) not in _known:
         pairs = BytePairs.read(path, pattern)
-        text_of = lambda chunks: (",".join(map(str, pairs.encode(c))) for c in chunks)
-        _known[path, pattern] = pairs, ChunkCache(text_of)
+        form = lambda pieces: ("".join(f"{i}," for i in pairs.encode_piece(p.encode())) for p in pieces)
+        _known[path, pattern] = pairs, Cache(pattern, form, "")
     return _known[path, pattern]
 
 
@@ -144,7 +137,7 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, cache = _worker(path, pattern)
         for batch in batches:
-            ids = [[int(i) for x in cache.of(text or "") for i in x.split(",")] for text in batch["text"]]
+            ids = [list(map(int, "".join(forms).split(",")[:-1])) for forms in cache.encoded(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
     return df.select("doc_id", "text").mapInPandas(run, "doc_id bigint, ids array<int>")
@@ -171,8 +164,8 @@ def encode_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
         bytes_of = pairs.bytes_of.__getitem__
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                listed = ",".join(cache.of(text or ""))
+            for forms in cache.encoded(batch["text"]):
+                listed = "".join(forms)[:-1]
                 ids = listed.split(",") if listed else []
                 decoded = hashlib.sha256(b"".join(map(bytes_of, ids))).hexdigest()
                 rows.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), decoded))

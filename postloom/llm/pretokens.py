@@ -1,36 +1,81 @@
-"""Texts cut into chunks whose byte-level BPE is independent of their neighbours, with a bounded cache of them."""
+"""Byte-level BPE of whole texts by way of their parts, remembered in bounded caches.
+
+A text is cut into chunks, a chunk into the pieces of the vocabulary's pattern. The pattern never matches across the
+border of two chunks, so a text's tokens are its chunks' tokens in a row.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import regex
 
 # Fixed value: the characters of Unicode's White_Space property, which the vocabularies' pattern calls \s.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the one space before it, or white space up to that space. The vocabularies' pattern never matches
-#: across these borders, so a text's tokens are its chunks' tokens in a row.
+#: A word with the one space before it, or white space up to that space.
 CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: Chunks that a worker remembers, and the longest one it does.
-REMEMBERED, LONGEST = 400_000, 64
-
-
-class ChunkCache:
-    """chunk -> encoded form. `encode` gets the unseen chunks of a batch; the cache starts anew when it is full."""
-
-    def __init__(self, encode: Callable[[list[str]], Iterable], remembered: int = REMEMBERED):
-        self.encode, self.remembered, self.known = encode, remembered, {}
-
-    def of(self, text: str) -> list:
-        """The encoded forms of the text's chunks, in order."""
-        chunks = CHUNKS.findall(text)
-        try:
-            return list(map(self.known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        new = [c for c in set(chunks) if c not in self.known]
-        found = dict(zip(new, self.encode(new), strict=True))
-        self.known.update((c, x) for c, x in found.items() if len(c) <= LONGEST)
-        known = self.known.get
-        return [known(c) or found[c] for c in chunks]
+_OTHERS = [c for c in map(chr, range(0x3001)) if c not in " \n" and re.match(f"[{_SPACE}]", c)] + ["\0"]
+#: Chunks and pieces that a worker remembers, the longest it does, and characters that are looked at together.
+REMEMBERED, LONGEST, CHARACTERS = 600_000, 64, 4 << 20
+
+
+def chunks(text: str) -> list[str]:
+    """The chunks in order; there may be empty ones."""
+    plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _OTHERS))
+    if plain:  # then chunks begin at every space and around every line end
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return CHUNKS.findall(text)
+
+
+class Cache:
+    """Encoded forms (str or bytes) of chunks and pieces; each memory starts anew when it is full.
+
+    `encode` gets unseen pieces and returns their forms; `empty` is the form of an empty text.
+    """
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], Iterable], empty: str | bytes):
+        self.split, self.encode, self.empty = regex.compile(pattern).findall, encode, empty
+        self.chunks, self.pieces = {}, {}
+
+    def _learn(self, new: set[str]) -> None:
+        cut = {c: self.split(c) for c in new}
+        unseen = set().union(*cut.values()) - self.pieces.keys()
+        if len(self.pieces) + len(unseen) > REMEMBERED:
+            self.pieces = {}
+            unseen = set().union(*cut.values())
+        listed = list(unseen)
+        self.pieces.update(zip(listed, self.encode(listed), strict=True))
+        of, join = self.pieces.__getitem__, self.empty.join
+        self.chunks.update((c, join(map(of, pieces))) for c, pieces in cut.items())
+        for piece in listed:
+            if len(piece) > LONGEST:
+                del self.pieces[piece]
+
+    def encoded(self, texts: Iterable[str | None]) -> Iterator[list]:
+        """For every text the forms of its chunks, in order."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(chunks(text or ""))
+            size += len(text or "")
+            if size > CHARACTERS:
+                yield from self._forms(held)
+                held, size = [], 0
+        yield from self._forms(held)
+
+    def _forms(self, held: list[list[str]]) -> Iterator[list]:
+        if not held:
+            return
+        here = set().union(*held)
+        new = here - self.chunks.keys()
+        if len(self.chunks) + len(new) > REMEMBERED:
+            self.chunks = {}
+            new = here
+        self._learn(new)
+        of = self.chunks.__getitem__
+        for listed in held:
+            yield list(map(of, listed))
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del self.chunks[chunk]
