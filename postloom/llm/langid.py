@@ -173,7 +173,7 @@ def learn(rows: DataFrame) -> Models:
         once, twice = (F.count_if(F.col("n") == k) for k in (1, 2))
         of_lang = F.broadcast(  # a row per language
             table.groupBy("lang").agg(
-                F.sum("n").alias("total"), F.least(F.greatest(once / (once + 2 * twice), F.lit(0.1)), F.lit(0.9)).alias("d")
+                F.sum("n").alias("total"), F.least(F.greatest(F.try_divide(once, once + 2 * twice), F.lit(0.1)), F.lit(0.9)).alias("d")
             )
         )
         of_context = table.groupBy("lang", "context").agg(F.sum("n").alias("in_context"))
@@ -263,9 +263,9 @@ def _sums(rows: DataFrame, models: Models) -> DataFrame:
 def calibrate(models: Models, rows: DataFrame) -> None:
     """Mean cross-entropy of every language and its variance times length, from documents of known language."""
     languages = F.array(*map(F.lit, models.languages))
-    n = F.element_at("sums", -1)
+    n = F.nullif(F.element_at("sums", -1), F.lit(0.0))
     own = -F.get("sums", F.array_position(languages, F.col("lang")).cast("int") - 1) / n
-    scored = _sums(rows, models).where(F.array_contains(languages, F.col("lang")) & (n > 0)).select("lang", own.alias("h"), n.alias("n"))
+    scored = _sums(rows, models).select("lang", own.alias("h"), n.alias("n")).where("h is not null")
     found = scored.groupBy("lang").agg(
         F.count(F.lit(1)).alias("docs"),
         F.sum("n").alias("n"),
@@ -290,7 +290,7 @@ def identify(rows: DataFrame, models: Models) -> DataFrame:
             F.lit(None).cast("double").alias("entropy"),
             F.lit(True).alias("rejected"),
         )
-    n = F.element_at("sums", -1)
+    n = F.nullif(F.element_at("sums", -1), F.lit(0.0))  # null where there is no letter
     sums = F.slice("sums", 1, size)
     best = F.array_max(sums)
     weight = F.least(n, F.lit(float(EVIDENCE))) / n
@@ -301,10 +301,10 @@ def identify(rows: DataFrame, models: Models) -> DataFrame:
     entropy = -best / n
     return scored.select(
         "doc_id",
-        F.when(n > 0, F.get(F.array(*map(F.lit, models.languages)), at)).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(n > 0, 1 / share).otherwise(0.0).alias("score"),
-        F.when(n > 0, entropy).alias("entropy"),
-        ((n == 0) | (entropy > of(0) + DEVIATIONS * F.sqrt(of(1) / n) + MARGIN)).alias("rejected"),
+        F.when(n.isNotNull(), F.get(F.array(*map(F.lit, models.languages)), at)).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(n.isNotNull(), 1 / share).otherwise(0.0).alias("score"),
+        entropy.alias("entropy"),
+        F.coalesce(entropy > of(0) + DEVIATIONS * F.sqrt(of(1) / n) + MARGIN, F.lit(True)).alias("rejected"),
     )
 
 
