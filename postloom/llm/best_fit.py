@@ -12,8 +12,9 @@ gives an empty result. Clashing column names cannot occur, as only `doc_id` and
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.llm.byte_bpe import BytePairs
 from postloom.llm.common import settled
-from postloom.llm.pretokens import ChunkCache
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -35,21 +36,36 @@ PLAN = T.StructType(
 )
 
 
-def tokenizer_cache(path: str) -> ChunkCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+# Fixed value: the pattern by which byte-level vocabularies cut a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of one kind of character from this length on overflow the stack of tiktoken's pattern matcher.
+LONG_RUN = re.compile(r"\s{20000}|\S{20000}")
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+_encoders: dict[str, Callable[[str], list[int]]] = {}
 
-    def encode(chunks: list[str]) -> Iterator[bytes]:
-        for found in tokenizer.encode_batch(chunks, add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
 
-    return ChunkCache(encode)
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids without special tokens, kept as long as the Python worker.
 
+    A .json file is read by the tokenizers library, a .tiktoken file of ranks by tiktoken; where both hold the same
+    vocabulary the ids are the same, and the second is about six times as fast.
+    """
+    if path not in _encoders:
+        if path.endswith(".tiktoken"):
+            import tiktoken
+
+            pairs = BytePairs.read(path, PATTERN)
+            made = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=pairs.ranks, special_tokens={})
+            fast = made.encode_ordinary
+            _encoders[path] = lambda text: fast(text) if not LONG_RUN.search(text) else pairs.encode(text)
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-_caches: dict[str, ChunkCache] = {}
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            _encoders[path] = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    return _encoders[path]
 
 
 def cut(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
@@ -57,12 +73,11 @@ def cut(df: DataFrame, vocabulary: str, capacity: int = CAPACITY, closing_id: in
     closing = np.array([closing_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _caches.setdefault(vocabulary, None) or tokenizer_cache(vocabulary)
-        _caches[vocabulary] = cache  # a worker that is used again keeps what it knows
+        encode = encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = b"".join(cache.of(text or "")) + closing
+                ids = np.array(encode(text or ""), dtype="<u4").tobytes() + closing
                 n = len(ids) // 4
                 ends = list(range(n, 0, -capacity))[::-1]
                 starts = [0, *ends[:-1]]
