@@ -213,7 +213,7 @@ class Scorer:
     def sums(self, text: str | None) -> np.ndarray:
         """Sum of log-probabilities per language, and the number of predictions at the end."""
         words = letters(text)
-        if not words:
+        if not words or not self.models.languages:
             return np.zeros(len(self.models.languages) + 1)
         new = [w for w in set(words) if w not in self.ids]
         if len(self.ids) + len(new) > WORDS:

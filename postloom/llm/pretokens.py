@@ -16,8 +16,9 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the one space before it, or white space up to that space.
 CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _OTHERS = [c for c in map(chr, range(0x3001)) if c not in " \n" and re.match(f"[{_SPACE}]", c)] + ["\0"]
-#: Chunks and pieces that a worker remembers, the longest it does, and characters that are looked at together.
-REMEMBERED, LONGEST, CHARACTERS = 600_000, 64, 4 << 20
+#: Chunks and pieces that a worker remembers (about 250 bytes each), the longest ones that it does, and characters that
+#: are looked at together.
+CHUNKS_KEPT, PIECES_KEPT, LONGEST, CHARACTERS = 600_000, 1_500_000, 64, 4 << 20
 
 
 def chunks(text: str) -> list[str]:
@@ -41,7 +42,7 @@ class Cache:
     def _learn(self, new: set[str]) -> None:
         cut = {c: self.split(c) for c in new}
         unseen = set().union(*cut.values()) - self.pieces.keys()
-        if len(self.pieces) + len(unseen) > REMEMBERED:
+        if len(self.pieces) + len(unseen) > PIECES_KEPT:
             self.pieces = {}
             unseen = set().union(*cut.values())
         listed = list(unseen)
@@ -69,7 +70,7 @@ class Cache:
             return
         here = set().union(*held)
         new = here - self.chunks.keys()
-        if len(self.chunks) + len(new) > REMEMBERED:
+        if len(self.chunks) + len(new) > CHUNKS_KEPT:
             self.chunks = {}
             new = here
         self._learn(new)

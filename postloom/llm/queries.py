@@ -76,4 +76,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op6_toxicity, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
 }
 
-ORACLES: dict[str, str] = {}
+_NUMBERED = """SELECT pair_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY pair_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM """
+
+
+def _part(part: str, side: str, where: str) -> str:
+    return f"""SELECT pair_id, place, '{part}' AS part, {side}.role AS role, {side}.text AS text
+               FROM sides JOIN parting USING (pair_id) WHERE {where} AND {side} IS NOT NULL"""
+
+
+def _joined(part: str) -> str:
+    return f"coalesce(string_agg(head || body, '' ORDER BY place) FILTER (part = '{part}'), '')"
+
+
+def _spans(part: str) -> str:
+    span = "first || '+' || length(body)"
+    return f"""coalesce(string_agg({span}, ',' ORDER BY first)
+               FILTER (part = '{part}' AND role = '{chat.TRAINED_ROLE}'), '')"""
+
+
+_PREFERENCE = f"""
+WITH turns AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
+answers AS (
+    SELECT pair_id, max(struct_pack(turn, text)) AS was FROM turns
+    WHERE role = '{chat.TRAINED_ROLE}' AND pair_id IS NOT NULL GROUP BY pair_id
+),
+swaps AS (SELECT a.pair_id, a.was, b.was.text AS other FROM answers a JOIN answers b ON b.pair_id = xor(a.pair_id, 1)),
+swapped AS (
+    SELECT pair_id, turn, role, CASE WHEN role = '{chat.TRAINED_ROLE}' AND swaps.was IS NOT NULL
+               AND struct_pack(turn := turns.turn, text := turns.text) IS NOT DISTINCT FROM swaps.was
+           THEN other ELSE text END AS text
+    FROM turns LEFT JOIN swaps USING (pair_id)
+),
+sides AS (
+    SELECT pair_id, place, c.said AS chosen, r.said AS rejected
+    FROM (SELECT pair_id, place, struct_pack(role, text) AS said FROM ({_NUMBERED} turns)) c
+    FULL JOIN (SELECT pair_id, place, struct_pack(role, text) AS said FROM ({_NUMBERED} swapped)) r USING (pair_id, place)
+),
+parting AS (
+    SELECT pair_id, coalesce(min(CASE WHEN chosen IS DISTINCT FROM rejected THEN place END), 1000000000000) AS cut
+    FROM sides GROUP BY pair_id
+),
+parts AS (
+    {_part("prompt", "chosen", "place < cut")}
+    UNION ALL {_part("chosen", "chosen", "place >= cut")}
+    UNION ALL {_part("rejected", "rejected", "place >= cut")}
+),
+rendered AS (
+    SELECT *, '{chat.OPEN}' || role || chr(10) AS head, text || '<|im_end|>' || chr(10) AS body FROM parts
+),
+placed AS (
+    SELECT *, CAST(length(head) + coalesce(sum(length(head || body)) OVER (PARTITION BY pair_id, part ORDER BY place
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+    FROM rendered
+)
+SELECT pair_id, {_joined("prompt")} AS prompt, count(*) FILTER (part = 'prompt') AS prompt_turns,
+       {_joined("chosen")} AS chosen, {_spans("chosen")} AS chosen_spans,
+       {_joined("rejected")} AS rejected, {_spans("rejected")} AS rejected_spans
+FROM placed GROUP BY pair_id"""
+
+#: The other queries are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {"op4_preference_chat": _PREFERENCE}
