@@ -2,125 +2,83 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.operators.filters import check_page
 
-# Rows all tasks together may send to one place for a plain top-k.
-DIRECT_ROWS = 1_000_000
-# Rows a located page may hold on either side beyond its own.
-BIN_ROWS = 1_000
-_BINS = 1_000
-_ABSENT = -(10**9)
+#: A day of more rows than this is divided by the second before its rows are sorted.
+DAY_ROWS = 100_000
+_DAY = 86_400
 
 
-def _published() -> Column:
-    return F.col("publish_time").try_cast("timestamp_ntz")
-
-
-def _number() -> Column:
-    return F.col("raw_id").try_cast("long")
+def with_order_columns(df: DataFrame) -> DataFrame:
+    """`published_at` and `raw_number`, what listings are ordered by; stored tables have them already."""
+    made = {
+        "published_at": F.col("publish_time").try_cast("timestamp_ntz") if "published_at" not in df.columns else None,
+        "raw_number": F.col("raw_id").try_cast("long") if "raw_number" not in df.columns else None,
+    }
+    return df.withColumns({c: e for c, e in made.items() if e is not None})
 
 
 def newest_first() -> list[Column]:
-    return [_published().desc_nulls_last(), _number().desc_nulls_last()]
-
+    """Order for frames that hold the text columns only."""
+    at, number = F.col("publish_time").try_cast("timestamp_ntz"), F.col("raw_id").try_cast("long")
+    return [at.desc_nulls_last(), number.desc_nulls_last()]
 
-def _order_keys() -> list[Column]:
-    """`newest_first` as whole numbers, most significant first: day, microsecond of day, raw id."""
-    at = _published()
-    minutes = (F.hour(at) * 60 + F.minute(at)).cast("long")
-    micros = minutes * 60_000_000 + F.extract(F.lit("SECOND"), at) * 1_000_000
-    keys = [F.unix_date(at.cast("date")), micros, _number()]
-    return [F.coalesce(k.cast("long"), F.lit(_ABSENT)) for k in keys]
 
+def _second(at: Column) -> Column:
+    return F.unix_date(at.cast("date")).cast("long") * _DAY + (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at))
 
-@dataclass(frozen=True)
-class _Bin:
-    """Rows whose leading keys equal `prefix` and whose next key lies in [low, high]."""
 
-    prefix: list[int]
-    low: int
-    high: int
-    before: int
-    rows: int
+def _range(counts: Sequence[tuple[int | None, int]], first: int, last: int) -> tuple[list, int]:
+    """Keys, newest first and null at the end, that hold the positions first to last; rows before them."""
+    before, keys = 0, []
+    for key, rows in sorted(counts, key=lambda x: (x[0] is None, -(x[0] or 0))):
+        if before + rows > first and before <= last:
+            keys.append((key, before))
+        before += rows
+    return [k for k, _ in keys], keys[0][1] if keys else before
 
-    def holds(self, position: int) -> bool:
-        return self.before <= position < self.before + self.rows
 
-    def _from(self, edge: Column, beyond) -> Column:
-        """Lexicographic bound: the edge at the last key, or already beyond at an earlier one."""
-        for key, value in reversed(list(zip(_order_keys(), self.prefix))):
-            edge = beyond(key, value) | ((key == value) & edge)
-        return edge
+def _between(keys: list, unit: int) -> Column:
+    """Rows published in the units of the keys: literal bounds of the time stamp, so they reach the scan."""
+    at = F.col("published_at")
+    known = [k for k in keys if k is not None]
+    bound = F.lit(False)
+    if known:
+        low, high = (F.expr(f"timestamp_ntz '1970-01-01' + make_dt_interval(0, 0, 0, {s})")
+                     for s in (min(known) * unit, (max(known) + 1) * unit))
+        bound = (at >= low) & (at < high)
+    return bound | at.isNull() if None in keys else bound
 
-    def and_later(self) -> Column:
-        return self._from(_order_keys()[len(self.prefix)] <= self.high, lambda k, v: k < v)
 
-    def and_earlier(self) -> Column:
-        return self._from(_order_keys()[len(self.prefix)] >= self.low, lambda k, v: k > v)
+def page(df: DataFrame, number: int, size: int, day_rows: int = DAY_ROWS) -> DataFrame:
+    """Page of postings, newest first, ties by raw id, at any depth in at most three jobs.
 
-
-def _locate(df: DataFrame, position: int, bin_rows: int) -> _Bin | None:
-    """A bin of few rows that holds the given position in the ordering; None past the end.
-
-    Counts rows in equal-width bins of the first key and descends into the one that holds the
-    position, then into the next key where one value alone has too many rows. Only bin counts
-    reach the driver, whatever the skew.
-    """
-    prefix, before, here = [], 0, F.lit(True)
-    for key in _order_keys():
-        keys = df.filter(here).select(key.alias("k"))
-        low, high, rows = keys.agg(F.min("k"), F.max("k"), F.count("k")).first()
-        if position >= before + rows:
-            return None
-        while low < high:
-            width = -(-(high - low + 1) // _BINS)
-            bins = (
-                keys.filter(F.col("k").between(low, high))
-                .groupBy(F.expr(f"({high} - k) div {width}").alias("bin"))
-                .count()
-                .orderBy("bin")
-                .collect()
-            )
-            for target in bins:
-                if position < before + target["count"]:
-                    break
-                before += target["count"]
-            high -= target["bin"] * width
-            low = max(low, high - width + 1)
-            rows = target["count"]
-            if rows <= bin_rows:
-                return _Bin(prefix, low, high, before, rows)
-        prefix.append(high)
-        here = here & (key == high)
-    return _Bin(prefix[:-1], low, high, before, rows)
-
-
-def page(
-    df: DataFrame, number: int, size: int, direct_rows: int = DIRECT_ROWS, bin_rows: int = BIN_ROWS
-) -> DataFrame:
-    """Page of postings, newest first, ties by raw id.
-
-    A plain top-k makes every task send all rows up to the page's end to one place, which is fine
-    for few tasks or early pages. Beyond that the page is located by counting, and the top-k only
-    sees the rows between its bounds. `df` should read a stored table, as locating scans it again.
+    One count per day says which days hold the page; only these are read again, by bounds on the time stamp. Where
+    they hold more than `day_rows`, a count per second of these days narrows the bounds once more. Only counts reach
+    the driver: one per calendar day, and one per second of the days of one page.
     """
     check_page(number, size)
-    skip = (number - 1) * size
-    if (skip + size) * df.rdd.getNumPartitions() > direct_rows:
-        first = _locate(df, skip, bin_rows)
-        if first is None:
-            return df.limit(0)
-        end = skip + size - 1
-        last = first if first.holds(end) else _locate(df, end, bin_rows)
-        df = df.filter(first.and_later())
-        df = df if last is None else df.filter(last.and_earlier())
-        skip -= first.before
-    return df.orderBy(*newest_first()).offset(skip).limit(size)
+    first, columns = (number - 1) * size, df.columns
+    rows = with_order_columns(df)
+    at = F.col("published_at")
+    day = F.unix_date(at.cast("date")).cast("long")
+    counts = [tuple(r) for r in rows.groupBy(day.alias("day")).count().collect()]
+    days, before = _range(counts, first, first + size - 1)
+    if not days:
+        return df.limit(0)
+    inside = _between(days, _DAY)
+    if sum(n for k, n in counts if k in days) > day_rows:
+        seconds = rows.filter(inside).groupBy(_second(at).alias("second")).count().collect()
+        exact, earlier = _range([tuple(r) for r in seconds], first - before, first - before + size - 1)
+        before += earlier
+        inside = _between(exact, 1)
+    ordered = rows.filter(inside).orderBy(at.desc_nulls_last(), F.col("raw_number").desc_nulls_last())
+    return ordered.offset(first - before).limit(size).select(*columns)
 
 
 def page_meta(df: DataFrame, number: int, size: int) -> DataFrame:

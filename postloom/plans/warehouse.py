@@ -9,6 +9,7 @@ from postloom import schema as S
 from postloom.operators.counts import labelled_counts
 from postloom.operators.dedup import latest_postings
 from postloom.operators.filters import has_uid, valid_row
+from postloom.operators.paging import with_order_columns
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import clean, typed
 from postloom.plans.statistics import statistics
@@ -73,8 +74,8 @@ def publish_clean(
     mine = raw.filter(F.col("scope_id") == scope.scope_id)
     _gate(warehouse, mine, scope, "clean", complete, at)
     cleaned = latest_postings(clean(mine).filter(has_uid()))
-    stamped = cleaned.withColumn("created_at", F.lit(at).cast("timestamp"))
-    warehouse.replace("posting_serving", stamped, scope)
+    stamped = with_order_columns(cleaned.withColumn("created_at", F.lit(at).cast("timestamp")))
+    warehouse.replace("posting_serving", stamped.sortWithinPartitions(F.desc("published_at")), scope)
     path = write_snapshot(warehouse.read("posting_serving", scope), csv_root, scope)
     warehouse.log_run(scope, "clean", "ok", mine.count(), warehouse.count("posting_serving", scope), at)
     return path

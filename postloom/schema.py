@@ -81,7 +81,15 @@ SKILL = T.StructType(
     [DETAIL[name] for name in SKILL_PARENT_COLUMNS]
     + [T.StructField("skill", T.StringType()), T.StructField("skill_pos", T.IntegerType())]
 )
-SERVING = T.StructType(SNAPSHOT.fields + [T.StructField("created_at", T.TimestampType())])
+SERVING = T.StructType(
+    SNAPSHOT.fields
+    + [
+        T.StructField("created_at", T.TimestampType()),
+        # What listings are ordered by, typed, so that bounds on it reach the scan.
+        T.StructField("published_at", T.TimestampNTZType()),
+        T.StructField("raw_number", T.LongType()),
+    ]
+)
 STATISTIC = T.StructType(
     [
         T.StructField("scope_id", T.StringType()),

@@ -114,41 +114,49 @@ def _expected(df):
     return [r.raw_id for r in sorted(rows, key=lambda r: (r.publish_time or "", int(r.raw_id)), reverse=True)]
 
 
-@pytest.mark.parametrize("bin_rows", [1, 50, 10_000])
+@pytest.mark.parametrize("day_rows", [1, 50, 10_000])
 @pytest.mark.parametrize("days", [1, 7, 365])
-def test_every_page_depth_agrees(spark, bin_rows, days):
+def test_every_page_depth_agrees(spark, day_rows, days):
     df = _many(spark, 600, days).cache()
     expected = _expected(df)
     for number in (1, 17, 58, 60, 61):
-        got = [r.raw_id for r in paging.page(df, number, 11, 0, bin_rows).collect()]
+        got = [r.raw_id for r in paging.page(df, number, 11, day_rows).collect()]
         assert got == expected[(number - 1) * 11 : number * 11]
 
 
 def test_pages_cover_everything_once(spark):
     df = _many(spark, 95)
     expected = _expected(df)
-    for direct_rows in (10**6, 0):
-        pages = [paging.page(df, n, 30, direct_rows, 20).collect() for n in range(1, 5)]
+    for day_rows in (10**6, 5):
+        pages = [paging.page(df, n, 30, day_rows).collect() for n in range(1, 5)]
         assert [r.raw_id for rows in pages for r in rows] == expected
 
 
-def test_located_page_survives_equal_keys(spark):
+def test_page_of_equal_and_unreadable_keys(spark):
     same = spark.range(40).select(F.lit("7").alias("raw_id"), F.lit("2024-01-01").alias("publish_time"))
-    sizes = [paging.page(same, n, 15, 0, 5).count() for n in (1, 2, 3, 4)]
-    assert sizes == [15, 15, 10, 0]
-
-
-def test_located_page_reads_only_its_rows(spark):
-    df = _many(spark, 600, 365)
-    first = paging._locate(df, 300, 10)
-    last = paging._locate(df, 309, 10)
-    between = df.filter(first.and_later()).filter(last.and_earlier())
-    assert 10 <= between.count() <= 30
-
-
-def test_shallow_page_is_a_top_k(spark):
-    plan = paging.page(_many(spark, 95), 3, 10)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+    assert [paging.page(same, n, 15, 5).count() for n in (1, 2, 3, 4)] == [15, 15, 10, 0]
+    odd = spark.createDataFrame([("x", "2024-01-01"), ("5", None), ("6", "1969-05-05 03:00:00"), ("-3", None), (None, "?")],
+                                "raw_id string, publish_time string")
+    for day_rows in (1, 100):
+        got = [r.raw_id for n in (1, 2, 3) for r in paging.page(odd, n, 2, day_rows).collect()]
+        assert got == ["x", "6", "5", "-3", None]
+
+
+def test_deep_page_takes_three_jobs_and_pushes_its_bounds(spark, tmp_path):
+    path = str(tmp_path / "postings")
+    paging.with_order_columns(_many(spark, 600, 365)).write.orc(path)
+    stored = spark.read.orc(path)
+    spark.sparkContext.setJobGroup("page", "page")
+    try:
+        found = paging.page(stored, 31, 10, day_rows=1)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert "GreaterThanOrEqual(published_at" in pushed and "LessThan(publi" in pushed
+    assert "TakeOrderedAndProject" in plan
+    # With adaptive planning each of the two counts runs as a map and a result job.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("page")) <= 4
 
 
 @pytest.mark.parametrize("total, pages", [(0, 1), (10, 1), (11, 2), (20, 2)])

@@ -230,8 +230,8 @@ def job_page(spark, sf_dir):
 
 @query(f"SELECT raw_id, {_LIST} FROM postings ORDER BY {_NEWEST} LIMIT 40 OFFSET 12000")
 def job_page_deep(spark, sf_dir):
-    """A page deep enough to be located by counting."""
-    rows = paging.page(postings(spark, sf_dir), 301, 40, direct_rows=0)
+    """A deep page, located by days and, as the bound is low here, by seconds."""
+    rows = paging.page(postings(spark, sf_dir), 301, 40, day_rows=20)
     return rows.select("raw_id", *[F.col(c).alias(n) for c, n in S.LIST_FIELDS.items()])
 
 
@@ -675,7 +675,7 @@ def _sorted_members(names: list[str]) -> str:
     f"""SELECT scope_id, stat_type, part, parts, regexp_replace(CAST(CASE stat_type
                WHEN 'city' THEN {_sorted_members(["categories", "job_counts", "average_salary_wan"])}
                WHEN 'summary' THEN {_sorted_members([*_SUMMARY_FIELDS, "data_updated_at"])}
-               ELSE data END AS VARCHAR), '(\\d)\.0([,}}\]])', '\\1\\2', 'g') AS payload
+               ELSE data END AS VARCHAR), '(\\d)\\.0([,}}\\]])', '\\1\\2', 'g') AS payload
         FROM (SELECT *, json_extract(payload, '$.data') AS data FROM ({_PACKED}))"""
 )
 def unwrap_payload(spark, sf_dir):
