@@ -112,6 +112,18 @@ def renamed(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(n) for c, n in fields.items()])
 
 
+class PostingNotFound(LookupError):
+    """No posting has the uid that was asked for."""
+
+
+def found_detail(df: DataFrame, job_uid: str, scope_id: str | None = None) -> DataFrame:
+    """`job_detail`, or an error when there is no such posting; one row at most is looked at."""
+    hit = job_detail(df, job_uid, scope_id)
+    if hit.isEmpty():
+        raise PostingNotFound(job_uid)
+    return hit
+
+
 def job_detail(df: DataFrame, job_uid: str, scope_id: str | None = None) -> DataFrame:
     """One posting by uid; the newest raw id wins when scopes share the uid."""
     hits = df.filter(F.col("job_uid") == job_uid)

@@ -38,17 +38,31 @@ def _gate(warehouse: Warehouse, df: DataFrame, scope: S.Scope, stage: str, compl
     raise SnapshotRejected(f"{stage} of {scope.scope_id}: {'empty' if complete else 'partial'} snapshot")
 
 
-def load(warehouse: Warehouse, scope: S.Scope, csv_path: str, at: str, complete: bool = True) -> DataFrame:
+def load(
+    warehouse: Warehouse, scope: S.Scope, csv_path: str, at: str, complete: bool = True, multi_line: bool = True
+) -> DataFrame:
     """CSV snapshot to the three warehouse layers of its scope; returns their row counts.
 
-    Each layer is read back from storage for the next one: the CSV is parsed once, and a lost
-    executor never leads further back than the previous layer.
+    Each layer is staged and read back for the next one: the CSV is parsed once, and a lost executor
+    never leads further back than the previous layer. The layers are published when all three are
+    staged, so a failure while making one leaves the old ones; such a run is logged as failed. With
+    `multi_line` off, large files without quoted line breaks are split over tasks.
     """
-    first = valid_rows(read_snapshot(warehouse.spark, csv_path), scope)
+    first = valid_rows(read_snapshot(warehouse.spark, csv_path, multi_line), scope)
     _gate(warehouse, first, scope, "load", complete, at)
-    warehouse.replace("snapshot_raw", first, scope)
-    warehouse.replace("posting_detail", to_detail(warehouse.read("snapshot_raw", scope)), scope)
-    warehouse.replace("posting_skill", explode_skills(warehouse.read("posting_detail", scope)), scope)
+    layers = {
+        "snapshot_raw": lambda: first,
+        "posting_detail": lambda: to_detail(warehouse.read("snapshot_raw", scope, staged=True)),
+        "posting_skill": lambda: explode_skills(warehouse.read("posting_detail", scope, staged=True)),
+    }
+    try:
+        for table, made in layers.items():
+            warehouse.replace(table, made(), scope, staged=True)
+        for table in layers:
+            warehouse.replace(table, warehouse.read(table, scope, staged=True), scope)
+    except Exception:
+        warehouse.log_run(scope, "load", "failed", 0, 0, at)
+        raise
     kept = [warehouse.count(t, scope) for t in ("snapshot_raw", "posting_detail")]
     warehouse.log_run(scope, "load", "ok", *kept, at)
     return layer_counts(warehouse, scope)

@@ -170,6 +170,8 @@ SALARY_BUCKETS = [
 
 # Label shown in place of a blank field, in job listings and in job details.
 LIST_LABELS = {"education": "不限", "experience": "不限", "company_type": "未知"}
+# What stands for an empty skill list, and for a figure that is absent.
+NO_SKILLS, ABSENT = "暂无技能标签", "—"
 DETAIL_LABELS = {
     "education": "学历不限",
     "experience": "经验不限",

@@ -28,12 +28,13 @@ class Warehouse:
         self.base = base.rstrip("/")
         self.fmt = fmt
 
-    def path(self, table: str) -> str:
-        return f"{self.base}/{table}"
+    def path(self, table: str, staged: bool = False) -> str:
+        """Folder of a table, or of its staging copy beside the tables."""
+        return f"{self.base}/{'_staging/' * staged}{table}"
 
-    def read(self, table: str, scope: S.Scope | None = None) -> DataFrame:
+    def read(self, table: str, scope: S.Scope | None = None, staged: bool = False) -> DataFrame:
         """Whole table, or one scope's partition."""
-        df = self.spark.read.schema(SCHEMAS[table]).format(self.fmt).load(self.path(table))
+        df = self.spark.read.schema(SCHEMAS[table]).format(self.fmt).load(self.path(table, staged))
         return df if scope is None else df.filter(F.col("scope_id") == scope.scope_id)
 
     def statistics(self, scope: S.Scope, stat_types=S.STAT_TYPES, table: str = "statistic") -> DataFrame:
@@ -46,7 +47,7 @@ class Warehouse:
             raise ValueError(f"unknown source {source!r}")
         return self.read(tables[source], scope)
 
-    def replace(self, table: str, df: DataFrame, scope: S.Scope | None = None) -> None:
+    def replace(self, table: str, df: DataFrame, scope: S.Scope | None = None, staged: bool = False) -> None:
         """Swap in the partitions present in `df` when the write commits.
 
         A failed write leaves the old partitions. With `scope` given, `df` holds that scope only:
@@ -64,16 +65,16 @@ class Warehouse:
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
             .format(self.fmt)
-            .save(self.path(table))
+            .save(self.path(table, staged))
         )
         # Tasks that ran twice may count twice, so the metric only tells none from some.
         if scope is not None and seen.get["rows"] == 0:
-            self._empty(table, scope)
+            self._empty(table, scope, staged)
 
-    def _empty(self, table: str, scope: S.Scope) -> None:
+    def _empty(self, table: str, scope: S.Scope, staged: bool) -> None:
         fields = [f for f in SCHEMAS[table].fields if f.name != "scope_id"]
         nothing = self.spark.createDataFrame([], T.StructType(fields))
-        nothing.write.mode("overwrite").format(self.fmt).save(f"{self.path(table)}/scope_id={scope.scope_id}")
+        nothing.write.mode("overwrite").format(self.fmt).save(f"{self.path(table, staged)}/scope_id={scope.scope_id}")
 
     def count(self, table: str, scope: S.Scope) -> int:
         return self.read(table, scope).count()

@@ -241,3 +241,9 @@ def test_display(snapshot):
     full = display.detail(filters.job_detail(rows, "u1")).first()
     assert (full.education, full.job_type, full.address, full.industry) == ("学历不限", " ", "北京", "未知")
     assert (full.description, full.skill_tags, full.salary) == ("暂无职位描述", ["sql", "python"], "10万–—")
+
+
+def test_posting_that_is_not_there(snapshot):
+    assert filters.found_detail(snapshot({}), "u1").count() == 1
+    with pytest.raises(filters.PostingNotFound):
+        filters.found_detail(snapshot({}), "nobody")

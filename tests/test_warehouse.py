@@ -1,3 +1,4 @@
+import json
 from datetime import date
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ from postloom.operators.dedup import latest_postings
 from postloom.operators.filters import has_uid
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import clean, typed
+from postloom.plans import serving
 from postloom.plans import warehouse as W
 from postloom.sources.snapshot import read_snapshot, write_snapshot
 from postloom.sources.tables import Warehouse, bootstrap, read_jdbc
@@ -247,3 +249,48 @@ def test_scope_codes_stay_text(spark, store, snapshot):
         assert column(store.read("snapshot_raw", S.Scope("k", "007")), "scope_id") == ["007"]
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+
+
+def test_failure_in_a_later_layer_leaves_all_old_ones(tmp_path, snapshot, scope, store, monkeypatch):
+    first = write_snapshot(snapshot({"raw_id": "1"}), str(tmp_path / "a"), scope)
+    W.load(store, scope, first, AT)
+    second = write_snapshot(snapshot({"raw_id": "2", "job_uid": "u2"}), str(tmp_path / "b"), scope)
+
+    def broken(_):
+        raise RuntimeError("typing failed")
+
+    monkeypatch.setattr(W, "to_detail", broken)
+    with pytest.raises(RuntimeError):
+        W.load(store, scope, second, AT)
+    assert {str(r.raw_id) for t in ("snapshot_raw", "posting_detail", "posting_skill") for r in store.read(t).collect()} == {"1"}
+    assert [r.status for r in store.read("run_log").collect()].count("failed") == 1
+    monkeypatch.undo()
+    W.load(store, scope, second, AT, multi_line=False)
+    assert {str(r.raw_id) for r in store.read("posting_skill").collect()} == {"2"}
+
+
+def test_statistics_never_go_stale(tmp_path, snapshot, scope, store):
+    """A newer snapshot without skills, dates and salaries empties those statistics in both tiers."""
+    for number, row in enumerate([{}, {"skills": None, "salary_low": "面议", "publish_time": "未知"}]):
+        path = write_snapshot(snapshot({"raw_id": str(number + 1), **row}), str(tmp_path / str(number)), scope)
+        W.load(store, scope, path, AT)
+        W.publish_statistics(store, scope, f"2024-01-0{number + 1} 00:00:00")
+    for table in ("statistic", "statistic_hot"):
+        rows = {r.stat_type: json.loads(r.payload) for r in store.statistics(scope, table=table).collect()}
+        assert sorted(rows) == sorted(S.STAT_TYPES)
+        assert {p["updated_at"] for p in rows.values()} == {"2024-01-02 00:00:00"}
+        for empty in ("skills", "salary", "publish_trend"):
+            assert rows[empty]["data"] == {"categories": [], "values": []}
+    payloads, _ = serving.dashboard(store.read("statistic_hot"), store.read("statistic"), scope.scope_id, "all")
+    assert payloads.count() == len(S.STAT_TYPES)
+
+
+def test_hot_tier_is_refilled_from_the_durable_one(tmp_path, snapshot, scope, store):
+    path = write_snapshot(snapshot({"raw_id": "1"}), str(tmp_path / "csv"), scope)
+    W.load(store, scope, path, AT)
+    W.publish_statistics(store, scope, AT)
+    broken = store.statistics(scope, ["skills", "city"], "statistic_hot").withColumn("payload", F.lit("{bad")).select(*S.STATISTIC.names)
+    store.replace("statistic_hot", store.spark.createDataFrame(broken.collect(), S.STATISTIC))
+    serving.repair(store, scope)
+    hot = {r.stat_type: r.payload for r in store.statistics(scope, table="statistic_hot").collect()}
+    assert hot == {r.stat_type: r.payload for r in store.statistics(scope).collect()}

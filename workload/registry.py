@@ -318,6 +318,20 @@ def stat_summary(spark, sf_dir):
     return stats.summary(typed_postings(spark, sf_dir)).withColumn("data_updated_at", F.lit(STAMP))
 
 
+@query(
+    f"""SELECT scope_id, format('{{:,}}', count(*)) AS job_count,
+               format('{{:,}}', count(DISTINCT CASE WHEN trim(company) <> '' THEN company END)) AS company_count,
+               format('{{:,}}', count(DISTINCT CASE WHEN trim(city) <> '' THEN city END)) AS city_count,
+               format('{{:,}}', count(salary_low_wan + salary_high_wan)) AS salary_job_count,
+               coalesce(CAST({_AVG} AS VARCHAR), '{S.ABSENT}') AS average_annual_salary_wan,
+               '{S.ABSENT}' AS data_updated_at
+        FROM typed GROUP BY scope_id"""
+)
+def display_summary(spark, sf_dir):
+    summary = stats.summary(typed_postings(spark, sf_dir)).withColumn("data_updated_at", F.lit(""))
+    return display.key_figures(summary)
+
+
 @query("SELECT scope_id, category, value, average_salary_wan FROM cats WHERE stat_type = 'city'")
 def stat_city(spark, sf_dir):
     return stats.city(typed_postings(spark, sf_dir))
