@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom import schema as S
-from postloom.functions.payload import quoted
+from postloom.functions.payload import quoted, unwrap
 from postloom.functions.text import plain_text, truncate
 from postloom.operators.filters import renamed
-from postloom.operators.packing import stored_order
 from postloom.operators.paging import newest_first, recent
 
 LIST_LIMIT, TEXT_LIMIT = 30, 1200
@@ -21,7 +20,8 @@ def _block(items: Column, brackets: str, depth: int) -> Column:
     """Items one per line inside brackets, indented by two blanks per level."""
     pad = "  " * (depth + 1)
     body = F.array_join(items, f",\n{pad}")
-    return F.concat(F.lit(f"{brackets[0]}\n{pad}"), body, F.lit(f"\n{'  ' * depth}{brackets[1]}"))
+    full = F.concat(F.lit(f"{brackets[0]}\n{pad}"), body, F.lit(f"\n{'  ' * depth}{brackets[1]}"))
+    return F.when(F.size(items) > 0, full).otherwise(F.lit(brackets))
 
 
 def _field(name: str, value: Column) -> Column:
@@ -61,35 +61,46 @@ def _bounded(texts: DataFrame, limit: int) -> DataFrame:
     return texts.withColumn("context", truncate(F.col("context"), limit, S.CONTEXT_TRUNCATED))
 
 
-def statistic_blocks(rows: DataFrame, summary: DataFrame, updated_at: str) -> DataFrame:
-    """(scope_id, stat_type, block): each statistic as indented JSON, lists cut to their first 30."""
-    order = Window.partitionBy("scope_id", "stat_type").orderBy("o", "category")
-    first = (
-        rows.withColumn("o", stored_order())
-        .withColumn("_rn", F.row_number().over(order))
-        .filter(F.col("_rn") <= LIST_LIMIT)
-    )
-    entry = F.struct("_rn", "category", "value", "average_salary_wan")
-    lists = first.groupBy("scope_id", "stat_type").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    e = F.col("e")
-    names = _field("categories", _texts(e["category"], 3))
-    plain = _object([names, _field("values", _numbers(e["value"], 3))], 2)
-    city = _object(
-        [
-            names,
-            _field("job_counts", _numbers(e["value"], 3)),
-            _field("average_salary_wan", _numbers(e["average_salary_wan"], 3)),
-        ],
-        2,
-    )
-    block = F.when(F.col("stat_type") == "city", city).otherwise(plain)
-    totals = _object(
-        [_field(c, _number(F.col(c))) for c in summary.columns if c != "scope_id"]
-        + [_field("data_updated_at", quoted(F.lit(updated_at)))],
-        2,
+# The shapes that payloads have; a field that is absent is null.
+_LISTS = {"categories": "string", "values": "bigint", "job_counts": "bigint", "average_salary_wan": "double"}
+_FIGURES = {
+    "job_count": "bigint",
+    "company_count": "bigint",
+    "city_count": "bigint",
+    "average_annual_salary_wan": "double",
+    "salary_job_count": "bigint",
+    "data_updated_at": "string",
+}
+
+
+def statistic_blocks(served: DataFrame) -> DataFrame:
+    """(scope_id, stat_type, block): each served payload as indented JSON, lists cut to their first 30.
+
+    Payloads may come with or without envelope. Part 0 holds the first entries of a statistic, so later parts
+    are not read. A payload of another shape stays as compact JSON, cut like a text.
+    """
+    kinds = [f"{n} array<{t}>" for n, t in _LISTS.items()] + [f"{n} {t}" for n, t in _FIGURES.items()]
+    text = F.to_json(unwrap(F.col("payload")))
+    first = served.filter("part = 0").select("scope_id", "stat_type", text.alias("text"))
+    d = F.col("d")
+
+    def listed(name: str) -> Column:
+        some = F.slice(d[name], 1, LIST_LIMIT)
+        return _field(name, _texts(some, 3) if _LISTS[name] == "string" else _numbers(some, 3))
+
+    def figure(name: str) -> Column:
+        return _field(name, quoted(d[name]) if _FIGURES[name] == "string" else _number(d[name]))
+
+    city = _object([listed(n) for n in _LISTS if n != "values"], 2)
+    plain = _object([listed("categories"), listed("values")], 2)
+    block = (
+        F.when(d["job_counts"].isNotNull(), city)
+        .when(d["values"].isNotNull(), plain)
+        .when(d["job_count"].isNotNull(), _object([figure(n) for n in _FIGURES], 2))
+        .otherwise(truncate(F.col("text"), TEXT_LIMIT))
     )
-    return lists.select("scope_id", "stat_type", block.alias("block")).unionByName(
-        summary.select("scope_id", F.lit("summary").alias("stat_type"), totals.alias("block"))
+    return first.withColumn("d", F.from_json("text", ", ".join(kinds))).select(
+        "scope_id", "stat_type", block.alias("block")
     )
 
 

@@ -210,8 +210,7 @@ def test_pipeline_end_to_end(spark, tmp_path, snapshot, scope):
 
 def test_context_text(postings):
     detail = typed(postings)
-    rows = stats.statistic_rows(stats.category_counts(detail), explode_skills(detail))
-    blocks = context.statistic_blocks(rows, stats.summary(detail), AT)
+    blocks = context.statistic_blocks(stats.statistics(detail, explode_skills(detail), AT))
     texts = {r.scope_id: r.context for r in context.scope_context(blocks, context.sample_blocks(postings)).collect()}
     whole = json.loads(texts["a"])
     assert texts["a"] == json.dumps(whole, ensure_ascii=False, indent=2)
@@ -228,10 +227,22 @@ def test_context_limits(spark):
         [("s", "education", f"{i:02d}" + "x" * 1300, 100 - i, None) for i in range(40)],
         "scope_id string, stat_type string, category string, value long, average_salary_wan double",
     )
-    summary = spark.createDataFrame([("s", 1, None)], "scope_id string, job_count long, average double")
-    text = context.scope_context(context.statistic_blocks(rows, summary, AT), limit=10**6).first().context
+    summary = spark.createDataFrame(
+        [("s", 1, 2, 3, None, 4)],
+        "scope_id string, job_count long, company_count long, city_count long, average_annual_salary_wan double,"
+        " salary_job_count long",
+    )
+    odd = spark.createDataFrame(
+        [("s", "skills", 0, 1, '{"categories":[],"values":[]}'), ("s", "city", 0, 1, '{"data":{"x":[1,2]},"updated_at":""}')],
+        S.STATISTIC,
+    )
+    served = packing.pack(rows, AT).unionByName(packing.pack_summary(summary, AT)).unionByName(odd)
+    text = context.scope_context(context.statistic_blocks(served), limit=10**6).first().context
     got = json.loads(text)["statistics"]
-    assert got["summary"] == {"job_count": 1, "average": None, "data_updated_at": AT}
+    assert got["summary"] == {"job_count": 1, "company_count": 2, "city_count": 3, "average_annual_salary_wan": None,
+                              "salary_job_count": 4, "data_updated_at": AT}
+    assert got["skills"] == {"categories": [], "values": []} and '"categories": []' in text
+    assert got["city"] == {"x": [1, 2]}
     assert got["education"]["values"] == [100 - i for i in range(30)]
     assert got["education"]["categories"][0] == "00" + "x" * 1198 + S.TRUNCATED
 

@@ -781,11 +781,12 @@ _CONTEXT = _json_members(
         ) USING (scope_id))"""
 )
 def context_pack(spark, sf_dir):
-    source = postings(spark, sf_dir)
-    detail = typed(source)
-    rows = packing.unpack(_payloads(spark, sf_dir))
-    blocks = context.statistic_blocks(rows, stats.summary(detail), STAMP)
-    return context.scope_context(blocks, context.sample_blocks(source))
+    """Contexts from payloads; those of one statistic have no envelope."""
+    bare = F.when(F.col("stat_type") == "education", F.to_json(P.unwrap(F.col("payload")))).otherwise(F.col("payload"))
+    served = _payloads(spark, sf_dir).withColumn("payload", bare)
+    return context.scope_context(
+        context.statistic_blocks(served), context.sample_blocks(postings(spark, sf_dir))
+    )
 
 
 _JOB_FIELDS = [
