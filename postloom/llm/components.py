@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import settled
@@ -15,9 +15,13 @@ def connected(edges: DataFrame) -> DataFrame:
     is written to the checkpoint folder, so a lost executor costs one round at most. Only the number of changed
     labels reaches the driver. An empty edge table gives an empty result.
     """
-    both = settled(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    )
+    # Where a node has several smaller neighbours, these and the node are linked to the smallest of them instead:
+    # the components stay, and a dense group keeps about one edge for each node.
+    upper, lower = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    down = edges.select(upper, lower).where("a <> b").distinct()
+    least = down.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    fewer = least.select("a", F.col("least").alias("b")).union(least.select("b", "least").where("b <> least")).distinct()
+    both = settled(fewer.union(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
     while True:
         near = (
