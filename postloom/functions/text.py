@@ -48,6 +48,40 @@ def wan_amount_anywhere(c: Column) -> Column:
     return F.nullif(digits, F.lit("")).try_cast(S.AMOUNT)
 
 
+#: Units of salary text in 万, and periods in years; a bare number is 万 a year.
+SALARY_UNITS = {"万": "1", "千": "0.1", "k": "0.1", "元": "0.0001"}
+SALARY_PERIODS = {"年": "1", "月": "12", "天": "250", "日": "250"}
+_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+_MEASURE = r"\s*(万|千|[kK]|元)?\s*/?\s*(年|月|天|日)?$"
+
+
+def _yearly(number: Column, unit: Column, period: Column) -> Column:
+    """Amount in 万 a year as text, without trailing zeros."""
+    factors = {}
+    for name, table in (("unit", SALARY_UNITS), ("period", SALARY_PERIODS)):
+        value = F.lit("1")
+        for key, factor in table.items():
+            value = F.when(F.lower(unit if name == "unit" else period) == key, F.lit(factor)).otherwise(value)
+        factors[name] = value.cast("decimal(10,4)")
+    amount = F.round(number.cast("decimal(18,4)") * factors["unit"] * factors["period"], 2).cast("decimal(20,2)")
+    return F.concat(F.regexp_replace(amount.cast("string"), r"\.?0+$", ""), F.lit("万"))
+
+
+def normal_salary(low: Column, high: Column) -> tuple[Column, Column]:
+    """Salary texts as amounts in 万 a year; a range in one field fills both. Other text stays as it is."""
+    span = rf"^{_NUMBER}\s*[-–~]\s*{_NUMBER}{_MEASURE}"
+    single = rf"^{_NUMBER}{_MEASURE}"
+
+    def part(c: Column, group: int) -> Column:
+        at = lambda pattern, k: F.regexp_extract(c, pattern, k)
+        return F.when(c.rlike(span), _yearly(at(span, group), at(span, 3), at(span, 4))).otherwise(
+            F.when(c.rlike(single), _yearly(at(single, 1), at(single, 2), at(single, 3))).otherwise(c)
+        )
+
+    lone = high.isNull() & low.rlike(span)
+    return part(low, 1), F.when(lone, part(low, 2)).otherwise(part(high, 2))
+
+
 def publish_date(c: Column) -> Column:
     return c.try_cast("date")
 

@@ -28,7 +28,11 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Trim every text column and turn blanks into null."""
-    return df.select(
+    """Trim every text column, turn blanks into null, and write salaries as amounts in 万 a year."""
+    trimmed = df.select(
         *[X.clean_field(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in df.dtypes]
     )
+    if not {"salary_low", "salary_high"} <= set(df.columns):
+        return trimmed
+    low, high = X.normal_salary(F.col("salary_low"), F.col("salary_high"))
+    return trimmed.withColumns({"salary_low": low, "salary_high": high})

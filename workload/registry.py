@@ -16,7 +16,7 @@ from postloom.operators.counts import default_scope, labelled_counts, scope_cata
 from postloom.operators.dedup import latest_postings
 from postloom.operators.facets import facet_values, ordered_facets
 from postloom.operators.skills import explode_skills
-from postloom.operators.typing import typed
+from postloom.operators.typing import clean, typed
 from postloom.plans import context, display, search, serving
 from postloom.plans import statistics as stats
 from postloom.plans.warehouse import to_detail
@@ -146,6 +146,57 @@ def dedup_latest(spark, sf_dir):
     return rows.select("raw_id", "scope_id", "job_uid")
 
 
+# Salaries as crawlers deliver them: by month, in thousands or yuan, by day, as a range in one field.
+_SALARY_FORMS = {
+    "salary_low": """CASE TRY_CAST(raw_id AS BIGINT) % 5 WHEN 0 THEN replace(salary_low, '万', '千/月')
+        WHEN 1 THEN replace(salary_low, '万', '') || '.5-60万/年' WHEN 2 THEN ' ' || replace(salary_low, '万', '35元/天 ')
+        WHEN 3 THEN replace(salary_low, '万', 'K·面议') ELSE salary_low END""",
+    "salary_high": """CASE TRY_CAST(raw_id AS BIGINT) % 5 WHEN 0 THEN replace(salary_high, '万', 'k/月')
+        WHEN 1 THEN '' WHEN 2 THEN replace(salary_high, '万', '') || '~99' ELSE salary_high END""",
+}
+_NUMBER, _MEASURE = r"([0-9]+(?:\.[0-9]+)?)", r"\s*(万|千|[kK]|元)?\s*/?\s*(年|月|天|日)?$"
+_SPAN, _SINGLE = rf"^{_NUMBER}\s*[-–~]\s*{_NUMBER}{_MEASURE}", rf"^{_NUMBER}{_MEASURE}"
+
+
+def _yearly(column: str, pattern: str, number: int, unit: int) -> str:
+    at = lambda k: f"regexp_extract({column}, '{pattern}', {k})"
+    unit_case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.SALARY_UNITS.items())
+    period_case = " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.SALARY_PERIODS.items())
+    amount = f"""CAST({at(number)} AS DECIMAL(14,4)) * CAST(CASE lower({at(unit)}) {unit_case} ELSE 1 END AS DECIMAL(8,4))
+                 * CASE {at(unit + 1)} {period_case} ELSE 1 END"""
+    return f"regexp_replace(CAST(CAST({amount} AS DECIMAL(20,2)) AS VARCHAR), '\\.?0+$', '') || '万'"
+
+
+def _normal(column: str, group: int) -> str:
+    return f"""CASE WHEN regexp_matches({column}, '{_SPAN}') THEN {_yearly(column, _SPAN, group, 3)}
+               WHEN regexp_matches({column}, '{_SINGLE}') THEN {_yearly(column, _SINGLE, 1, 2)} ELSE {column} END"""
+
+
+_CLEANED = ", ".join(f"NULLIF(trim({c}), '') AS {c}" for c in S.SNAPSHOT.names if not c.startswith("salary"))
+
+
+@query(
+    f"""SELECT * REPLACE ({_normal("salary_low", 1)} AS salary_low,
+               CASE WHEN salary_high IS NULL AND regexp_matches(salary_low, '{_SPAN}') THEN {_yearly("salary_low", _SPAN, 2, 3)}
+               ELSE {_normal("salary_high", 2)} END AS salary_high)
+        FROM (SELECT {_CLEANED}, NULLIF(trim(salary_low), '') AS salary_low, NULLIF(trim(salary_high), '') AS salary_high
+              FROM (SELECT * REPLACE ({", ".join(f"{v} AS {c}" for c, v in _SALARY_FORMS.items())}) FROM raw)
+              WHERE regexp_matches(raw_id, '^[0-9]+$'))"""
+)
+def clean_postings(spark, sf_dir):
+    """Trimmed fields and salaries in 万 a year, from the forms that crawlers deliver."""
+    source = raw_postings(spark, sf_dir).filter(F.col("raw_id").rlike("^[0-9]+$")).select(*S.SNAPSHOT.names)
+    forms = source.selectExpr(*[f"{_SALARY_FORMS[c]} AS {c}" if c in _SALARY_FORMS else c for c in source.columns])
+    return clean(forms)
+
+
+@query("SELECT CAST(raw_id AS VARCHAR) AS raw_id, scope_id, job_uid FROM detail")
+def clean_dedup(spark, sf_dir):
+    """The newest row per job of cleaned postings."""
+    rows = latest_postings(clean(valid_postings(spark, sf_dir)).filter(filters.has_uid()))
+    return rows.select("raw_id", "scope_id", "job_uid")
+
+
 _TYPED_COLUMNS = [c for c in S.DETAIL.names]
 
 
