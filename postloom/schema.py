@@ -49,6 +49,7 @@ TYPED_COLUMNS = {
     "publish_time": ("publish_date", T.DateType()),
 }
 
+# Columns that a skill row takes from its posting.
 SKILL_PARENT_COLUMNS = [
     "raw_id",
     "run_id",
@@ -138,6 +139,7 @@ CATEGORY_COLUMN = {
     "industry": "industry",
 }
 TOP_LIMIT = {"top_companies": 15, "industry": 15, "skills": 20}
+# Statistics of the company view.
 COMPANY_TYPES = ["company_size", "company_type", "financing", "top_companies"]
 
 # Dashboard view -> statistic types it shows.
@@ -235,6 +237,7 @@ DETAIL_FIELDS = {
     "description": "description",
 }
 
+# Bounds of pages and contexts, and what marks a cut text.
 MAX_PAGE = 1_000_000
 MAX_PAGE_SIZE = 50
 DEFAULT_PAGE_SIZE = 10

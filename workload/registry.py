@@ -584,6 +584,7 @@ def company_bundle(spark, sf_dir):
 # Text
 
 
+# The markup steps of the page text, restated.
 @query(
     r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
               regexp_replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g'),
