@@ -36,13 +36,13 @@ from postloom.llm.common import id_crc, settled
 
 LENGTH, DECAY = 3, 0.6
 #: Labelled documents that are learned from at most, on average.
-SAMPLE = 20_000
+SAMPLE = 12_000
 #: Landmarks, words considered for them, and the shortest and longest beginning of a word that may be one.
 LANDMARKS, CANDIDATES, STEMS = 64, 20_000, range(4, 10)
 #: A landmark's share of the words of clean documents is at most so much of that of toxic ones.
 IMPURITY = 0.05
 #: Kernel values below this count as none, so that most words need no further look.
-LEAST = 0.3
+LEAST = 0.4
 THRESHOLD = 0.7
 #: Longer words are looked at in parts of this length that overlap by half.
 PART = 24
@@ -61,7 +61,7 @@ def tokens(text: str | None) -> list[str]:
     """Lower-cased words as they stand; letters that stand alone in a row are joined to one."""
     text = (text or "").lower()
     words = text.split()
-    if sum(map((1).__eq__, map(len, words))) * 3 >= 9 and ALONE.search(text):
+    if list(map(len, words)).count(1) > 2 and ALONE.search(text):
         words += ["".join(filter(str.isalpha, m)) for m in ALONE.findall(text)]
     return words
 
@@ -82,19 +82,20 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def subsequence_kernel(left: np.ndarray, right: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
     """Kernel of each row of `left` with the same row of `right` (code points; negative pads match nothing)."""
     n, wide, tall = len(left), left.shape[1], right.shape[1]
-    match = (left[:, :, None] == right[:, None, :]) & (left[:, :, None] >= 0)
+    left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)  # the rows lie side by side
+    match = (left[:, None] == right[None, :]) & (left[:, None] >= 0)
     # below[i, j]: weight of pairs of shorter subsequences that end before i and j, decayed up to there.
-    below = np.ones((n, wide + 1, tall + 1), dtype=np.float32)
+    below = np.ones((wide + 1, tall + 1, n), dtype=np.float32)
     for step in range(1, length + 1):
-        ends = match * below[:, :-1, :-1] * np.float32(decay * decay)
+        ends = match * below[:-1, :-1] * np.float32(decay * decay)
         if step == length:
-            return ends.sum(axis=(1, 2))
+            return ends.sum(axis=(0, 1))
         below = np.zeros_like(below)
         for i in range(1, wide + 1):
             along = np.zeros(n, dtype=np.float32)
             for j in range(1, tall + 1):
-                along = decay * along + ends[:, i - 1, j - 1]
-                below[:, i, j] = decay * below[:, i - 1, j] + along
+                along = decay * along + ends[i - 1, j - 1]
+                below[i, j] = decay * below[i - 1, j] + along
     raise AssertionError
 
 
@@ -106,11 +107,18 @@ def parts_of(word: str) -> list[str]:
     return [whole[at : at + PART] for at in range(0, len(whole) - PART // 2, PART // 2)]
 
 
-def letter_sets(words: list[str]) -> np.ndarray:
-    """64-bit sets of the words' characters."""
-    codes, _ = coded(words)
-    bits = np.where(codes >= 0, np.uint64(1) << (codes.astype(np.int64) & 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1) if codes.size else np.zeros(len(words), dtype=np.uint64)
+#: Pairs of characters are told apart by a hash of so many values.
+PAIR_HASHES, APART = 256, 3
+
+
+def pair_sets(codes: np.ndarray, apart: int) -> np.ndarray:
+    """Which hashed pairs of characters, up to `apart` places from each other, every row holds."""
+    out = np.zeros((len(codes), PAIR_HASHES), dtype=np.float32)
+    for k in range(1, min(apart, codes.shape[1] - 1) + 1):
+        left, right = codes[:, :-k].astype(np.int64), codes[:, k:].astype(np.int64)
+        row, at = np.nonzero(right >= 0)
+        out[row, (left[row, at] * 0x9E3779B1 + right[row, at] * 0x85EBCA77 >> 7) % PAIR_HASHES] = 1
+    return out
 
 
 class Landmarks:
@@ -118,13 +126,13 @@ class Landmarks:
         self.words = words
         self.codes, self.lengths = coded(words)
         self.own = subsequence_kernel(self.codes, self.codes) if words else np.zeros(0)
-        self.sets = letter_sets(words)
-        self.sizes = np.bitwise_count(self.sets)
+        self.pairs = pair_sets(self.codes, 1)
 
     def similar(self, words: list[str]) -> np.ndarray:
         """Kernel with every landmark, relative to the landmark's own, cut at one; below `LEAST` zero.
 
-        Only pairs are computed where the word holds at least three quarters of the landmark's different letters.
+        It is only computed where the word holds, at most `APART` places from each other, at least half of the pairs
+        of neighbours of the landmark; other words count as unlike.
         """
         parts = [(i, p) for i, w in enumerate(words) for p in parts_of(w)]
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
@@ -132,8 +140,7 @@ class Landmarks:
             return out
         listed = [p for _, p in parts]
         codes, lengths = coded(listed)
-        shared = np.bitwise_count(letter_sets(listed)[:, None] & self.sets[None, :])
-        row, mark = np.nonzero(4 * shared >= 3 * self.sizes[None, :])
+        row, mark = np.nonzero(2 * (pair_sets(codes, APART) @ self.pairs.T) >= self.pairs.sum(axis=1))
         order = np.argsort(lengths[row], kind="stable")
         row, mark = row[order], mark[order]
         for at in range(0, len(row), 4096):  # words of like length together, so that little is padding
@@ -170,15 +177,14 @@ class Features:
 
     def sentences(self, text: str | None, words: list[str]) -> np.ndarray:
         """Features of the sentences that hold a word like a landmark; no row if none does."""
-        known = self.known
-        if not any(known[w] is not None for w in set(words)):
+        values = {w: v for w in set(words) if (v := self.known[w]) is not None}
+        if not values:
             return np.zeros((0, len(self.landmarks.words)), dtype=np.float32)
         rows = []
-        for sentence in SENTENCES.split(text or ""):
-            hot = [v for w in tokens(sentence) if (v := known.get(w)) is not None]
-            if hot:
-                rows.append(np.max(hot, axis=0))
-        return np.array(rows or [np.max([known[w] for w in words if known[w] is not None], axis=0)])
+        for sentence in SENTENCES.split((text or "").lower()):
+            if not values.keys().isdisjoint(here := tokens(sentence)):
+                rows.append(np.max([values[w] for w in here if w in values], axis=0))
+        return np.array(rows or [np.max(list(values.values()), axis=0)])
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
         """Features of the sentences, and the number of words, of every text."""
@@ -369,26 +375,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     if not landmarks.words:
         return Machine(toxic_docs / (toxic_docs + clean_docs))
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(landmarks)
         for batch in batches:
-            rows = []
-            for label, (found, _) in zip(batch["toxic"], features.of(list(batch["text"])), strict=True):
-                top = found[np.argsort(-found.sum(axis=1), kind="stable")[:SENTENCES_KEPT]]
-                rows.append((int(label), top.ravel().tolist()))
-            yield pd.DataFrame(rows, columns=["toxic", "features"])
-
-    found = sample.mapInPandas(kept, "toxic int, features array<float>").toPandas()  # SAMPLE rows
-    docs_of = [np.array(f, dtype=np.float64).reshape(-1, len(landmarks.words)) for f in found["features"]]
+            found = list(features.of(list(batch["text"])))
+            rows = [(int(t), n, f.ravel().tolist()) for t, (f, n) in zip(batch["toxic"], found, strict=True)]
+            yield pd.DataFrame(rows, columns=["toxic", "n_words", "features"])
+
+    size = len(landmarks.words)
+    of_sample = settled(sample.mapInPandas(run, "toxic int, n_words bigint, features array<float>"))
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            every = (np.asarray(f, dtype=np.float32).reshape(-1, size) for f in batch["features"])
+            top = [f[np.argsort(-f.sum(axis=1), kind="stable")[:SENTENCES_KEPT]].ravel().tolist() for f in every]
+            yield pd.DataFrame({"toxic": batch["toxic"], "features": top})
+
+    found = of_sample.mapInPandas(kept, "toxic int, features array<float>").toPandas()  # SAMPLE rows
+    docs_of = [np.array(f, dtype=np.float64).reshape(-1, size) for f in found["features"]]
     machine = Machine().fit(landmarks, docs_of, found["toxic"].to_numpy() == 1)
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(landmarks)
         for batch in batches:
-            rows = [machine.evidence(*f) for f in features.of(list(batch["text"]))]
+            every = (np.asarray(f, dtype=np.float32).reshape(-1, size) for f in batch["features"])
+            rows = [machine.evidence(f, n) for f, n in zip(every, batch["n_words"], strict=True)]
             yield pd.DataFrame({"toxic": batch["toxic"], "evidence": rows})
 
-    found = sample.mapInPandas(weighed, "toxic int, evidence array<double>").toPandas()  # SAMPLE rows
+    found = of_sample.mapInPandas(weighed, "toxic int, evidence array<double>").toPandas()  # SAMPLE rows
     machine.curve = logistic(np.array(found["evidence"].to_list()), found["toxic"].to_numpy() == 1)
     return machine
 
