@@ -135,5 +135,47 @@ SELECT pair_id, {_joined("prompt")} AS prompt, count(*) FILTER (part = 'prompt')
        {_joined("rejected")} AS rejected, {_spans("rejected")} AS rejected_spans
 FROM placed GROUP BY pair_id"""
 
+_SUBSTRING = f"""
+WITH split AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents
+),
+starts AS (
+    SELECT doc_id, start, md5(array_to_string(words[start : start + {substring.WINDOW - 1}], ' ')) AS key
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - {substring.WINDOW - 2})) AS start FROM split
+          WHERE len(words) >= {substring.WINDOW})
+),
+firsts AS (SELECT key, min(struct_pack(doc_id, start)) AS first FROM starts GROUP BY key HAVING count(*) > 1),
+ranked AS (
+    SELECT doc_id, start, 1 + CAST(struct_pack(doc_id, start) <> first AS INTEGER) AS nth FROM starts JOIN firsts USING (key)
+),
+covered AS (
+    SELECT DISTINCT doc_id, unnest(range(start, start + {substring.WINDOW})) AS place FROM ranked WHERE nth > 1
+),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+    FROM placed ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)"""
+
+_INNER_PRODUCTS = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS point FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.point, c.point) AS BIGINT) AS score
+        FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id AND len(c.point) = len(q.point) WHERE q.vec_id % 50 = 0
+    )
+) WHERE nth <= 5"""
+
 #: The other queries are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op4_preference_chat": _PREFERENCE}
+ORACLES: dict[str, str] = {
+    "op4_preference_chat": _PREFERENCE,
+    "op8_substring_dedup": _SUBSTRING,
+    "op10_va_file": _INNER_PRODUCTS,
+}

@@ -78,7 +78,7 @@ def test_chat_edge_cases(spark):
 
 def test_queries_match_their_sql(spark):
     duck = duckdb.connect()
-    for name in ("conversations", "documents"):
+    for name in ("conversations", "documents", "embeddings"):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_DIR}/{name}.parquet'")
     for name, sql in queries.ORACLES.items():
         found = queries.QUERIES[name](spark, SF_DIR)
