@@ -221,7 +221,7 @@ def linking_edges(values: DataFrame, tables: list[np.ndarray], radius: int, bloc
         if held is not None and len(held):
             yield _edges(held, radius)
 
-    rows = _groups(settled(_keyed(values, tables)), block_rows)
+    rows = _groups(_keyed(values, tables), block_rows)
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(run, EDGE)
 
 
