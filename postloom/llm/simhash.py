@@ -6,7 +6,8 @@ at a time. A (query, block) pair is abandoned once all its distances exceed the
 
 Two sets of tables: `band_pairs` is exact, as fingerprints within radius r agree in at least two of r + 2 bands.
 `sampled_tables` takes random bits of wider fingerprints, for radii that no bands can serve; a pair at distance d
-of n bits meets in one table with probability (1 - d / n) ** bits.
+of n bits meets in one table with probability (1 - d / n) ** bits. What these bring together are candidates only:
+`deduplicated` compares the candidates' sets of shingles.
 
 Equal fingerprints are collapsed before the search. A group of more than `BLOCK_ROWS` fingerprints is cut into parts
 and every two parts meet in a group of their own, so no task holds more than two parts of one group.
@@ -38,30 +39,52 @@ ONES = np.uint64(2**64 - 1)
 GROUP = ["bands", "key", "part"]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, width: int = 1) -> np.ndarray:
-    """`width` words of 64 bits; the first holds the votes of the shingles' XXH64, the others those of mixed copies."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle in its place; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return np.zeros(width, dtype=np.uint64)
-    starts = max(1, len(words) - shingle + 1)
+        return np.zeros(0, dtype=np.uint64)
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], dtype=np.uint64)
+    shingles = zip(*(words[i:] for i in range(shingle)), strict=False)
+    hashes = (xxhash.xxh64_intdigest(b" ".join(s), seed) for s in shingles)
+    return np.fromiter(hashes, dtype=np.uint64, count=len(words) - shingle + 1)
+
+
+def voted(hashes: np.ndarray, width: int = 1) -> np.ndarray:
+    """`width` words of 64 bits; the first holds the votes of the hashes, the others those of mixed copies."""
     votes = np.zeros(64 * width, dtype=np.int64)
-    for at in range(0, starts, SHINGLES_AT_ONCE):
-        part = words[at : min(at + SHINGLES_AT_ONCE, starts) + shingle - 1]
-        shingles = zip(*(part[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [part]
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(s), seed) for s in shingles], dtype=np.uint64)
-        copies = [hashes, *(mixed(hashes + np.uint64(k)) for k in range(1, width))]
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        some = hashes[at : at + SHINGLES_AT_ONCE]
+        copies = [some, *(mixed(some + np.uint64(k)) for k in range(1, width))]
         bits = np.unpackbits(np.column_stack(copies).astype("<u8").view(np.uint8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > starts, bitorder="little").view("<u8")
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, width: int = 1) -> np.ndarray:
+    """The votes of all shingles of the text, repeats included."""
+    return voted(shingle_hashes(text, shingle, seed), width)
+
+
+def fingerprints(
+    df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, width: int = 1, distinct: bool = False
+) -> DataFrame:
+    """doc_id, text_key (hash of the text), node (bigint that names the fingerprint) and its bytes as `print`.
 
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, width: int = 1) -> DataFrame:
-    """doc_id, text_key (hash of the text), node (bigint that names the fingerprint) and its bytes as `print`."""
+    With `distinct` a shingle votes once however often it occurs, and `node` names the set of shingles.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [fingerprint(t, shingle, seed, width) for t in batch["text"]]
-            nodes = [p[0] if width == 1 else xxhash.xxh64_intdigest(p.tobytes()) for p in found]
+            hashes = [shingle_hashes(t, shingle, seed) for t in batch["text"]]
+            if distinct:
+                hashes = list(map(np.unique, hashes))
+            found = [voted(h, width) for h in hashes]
+            if distinct:
+                nodes = [xxhash.xxh64_intdigest(h.tobytes()) for h in hashes]
+            else:
+                nodes = [p[0] if width == 1 else xxhash.xxh64_intdigest(p.tobytes()) for p in found]
             yield pd.DataFrame(
                 {
                     "doc_id": pd.array(batch["doc_id"], dtype="Int64"),
@@ -182,49 +205,67 @@ def _keyed(values: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     return values.select("node", "print").mapInPandas(run, "bands int, key bigint, node bigint, print binary")
 
 
-def _groups(keyed: DataFrame, block_rows: int) -> DataFrame:
-    """The rows with `part`: a group of more than `block_rows` rows is cut, and every two cuts meet in one part."""
-    sizes = keyed.groupBy("bands", "key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    sized = keyed.join(sizes, ["bands", "key"])
-    cuts = F.ceil(F.col("rows") / block_rows).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    # One row takes as many copies as its group has cuts; a group within the bound has one cut and one part.
+def _groups(keyed: DataFrame, block_rows: int, drop_single: bool = True) -> DataFrame:
+    """The rows with `part`: a group of more than `block_rows` rows is cut, and every two cuts meet in one part.
+
+    Groups of one row are dropped by a join that moves all rows once more; without `drop_single` only the groups
+    over the bound (at most rows / block_rows) are sent to the rows.
+    """
+    sizes = keyed.groupBy("bands", "key").agg(F.count(F.lit(1)).alias("rows"))
+    if drop_single:
+        sized = keyed.join(sizes.where("rows > 1"), ["bands", "key"])
+    else:
+        sized = keyed.join(F.broadcast(sizes.where(F.col("rows") > block_rows)), ["bands", "key"], "left")
+    cuts = F.ceil(F.coalesce("rows", F.lit(1)) / block_rows).cast("int")
+    return _cut(sized.withColumn("cuts", cuts)).select(*GROUP, "node", "print")
+
+
+def _cut(sized: DataFrame) -> DataFrame:
+    """Rows with `node` and the `cuts` of their group, copied to every part that their own cut meets another in.
+
+    One row takes as many copies as its group has cuts; a group within the bound has one cut and one part.
+    """
     return (
-        sized.withColumn("cuts", cuts)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        .withColumn("other", met)
+        sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         .withColumn("part", F.least("own", "other") * F.col("cuts") + F.greatest("own", "other"))
-        .select(*GROUP, "node", "print")
     )
 
 
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def linking_edges(values: DataFrame, tables: list[np.ndarray], radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def linking_edges(
+    values: DataFrame, tables: list[np.ndarray], radius: int, block_rows: int = BLOCK_ROWS, drop_single: bool = True
+) -> DataFrame:
     """Edges (a, b) between nodes, with the connected components of all links that the tables bring together.
 
     `values` has one row for each node, with its `print`.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(held):
-                continue
-            same = (held[GROUP] == held[GROUP].iloc[-1]).all(axis=1).to_numpy()
-            last = int(np.argmax(same))  # rows are sorted: the open group is at the end
-            if last:
-                yield _edges(held.iloc[:last], radius)
-                held = held.iloc[last:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield _edges(held, radius)
-
-    rows = _groups(_keyed(values, tables), block_rows)
+        return (_edges(rows, radius) for rows in _whole_groups(batches, GROUP))
+
+    rows = _groups(_keyed(values, tables), block_rows, drop_single)
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(run, EDGE)
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows, sorted by `columns`, cut so that no group of equal values is divided."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(held):
+            continue
+        same = (held[columns] == held[columns].iloc[-1]).all(axis=1).to_numpy()
+        last = int(np.argmax(same))  # rows are sorted: the open group is at the end
+        if last:
+            yield held.iloc[:last]
+            held = held.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
 def _edges(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
     group = rows[GROUP].ne(rows[GROUP].shift()).any(axis=1).cumsum().to_numpy()
     prints = np.frombuffer(b"".join(rows["print"]), dtype="<u8").reshape(len(rows), -1)
@@ -248,19 +289,103 @@ def near_duplicates(
 
 
 # Fixed values of `deduplicated`: 256 bits; documents with Jaccard similarity 0.8 of their shingles differ in 15 % of
-# the bits, unrelated ones in half. The radius is 18 %: 0.9 is practically always met, 0.6 practically never.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 5, 46, 48, 16
+# the bits (39, standard deviation 6), unrelated ones in half. The radius is four deviations wider, and the tables
+# meet 99.9 % of pairs at 39 bits and 97 % at 50.
+WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 5, 62, 72, 14
+#: Numerator and denominator of the least similarity of near copies.
+ALIKE = 4, 5
+#: Characters of a candidate group from which it is cut, and shingles compared with one document at once.
+BLOCK_CHARS, COMPARED_AT_ONCE = 8 << 20, 1 << 22
+
+
+def similar_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of sets (of different numbers each) with the same connected components as all pairs at `ALIKE` or more.
+
+    Every pair is compared exactly, unless its sizes exclude it or earlier pairs have connected it.
+    """
+    by = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in by], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    _, flat = np.unique(np.concatenate([sets[i] for i in by] or [np.zeros(0)]), return_inverse=True)
+    mine = np.zeros(int(flat.max(initial=-1)) + 1, dtype=np.int64)
+    label = np.arange(len(by))
+    pairs = []
+
+    def alike(row: int, others: np.ndarray) -> np.ndarray:
+        """Those of `others` (sets before the row) that are near copies of the row; its members are marked in `mine`."""
+        found = []
+        for some in np.array_split(others, max(1, -(-int(sizes[others].sum()) // COMPARED_AT_ONCE))):
+            if not len(some):
+                continue
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            at = np.arange(int(sizes[some].sum())) + np.repeat(ends[some] - sizes[some] - starts, sizes[some])
+            common = np.add.reduceat(mine[flat[at]], starts)
+            found.append(some[ALIKE[1] * common >= ALIKE[0] * (sizes[some] + sizes[row] - common)])
+        return np.concatenate(found) if found else others
+
+    for row in range(len(by)):
+        low = np.searchsorted(sizes, max(1, -(-ALIKE[0] * sizes[row] // ALIKE[1])))
+        if low >= row:
+            continue
+        members = flat[ends[row] - sizes[row] : ends[row]]
+        mine[members] = 1
+        labels = label[low:row]
+        _, first = np.unique(labels, return_index=True)  # one of every component, then the others where it is unlike
+        near = alike(row, first + low)
+        rest = ~np.isin(labels, label[near])
+        rest[first] = False
+        near = np.r_[near, alike(row, np.flatnonzero(rest) + low)]
+        mine[members] = 0
+        if len(near):
+            pairs += [(int(by[row]), int(by[j])) for j in near[np.unique(label[near], return_index=True)[1]]]
+            label[np.isin(label, label[near])] = label[row]
+    return pairs
+
+
+def confirmed_edges(df: DataFrame, candidates: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Edges (a, b) between nodes whose sets of shingles have similarity `ALIKE` or more.
+
+    candidates: component, node and a row (doc_id, text_key) of `df` with the node's shingles. All members of a
+    component are compared. Only texts of components with several nodes move.
+    """
+    shared = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    named = candidates.join(shared.select("component"), "component", "left_semi").select(
+        "component", "node", F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc"), F.col("text_key").alias("__key")
+    )
+    rows = df.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc"), F.xxhash64("text").alias("__key"), "text")
+    texts = settled(rows.join(named, ["__doc", "__key"]).dropDuplicates(["__doc", "__key"]).select("component", "node", "text"))
+    chars = texts.groupBy("component").agg(F.sum(F.length("text")).alias("chars"))
+    large = chars.where(F.col("chars") > block_chars)  # at most all characters / block_chars
+    cuts = F.ceil(F.coalesce("chars", F.lit(1)) / block_chars).cast("int")
+    sized = texts.join(F.broadcast(large), "component", "left").withColumn("cuts", cuts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _whole_groups(batches, ["component", "part"]):
+            for _, group in groups.groupby(["component", "part"], sort=False):
+                pairs = similar_pairs([np.unique(shingle_hashes(t, WIDE_SHINGLE)) for t in group["text"]])
+                node = group["node"].to_numpy()
+                yield pd.DataFrame({"a": node[[a for a, _ in pairs]], "b": node[[b for _, b in pairs]]}, dtype=np.int64)
+
+    parts = _cut(sized).select("component", "part", "node", "text")
+    return parts.repartition("component", "part").sortWithinPartitions("component", "part", "node").mapInPandas(run, EDGE)
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
     """The rows of `df` without near copies: of each group the row with the smallest doc_id (and text hash) stays.
 
-    Documents are near copies at a shingle similarity of 0.8 or more, estimated from 256-bit fingerprints of five-word
-    shingles. Rows that repeat are near copies, too, and so are all texts without a word.
+    Documents are near copies at a similarity (Jaccard) of 0.8 or more of their sets of five-word shingles.
+    Fingerprints of 256 bits only bring candidates together; every link is confirmed on the shingles. Rows that
+    repeat are near copies, too, and so are all texts without a word.
     """
     tables = sampled_tables(WIDE_TABLES, WIDE_KEY_BITS, 64 * WIDE)
-    groups = near_duplicates(fingerprints(df, WIDE_SHINGLE, SEED, WIDE), tables, WIDE_RADIUS)
-    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("kept")).select("kept.*")
+    prints = settled(fingerprints(df, WIDE_SHINGLE, SEED, WIDE, distinct=True))
+    row = F.struct("doc_id", "text_key")
+    classes = settled(prints.groupBy("node").agg(F.min(row).alias("row"), F.first("print").alias("print")))
+    edges = linking_edges(classes.select("node", "print"), tables, WIDE_RADIUS, drop_single=False)
+    candidates = classes.select("node", "row.*").join(connected(edges), "node")
+    linked = connected(confirmed_edges(df, candidates))
+    placed = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = placed.groupBy("component").agg(F.min("row").alias("kept")).select("kept.*")
     kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc"), F.col("text_key").alias("__key"))
     rows = df.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("__key", F.xxhash64("text"))
     return rows.join(kept, ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"]).drop("__doc", "__key")

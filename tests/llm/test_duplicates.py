@@ -109,6 +109,51 @@ def test_deduplicated_keeps_one_of_a_group(texts):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(100, 125), 300]
 
 
+def test_links_have_the_similarity(texts):
+    """Of 300 different words every exchanged one costs five shingles: 6 leave a similarity of 0.816, 7 of 0.788."""
+    choose = random.Random(9)
+    word = lambda: "".join(choose.choice("abcdefgh") for _ in range(7))
+    rows, linked = [], 0
+    for i in range(60):
+        words = [word() for _ in range(300)]
+        changed = 6 if i % 2 else 7
+        linked += i % 2
+        other = [word() if k % 40 == 20 and k < 40 * changed else w for k, w in enumerate(words)]
+        rows += [(i, " ".join(words)), (100 + i, " ".join(other))]
+    line = [word() for _ in range(10)]  # repeated, so that it makes up most shingles of two unlike documents
+    rows += [(200 + i, " ".join([*(line * 60), *(word() for _ in range(80))])) for i in range(2)]
+    kept = {r.doc_id for r in simhash.deduplicated(texts(*rows)).collect()}
+    assert linked == 30 and kept == {i for i, _ in rows} - {100 + i for i in range(1, 60, 2)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_sets_are_all_connected(seed):
+    choose = random.Random(seed)
+    sets = [set()]
+    for _ in range(12):
+        first = choose.sample(range(4000), choose.randint(1, 60))
+        sets += [{*choose.sample(first, max(1, len(first) - choose.randint(0, 9))), *choose.sample(range(4000), 2)} for _ in range(9)]
+    found = simhash.similar_pairs([np.array(sorted(s), dtype=np.uint64) for s in sets])
+    nodes = range(len(sets))
+    want = [(i, j) for i in nodes for j in nodes if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+    assert plain_components(nodes, found) == plain_components(nodes, want)
+
+
+def test_groups_in_cuts_are_confirmed(spark, texts):
+    """With a bound of a few texts every two cuts of a candidate group still meet."""
+    choose = random.Random(3)
+    word = lambda: "".join(choose.choice("abcdefgh") for _ in range(7))
+    words = [word() for _ in range(200)]
+    rows = [(i, " ".join([word() if k == 3 * i else w for k, w in enumerate(words)])) for i in range(30)]
+    rows += [(50, " ".join(word() for _ in range(200)))]
+    df = texts(*rows)
+    candidates = df.select(F.lit(1).cast("bigint").alias("component"), F.col("doc_id").alias("node"), "doc_id",
+                           F.xxhash64("text").alias("text_key"))
+    edges = [(r.a, r.b) for r in simhash.confirmed_edges(df, candidates, block_chars=5000).collect()]
+    found = plain_components([i for i, _ in rows], edges)
+    assert found == {**dict.fromkeys(range(30), 0), 50: 50}
+
+
 def plain_removal(rows, window):
     seen, out = set(), {}
     for doc, text in sorted(rows):
