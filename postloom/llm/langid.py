@@ -10,7 +10,9 @@ alone; what is left out goes to the back-off weight. So the arrays hold at most
 large the corpus is.
 
 The language with the lowest cross-entropy per character wins. A text is rejected if that lies further above the
-language's mean, in learning documents set aside, than their spread at the text's length explains.
+language's mean, in learning documents set aside, than their spread at the text's length explains. Where few documents
+of a language are set aside, its mean comes from cross-scoring all of them by folds, and its spread from the other
+languages; so every language has a bound, however few documents it has.
 
 Defined results: a null text or one without a letter gives `und`, score 0, rejected; ties go to the language that
 sorts first; without any learning document every text gives `und`. Only doc_id, text and lang are read.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import id_crc, mixed, settled
@@ -33,8 +35,9 @@ ORDER = 4
 BITS = 21  # of a code point
 CELLS = 8 << 20
 UNKNOWN = "und"
-#: One in so many learning documents is set aside for the rejection bounds; a language needs so many of them.
-ASIDE, LEAST_ASIDE = 16, 20
+#: One in so many learning documents is set aside for the rejection bounds; a language with fewer than `LEAST_ASIDE`
+#: of them is cross-scored in so many folds.
+ASIDE, LEAST_ASIDE, FOLDS = 16, 20, 4
 #: Standard deviations and nats per character above the mean from which a text is rejected.
 DEVIATIONS, MARGIN = 8.0, 0.5
 #: Characters whose evidence counts for the score at most.
@@ -153,10 +156,18 @@ class Models:
 
 
 def learn(rows: DataFrame) -> Models:
-    """Models from rows of doc_id, text and lang (null languages are left out)."""
+    """Models and bounds from rows of doc_id, text and lang (null languages are left out)."""
     rows = rows.where(F.col("lang").isNotNull())
     aside = F.pmod(F.floor(id_crc("doc_id") / 4), F.lit(ASIDE)) == 0
-    grams = settled(count(rows.where(~aside)))
+    models = fitted(rows.where(~aside))
+    if models.languages:
+        calibrate(models, rows, rows.where(aside))
+    return models
+
+
+def fitted(rows: DataFrame) -> Models:
+    """Models without bounds from all rows of text and lang."""
+    grams = settled(count(rows))
     languages = [r[0] for r in grams.select("lang").distinct().orderBy("lang").collect()]
     models = Models(languages, grams.select("character").distinct().count())
     if not languages:
@@ -190,7 +201,6 @@ def learn(rows: DataFrame) -> Models:
         )
         left = kept.groupBy("number", "context").agg((1 - F.sum("share")).alias("weight"))
         models.add(order, kept.toPandas(), left.toPandas())  # at most CELLS / languages rows, by the bound on shares
-    calibrate(models, rows.where(aside))
     return models
 
 
@@ -260,8 +270,8 @@ def _sums(rows: DataFrame, models: Models) -> DataFrame:
     return rows.select("doc_id", "lang", "text").mapInPandas(run, SUMS)
 
 
-def calibrate(models: Models, rows: DataFrame) -> None:
-    """Mean cross-entropy of every language and its variance times length, from documents of known language."""
+def measured(models: Models, rows: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """Documents, mean cross-entropy and variance times length of every language, from documents of known language."""
     languages = F.array(*map(F.lit, models.languages))
     n = F.nullif(F.element_at("sums", -1), F.lit(0.0))
     own = -F.get("sums", F.array_position(languages, F.col("lang")).cast("int") - 1) / n
@@ -272,10 +282,51 @@ def calibrate(models: Models, rows: DataFrame) -> None:
         F.sum(F.col("h") * F.col("n")).alias("hn"),
         F.sum(F.col("h") ** 2 * F.col("n")).alias("hhn"),
     )
-    for lang, docs, length, hn, hhn in found.collect():  # a row per language
-        if docs >= LEAST_ASIDE:
-            mean = hn / length
-            models.bounds[lang] = mean, max(hhn - mean * mean * length, 0.0) / docs
+    rows_of = found.where("lang is not null").collect()  # a row per language
+    return {lang: (docs, hn / n, max(hhn - hn * hn / n, 0.0) / docs) for lang, docs, n, hn, hhn in rows_of}
+
+
+def cross_measured(rows: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """`measured`, every document by a model of its language that has not seen its fold.
+
+    The models of all languages and folds are learned together, each as a language of its own. A language of one
+    document has no such model and is left out.
+    """
+    order = Window.partitionBy("lang").orderBy(id_crc("doc_id"), "doc_id", F.xxhash64("text"))
+    fold = F.pmod(F.row_number().over(order), F.lit(FOLDS))
+    folded = settled(rows.select("doc_id", "text", "lang", fold.alias("fold")))
+    named = lambda k: F.concat(k.cast("string"), F.lit("/"), F.col("lang"))
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda k: k != F.col("fold"))
+    models = fitted(folded.select("text", F.explode(F.transform(others, named)).alias("lang")))
+    if not models.languages:
+        return {}
+    parts: dict[str, list[tuple[int, float, float]]] = {}
+    for name, found in measured(models, folded.select("doc_id", "text", named(F.col("fold")).alias("lang"))).items():
+        parts.setdefault(name.split("/", 1)[1], []).append(found)
+    total = {lang: sum(d for d, _, _ in of) for lang, of in parts.items()}
+    return {
+        lang: (total[lang], sum(d * h for d, h, _ in of) / total[lang], sum(d * v for d, _, v in of) / total[lang])
+        for lang, of in parts.items()
+    }
+
+
+def calibrate(models: Models, rows: DataFrame, aside: DataFrame) -> None:
+    """Bounds of every language: mean cross-entropy and its variance times length, from documents of known language.
+
+    Languages with few documents in `aside` take their mean from `cross_measured`, and the mean variance of the
+    others (of all that are left if there are no others). One without any scored document takes the highest mean.
+    """
+    found = {lang: x for lang, x in measured(models, aside).items() if x[0] >= LEAST_ASIDE}
+    few = [x for x in models.languages if x not in found]
+    crossed = cross_measured(rows.where(F.col("lang").isin(few))) if few else {}
+    spread = list((found or crossed).values())
+    pooled = sum(d * v for d, _, v in spread) / max(sum(d for d, _, _ in spread), 1)
+    means = [h for _, h, _ in (*found.values(), *crossed.values())]
+    for lang in models.languages:
+        if lang in found:
+            models.bounds[lang] = found[lang][1:]
+        else:  # without any document scored at all, chance is the mean
+            models.bounds[lang] = crossed[lang][1] if lang in crossed else max(means, default=-models.base), pooled
 
 
 def identify(rows: DataFrame, models: Models) -> DataFrame:
@@ -296,7 +347,7 @@ def identify(rows: DataFrame, models: Models) -> DataFrame:
     weight = F.least(n, F.lit(float(EVIDENCE))) / n
     share = F.aggregate(sums, F.lit(0.0), lambda total, x: total + F.exp((x - best) * weight))
     at = F.array_position(sums, best).cast("int") - 1
-    bounds = [models.bounds.get(x, (0.0, float("inf"))) for x in models.languages]
+    bounds = [models.bounds[x] for x in models.languages]
     of = lambda k: F.get(F.array(*[F.lit(b[k]) for b in bounds]), at)
     entropy = -best / n
     return scored.select(

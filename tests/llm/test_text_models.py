@@ -37,6 +37,29 @@ def test_languages_and_rejection(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_a_rare_language_lets_no_junk_through(spark):
+    """Four documents of one language beside many of the others: junk goes to it, and is rejected all the same."""
+    choose = random.Random(11)
+    rows = [r for r in corpus(900) if r[2] != "cc"] + [(5000 + i, sentence(choose, "cc", 50), "cc") for i in range(4)]
+    random_letters = lambda letters: " ".join("".join(choose.choices(letters, k=6)) for _ in range(60))
+    junk = [(7000 + i, random_letters(x), None) for i, x in enumerate(["qwrtpsdfghjklmnbvcz", "αβγδεζηθικλμ", "的一是不了人我在有他"] * 4)]
+    more = [(8000 + i, sentence(choose, "cc", 50), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = langid.learn(docs)
+    assert set(models.bounds) == set(models.languages) == {"aa", "bb", "cc"}
+    assert np.isfinite(list(models.bounds.values())).all()
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows + junk + more, docs.schema), models).collect()}
+    assert all(found[i].rejected for i, _, _ in junk)
+    assert not any(found[i].rejected for i, _, _ in rows + more)
+    assert all(found[i].lang_pred == "cc" for i, _, _ in more)
+
+
+def test_one_document_of_every_language(spark):
+    docs = spark.createDataFrame([r for r in corpus(9)][3:6], "doc_id bigint, text string, lang string")
+    models = langid.learn(docs)
+    assert set(models.bounds) == set(models.languages) and np.isfinite(list(models.bounds.values())).all()
+
+
 def test_probabilities_add_up(spark):
     """Over all characters that follow a context, the interpolated model sums to one."""
     models = langid.learn(spark.createDataFrame(corpus(60), "doc_id bigint, text string, lang string"))
