@@ -36,17 +36,19 @@ from postloom.llm.common import id_crc, settled
 
 LENGTH, DECAY = 3, 0.6
 #: Labelled documents that are learned from at most, on average.
-SAMPLE = 12_000
+SAMPLE = 20_000
 #: Landmarks, words considered for them, and the shortest and longest beginning of a word that may be one.
 LANDMARKS, CANDIDATES, STEMS = 64, 20_000, range(4, 10)
 #: A landmark's share of the words of clean documents is at most so much of that of toxic ones.
 IMPURITY = 0.05
 #: Kernel values below this count as none, so that most words need no further look.
-LEAST = 0.4
+LEAST = 0.3
 THRESHOLD = 0.7
 #: Longer words are looked at in parts of this length that overlap by half.
 PART = 24
 WORDS, WORDS_AT_ONCE = 400_000, 20_000
+#: Pairs of a word and a landmark compared at once; few enough for the processor's cache.
+PAIRS_AT_ONCE = 1024
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 ALONE = re.compile(r"(?<!\S)\w(?:[\s.\-_*]+\w(?!\w)){2,}")
 #: Sentences of one learning document that reach the driver.
@@ -81,22 +83,20 @@ def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def subsequence_kernel(left: np.ndarray, right: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
     """Kernel of each row of `left` with the same row of `right` (code points; negative pads match nothing)."""
-    n, wide, tall = len(left), left.shape[1], right.shape[1]
     left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)  # the rows lie side by side
-    match = (left[:, None] == right[None, :]) & (left[:, None] >= 0)
-    # below[i, j]: weight of pairs of shorter subsequences that end before i and j, decayed up to there.
-    below = np.ones((wide + 1, tall + 1, n), dtype=np.float32)
-    for step in range(1, length + 1):
-        ends = match * below[:-1, :-1] * np.float32(decay * decay)
-        if step == length:
-            return ends.sum(axis=(0, 1))
-        below = np.zeros_like(below)
-        for i in range(1, wide + 1):
-            along = np.zeros(n, dtype=np.float32)
-            for j in range(1, tall + 1):
-                along = decay * along + ends[i - 1, j - 1]
-                below[i, j] = decay * below[i - 1, j] + along
-    raise AssertionError
+    match = ((left[:, None] == right[None, :]) & (left[:, None] >= 0)).astype(np.float32)
+    match *= np.float32(decay * decay)
+    ends = match
+    for _ in range(length - 1):
+        # below[i, j]: weight of pairs of shorter subsequences that end at or before i and j, decayed up to there.
+        below = ends.copy()
+        for j in range(1, below.shape[1]):
+            below[:, j] += np.float32(decay) * below[:, j - 1]
+        for i in range(1, len(below)):
+            below[i] += np.float32(decay) * below[i - 1]
+        ends = np.zeros_like(match)
+        np.multiply(match[1:, 1:], below[:-1, :-1], out=ends[1:, 1:])
+    return ends.sum(axis=(0, 1))
 
 
 def parts_of(word: str) -> list[str]:
@@ -107,18 +107,10 @@ def parts_of(word: str) -> list[str]:
     return [whole[at : at + PART] for at in range(0, len(whole) - PART // 2, PART // 2)]
 
 
-#: Pairs of characters are told apart by a hash of so many values.
-PAIR_HASHES, APART = 256, 3
-
-
-def pair_sets(codes: np.ndarray, apart: int) -> np.ndarray:
-    """Which hashed pairs of characters, up to `apart` places from each other, every row holds."""
-    out = np.zeros((len(codes), PAIR_HASHES), dtype=np.float32)
-    for k in range(1, min(apart, codes.shape[1] - 1) + 1):
-        left, right = codes[:, :-k].astype(np.int64), codes[:, k:].astype(np.int64)
-        row, at = np.nonzero(right >= 0)
-        out[row, (left[row, at] * 0x9E3779B1 + right[row, at] * 0x85EBCA77 >> 7) % PAIR_HASHES] = 1
-    return out
+def letter_sets(codes: np.ndarray) -> np.ndarray:
+    """64-bit sets of the rows' characters."""
+    bits = np.where(codes >= 0, np.uint64(1) << (codes.astype(np.int64) & 63).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1) if codes.size else np.zeros(len(codes), dtype=np.uint64)
 
 
 class Landmarks:
@@ -126,13 +118,13 @@ class Landmarks:
         self.words = words
         self.codes, self.lengths = coded(words)
         self.own = subsequence_kernel(self.codes, self.codes) if words else np.zeros(0)
-        self.pairs = pair_sets(self.codes, 1)
+        self.sets = letter_sets(self.codes)
+        self.sizes = np.bitwise_count(self.sets)
 
     def similar(self, words: list[str]) -> np.ndarray:
         """Kernel with every landmark, relative to the landmark's own, cut at one; below `LEAST` zero.
 
-        It is only computed where the word holds, at most `APART` places from each other, at least half of the pairs
-        of neighbours of the landmark; other words count as unlike.
+        Only pairs are computed where the word holds at least three quarters of the landmark's different letters.
         """
         parts = [(i, p) for i, w in enumerate(words) for p in parts_of(w)]
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
@@ -140,14 +132,15 @@ class Landmarks:
             return out
         listed = [p for _, p in parts]
         codes, lengths = coded(listed)
-        row, mark = np.nonzero(2 * (pair_sets(codes, APART) @ self.pairs.T) >= self.pairs.sum(axis=1))
-        order = np.argsort(lengths[row], kind="stable")
-        row, mark = row[order], mark[order]
-        for at in range(0, len(row), 4096):  # words of like length together, so that little is padding
-            r, m = row[at : at + 4096], mark[at : at + 4096]
+        shared = np.bitwise_count(letter_sets(codes)[:, None] & self.sets[None, :])
+        row, mark = np.nonzero(4 * shared >= 3 * self.sizes[None, :])
+        order = np.lexsort((self.lengths[mark], lengths[row]))
+        row, mark, of = row[order], mark[order], np.array([i for i, _ in parts])
+        for at in range(0, len(row), PAIRS_AT_ONCE):  # like lengths together, so that little is padding
+            r, m = row[at : at + PAIRS_AT_ONCE], mark[at : at + PAIRS_AT_ONCE]
             wide, tall = lengths[r].max(), self.lengths[m].max()
             value = subsequence_kernel(codes[r, :wide], self.codes[m, :tall]) / self.own[m]
-            np.maximum.at(out, (np.array([parts[i][0] for i in r]), m), np.minimum(value, 1))
+            np.maximum.at(out, (of[r], m), np.minimum(value, 1))
         out[out < LEAST] = 0
         return out
 

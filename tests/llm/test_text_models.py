@@ -93,6 +93,21 @@ def test_kernel_is_the_sum_over_subsequences():
         assert np.isclose(got, want, rtol=1e-4)
 
 
+def test_a_letter_in_every_gap_is_seen():
+    choose = random.Random(12)
+    words = ["idiot", "trash", "pathetic", "worthless", "moron", "stupid"]
+    landmarks = toxicity.Landmarks([f(w) for w in words for f in (toxicity.marked, lambda w: toxicity.marked(w[:4], False))])
+    gaps = lambda w: "".join(c + choose.choice("bgjkqvxz") for c in w[:-1]) + w[-1]
+    for k, word in enumerate(words):
+        seen = landmarks.similar([gaps(word) for _ in range(60)])[:, 2 * k : 2 * k + 2].any(axis=1)
+        assert seen.mean() >= 0.9
+    assert not landmarks.similar(["window", "the", "of", ""]).any()
+
+
+def test_values_of_the_method():
+    assert (toxicity.LEAST, toxicity.SAMPLE) == (0.3, 20_000)
+
+
 def labelled(n=300):
     choose = random.Random(1)
     rows = []
