@@ -17,16 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, written to the cluster's checkpoint folder, so that later steps read files and not the lineage.
-
-    The folder is the session's `spark.checkpoint.dir`; only where none is set (tests) a local one is taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder: the session's `spark.checkpoint.dir`; a local one only where none is set (tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postloom-checkpoint-")
-        )
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written to the cluster's checkpoint folder, so that later steps read files and not the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

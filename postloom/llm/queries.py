@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import best_fit, byte_bpe, chat, hnsw, langid, sharding, simhash, substring, toxicity, va_file
+from postloom.llm import (
+    best_fit,
+    byte_bpe,
+    chat,
+    hard_negatives,
+    hnsw,
+    langid,
+    phrases,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+    va_file,
+    warc,
+)
 from postloom.llm.common import id_crc, table
 
 SHARDS = 24
@@ -72,8 +86,37 @@ def op10_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_file.highest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), label, every=50, positives=5, negatives=3)
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_simhash, op3_best_fit_packing, op4_preference_chat, op5_byte_bpe, op6_toxicity, op7_sharding, op8_substring_dedup, op9_hnsw, op10_va_file)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_simhash,
+        op3_best_fit_packing,
+        op4_preference_chat,
+        op5_byte_bpe,
+        op6_toxicity,
+        op7_sharding,
+        op8_substring_dedup,
+        op9_hnsw,
+        op10_va_file,
+        op11_warc,
+        op12_hard_negatives,
+        op13_phrases,
+    )
 }
 
 _NUMBERED = """SELECT pair_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
@@ -173,9 +216,82 @@ SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score FROM (
     )
 ) WHERE nth <= 5"""
 
+_DIGITS = "instr('0123456789abcdef', substr(hex, 5 * (i // 4) + {k}, 1)) - 1"
+_FIVE_BITS = " + ".join(f"({_DIGITS.format(k=k)}) * {16 ** (5 - k)}" for k in range(1, 6))
+_CAPTURES = f"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digested AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + (({_FIVE_BITS}) // power(32, 3 - i % 4)::BIGINT) % 32 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digested"""
+
+_NEGATIVES = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS point FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+           CAST(list_dot_product(a.point, b.point) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.point) = len(b.point) WHERE a.vec_id % 50 = 0
+),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score FROM scores WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id
+           ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.alike
+    AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+_PHRASES = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'
+    )), '[^\x20\x09]+') AS words FROM documents
+),
+starts AS (SELECT lang, words[i : i + 3] AS words FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces)),
+counts AS (
+    SELECT lang, size, words[1 : size] AS phrase, count(*) AS f
+    FROM starts, (VALUES (1), (2), (3), (4)) sizes(size) WHERE len(words) >= size GROUP BY ALL
+),
+candidates AS (SELECT * FROM counts WHERE size > 1 AND f >= 30),
+cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, cut, l.f AS l, r.f AS r, CAST(c.f AS HUGEINT) * 2000000 // (l.f + r.f) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS cut FROM candidates) c
+    JOIN counts l ON l.lang = c.lang AND l.phrase = c.phrase[1 : cut]
+    JOIN counts r ON r.lang = c.lang AND r.phrase = c.phrase[cut + 1 : c.size]
+),
+lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+),
+inside AS (
+    SELECT lang, phrase[i : i + n - 1] AS phrase, max(f) AS longer
+    FROM (SELECT *, unnest(range(1, size)) AS i FROM candidates), (VALUES (2), (3)) lengths(n)
+    WHERE n < size AND i + n - 1 <= size GROUP BY ALL
+),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang),
+spelled AS (
+    SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score
+    FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM spelled JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
 #: The other queries are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op4_preference_chat": _PREFERENCE,
     "op8_substring_dedup": _SUBSTRING,
     "op10_va_file": _INNER_PRODUCTS,
+    "op11_warc": _CAPTURES,
+    "op12_hard_negatives": _NEGATIVES,
+    "op13_phrases": _PHRASES,
 }
