@@ -90,12 +90,15 @@ class Anchor:
         self.sum = float(held.sum())
         self.error = float(np.abs(turned - held).sum()) / np.sqrt(self.dim)
 
-    def along(self, codes: np.ndarray) -> np.ndarray:
-        """Inner product of the planes' values with every code vector, from popcounts."""
-        on = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-        levels = np.zeros(len(codes), dtype=np.int64)
+    def along(self, codes: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """Inner product of the planes' values with every code vector, from popcounts.
+
+        `codes` has one row for each 64 components; `on` is the number of ones of each code.
+        """
+        levels = np.zeros(codes.shape[1], dtype=np.int32)
         for k, plane in enumerate(self.planes):
-            levels += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << k
+            for word, bits in zip(codes, plane, strict=True):
+                levels += np.bitwise_count(word & bits).astype(np.int32) << k
         return (2 * (self.low * on + self.step * levels) - self.sum) / np.sqrt(self.dim)
 
 
@@ -104,81 +107,95 @@ class Block:
 
     def __init__(self, row):
         self.labels = np.frombuffer(row.labels, dtype="<i8")
-        self.ids = [np.asarray(i, dtype=np.int64) for i in row.ids]
-        self.alone = np.array([i[0] if len(i) == 1 else -1 for i in self.ids], dtype=np.int64)
-        self.single = np.array([len(i) == 1 for i in self.ids])
+        self.ids = row.ids
+        self.row_of = {int(i[0]): r for r, i in enumerate(self.ids) if len(i) == 1}
         points = np.frombuffer(row.points, dtype=row.kind).reshape(len(self.ids), -1)
         self.points = points if row.kind != "<f8" else integers(points)
         n = len(self.ids)
-        self.codes = np.frombuffer(row.codes, dtype="<u8").reshape(n, -1)
-        self.alignment, self.rest = np.frombuffer(row.alignment), np.frombuffer(row.rest)
+        self.coded(np.frombuffer(row.codes, dtype="<u8").reshape(n, -1), np.frombuffer(row.alignment), np.frombuffer(row.rest))
         self.means = np.frombuffer(row.means).reshape(-1, points.shape[1]) if row.means else np.zeros((0, points.shape[1]))
         self.mean_of = np.frombuffer(row.mean_of, dtype="<i4")
         exact = self.points.dtype != object
         self.largest = float(np.abs(self.points).max(initial=0)) if exact else float("inf")
-        self.values = self.points.astype(np.float64) if exact else self.points
+        # Single precision holds whole numbers up to 2**24, and half the bytes.
+        self.single = self.points.astype(np.float32) if self.largest**2 * points.shape[1] < 2**24 else None
+        self.double = self.points.astype(np.float64) if exact and self.single is None else None
+
+    def coded(self, codes: np.ndarray, alignment: np.ndarray, rest: np.ndarray) -> None:
+        self.codes, self.alignment, self.rest = np.ascontiguousarray(codes.T), alignment, rest
+        self.on = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
 
-    def met(self, anchor: np.ndarray) -> bool:
-        """Whether products with the anchor are exact in double precision."""
-        return anchor.dtype != object and self.largest * max(float(np.abs(anchor).max(initial=0)), 1.0) * len(anchor) < EXACT
+    def size_with(self, anchor: np.ndarray) -> float:
+        """Bound of every partial sum of products with the anchor."""
+        return float("inf") if anchor.dtype == object else self.largest * max(float(np.abs(anchor).max(initial=0)), 1.0) * len(anchor)
 
-    def bounds(self, anchor: Anchor, rows: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, anchor: Anchor, rows: slice) -> tuple[np.ndarray, np.ndarray]:
         """Certain lower and upper bounds of the rows' inner products with the anchor."""
-        along = anchor.along(self.codes[rows])
+        alignment, rest = self.alignment[rows], self.rest[rows]
+        along = anchor.along(self.codes[:, rows], self.on[rows])
         beside = np.sqrt(np.maximum(anchor.length**2 - np.maximum(np.abs(along) - anchor.error, 0) ** 2, 0))
-        middle = (self.means @ anchor.point)[self.mean_of[rows]] + self.alignment[rows] * along
-        reach = self.alignment[rows] * anchor.error + self.rest[rows] * beside
-        reach += _SLACK * (anchor.length * (self.alignment[rows] + self.rest[rows]) + np.abs(middle)) + 1e-6
+        middle = (self.means @ anchor.point)[self.mean_of[rows]] + alignment * along
+        reach = alignment * anchor.error + rest * beside
+        reach += _SLACK * (anchor.length * (alignment + rest) + np.abs(middle)) + 1e-6
         return middle - reach, middle + reach
 
-    def scores(self, anchor: np.ndarray, rows: np.ndarray) -> list[int]:
-        if self.met(anchor):
-            return [int(s) for s in self.values[rows] @ anchor]
-        exact = [int(x) for x in anchor]
-        return [sum(int(x) * y for x, y in zip(self.points[r], exact, strict=True)) for r in rows]
-
-    def others(self, rows: np.ndarray, own: int) -> np.ndarray:
-        """The rows but those that hold the anchor's id alone."""
-        return rows[~(self.single[rows] & (self.alone[rows] == own))]
-
-    def best(self, rows: np.ndarray, scores: list[int], own: int, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best, all ids of the rows considered."""
-        listed = ((-s, int(i)) for s, r in zip(scores, rows, strict=True) for i in self.ids[r] if i != own)
+    def scores(self, anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact scores of the rows: whole numbers in double precision, or integers of any size."""
+        size = self.size_with(anchor)
+        if size >= EXACT:
+            exact = [int(x) for x in anchor]
+            scores = [sum(int(x) * y for x, y in zip(self.points[r], exact, strict=True)) for r in rows]
+            return np.array([*scores, None], dtype=object)[:-1]
+        if self.single is not None and size < 2**24:
+            values, anchor = self.single, anchor.astype(np.float32)
+        else:
+            values = self.double if self.double is not None else self.single.astype(np.float64)
+        if 4 * len(rows) > len(values):  # cheaper than gathering them
+            return (values @ anchor)[rows].astype(np.float64)
+        return (values[rows] @ anchor).astype(np.float64)
+
+    def best(self, rows: np.ndarray, scores: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best ids of the rows but the anchor's own."""
+        if len(rows) > k + 1:  # the anchor's own row may be among them
+            keep = scores >= np.partition(scores, -k - 1)[-k - 1]
+            rows, scores = rows[keep], scores[keep]
+        listed = ((-int(s), int(i)) for s, r in zip(scores, rows, strict=True) for i in self.ids[r] if i != own)
         return [(-s, i) for s, i in sorted(listed)[:k]]
 
     def positives(self, own: int, label: int, point: np.ndarray, k: int) -> list[tuple[int, int]]:
-        rows = self.others(np.arange(*np.searchsorted(self.labels, [label, label + 1])), own)
+        first, end = (int(x) for x in np.searchsorted(self.labels, [label, label + 1]))
+        rows = np.arange(first, end)
         if not len(rows):
             return []
-        if self.met(point):
-            least, most = self.bounds(Anchor(point), rows)
-            if len(rows) > k:
-                rows = rows[most >= np.partition(least, -k)[-k]]
+        if self.size_with(point) < EXACT and len(rows) > k + 1:
+            least, most = self.bounds(Anchor(point), slice(first, end))
+            rows = rows[most >= np.partition(least, -k - 1)[-k - 1]]  # one of the k + 1 may be the anchor's own
         return self.best(rows, self.scores(point, rows), own, k)
 
     def negatives(self, own: int, label: int, point: np.ndarray, positives: list[tuple[int, int]], k: int) -> list[tuple]:
         """(positive, negative, scores) of the k best rows of other labels within each positive's bounds."""
-        first, end = np.searchsorted(self.labels, [label, label + 1])
-        rows = self.others(np.r_[np.arange(first), np.arange(end, len(self.labels))], own)
         limits = [(i, s, -(-LOW * s // 100), HIGH * s // 100) for i, s in positives if s >= 0]
-        if not len(rows) or not limits:
+        wanted = np.ones(len(self.labels), dtype=bool)
+        wanted[slice(*np.searchsorted(self.labels, [label, label + 1]))] = False
+        if own in self.row_of:
+            wanted[self.row_of[own]] = False
+        if not limits or not wanted.any():
             return []
-        wanted = np.ones(len(rows), dtype=bool)
-        if self.met(point):
-            least, most = self.bounds(Anchor(point), rows)
-            wanted[:] = False
+        if self.size_with(point) < EXACT:
+            least, most = self.bounds(Anchor(point), slice(None))
+            others, wanted = wanted, np.zeros(len(wanted), dtype=bool)
             for _, _, low, high in limits:
-                may = (most >= low) & (least <= high)
-                sure = np.sort(least[may & (least >= low) & (most <= high)])
+                may = others & (most >= low) & (least <= high)
+                sure = least[may & (least >= low) & (most <= high)]
                 if len(sure) >= k:
-                    may &= most >= sure[-k]
+                    may &= most >= np.partition(sure, -k)[-k]
                 wanted |= may
-        rows = rows[wanted]
+        rows = np.flatnonzero(wanted)
         scores = self.scores(point, rows)
         found = []
         for positive, score, low, high in limits:
-            inside = [j for j, s in enumerate(scores) if low <= s <= high]
-            best = self.best(rows[inside], [scores[j] for j in inside], own, k)
+            inside = np.flatnonzero((scores >= low) & (scores <= high))
+            best = self.best(rows[inside], scores[inside], own, k)
             found += [(positive, i, _stored(score), _stored(s)) for s, i in best]
         return found
 

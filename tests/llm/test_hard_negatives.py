@@ -68,7 +68,8 @@ def test_intervals_hold_the_products(dim):
     mean = values.mean(axis=0)
     codes, alignment, rest = hard.encoded(values - mean)
     block = hard.Block.__new__(hard.Block)
-    block.codes, block.alignment, block.rest, block.means, block.mean_of = codes, alignment, rest, mean[None, :], np.zeros(200, dtype=int)
+    block.coded(codes, alignment, rest)
+    block.means, block.mean_of = mean[None, :], np.zeros(200, dtype=int)
     for query in np.floor(256 * random.normal(size=(20, dim))):
         low, high = block.bounds(hard.Anchor(query), slice(None))
         exact = values @ query
@@ -83,7 +84,7 @@ def test_most_rows_are_not_scored():
     values[:20] += 200
     codes, alignment, rest = hard.encoded(values - values.mean(axis=0))
     block = hard.Block.__new__(hard.Block)
-    block.codes, block.alignment, block.rest = codes, alignment, rest
+    block.coded(codes, alignment, rest)
     block.means, block.mean_of = values.mean(axis=0)[None, :], np.zeros(2000, dtype=int)
     low, high = block.bounds(hard.Anchor(values[0]), slice(None))
     assert (high >= np.sort(low)[-5]).sum() < 200
