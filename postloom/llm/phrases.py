@@ -106,7 +106,7 @@ def vocabulary(texts: DataFrame, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes(salt)
-        for lang, lists in chunks(batches, Counter):
+        for lang, lists in chunks(batches, list):
             counts: Counter[bytes] = Counter()
             for some in lists:
                 counts.update(some)
@@ -148,6 +148,13 @@ def suffixes(ids: np.ndarray) -> np.ndarray:
     return found
 
 
+def _changes(words: np.ndarray) -> np.ndarray:
+    """Whether a column of `words` is the first or differs from the one before."""
+    new = np.ones(words.shape[1], dtype=bool)
+    new[1:] = (words[:, 1:] != words[:, :-1]).any(axis=0)
+    return new
+
+
 @dataclass
 class Partition:
     """Prefixes that were extended, per number of words, as sorted keys with their counts, and the groups' borders."""
@@ -165,12 +172,14 @@ class Partition:
         known, counts = self.over[words - 1]
         return counts[np.searchsorted(known, keys)]
 
-    def depths(self, lang: str, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each suffix's prefix and the key of the prefix."""
-        keys = list(prefix_keys(lang, words))
-        depth, key = np.ones(words.shape[1], dtype=np.uint8), keys[0].copy()
+    def depths(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each suffix's prefix and the key of the prefix, from the `prefix_keys` of the suffixes."""
+        depth, key = np.ones(len(keys[0]), dtype=np.uint8), keys[0].copy()
         for k in range(1, LONGEST):
-            deeper = (depth == k) & self.is_over(k, keys[k - 1])
+            deeper = np.flatnonzero(depth == k)
+            deeper = deeper[self.is_over(k, keys[k - 1][deeper])]
+            if not len(deeper):
+                break
             depth[deeper], key[deeper] = k + 1, keys[k][deeper]
         return depth, key
 
@@ -181,12 +190,16 @@ def _counted(texts: DataFrame, salt: int, known: Partition, depth: int) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes(salt)
         for lang, ids in chunks(batches, hashes.of):
-            words = suffixes(np.concatenate(ids))
-            keys = list(prefix_keys(lang, words))
-            kept = known.is_over(depth - 1, keys[depth - 2]) & (words[depth - 1] != 0)
-            rows, counts = np.unique(words[:depth, kept].T, axis=0, return_counts=True)
-            key = list(prefix_keys(lang, np.ascontiguousarray(rows.T)))[-1]
-            yield pd.DataFrame({"lang": lang, "words": [r.tobytes() for r in rows], "key": key, "f": counts})
+            words = suffixes(np.concatenate(ids))[:depth]
+            *_, shorter = prefix_keys(lang, words[:-1])
+            words = words[:, known.is_over(depth - 1, shorter) & (words[-1] != 0)]
+            *_, key = prefix_keys(lang, words)
+            by = np.argsort(key)
+            words, key = words[:, by], key[by]
+            new = np.flatnonzero(_changes(words))
+            counts = np.diff(np.r_[new, len(key)])
+            rows = np.ascontiguousarray(words[:, new].T)
+            yield pd.DataFrame({"lang": lang, "words": [r.tobytes() for r in rows], "key": key[new], "f": counts})
 
     found = texts.mapInPandas(run, "lang string, words binary, key bigint, f bigint")
     return found.groupBy("lang", "words", "key").agg(F.sum("f").alias("f"))
@@ -252,16 +265,23 @@ def partitioned(
 def _leaves(lang: str, ids: np.ndarray, known: Partition) -> pd.DataFrame:
     """Packed rows (group, lang, blob): the distinct suffixes of a chunk with their numbers, by group."""
     words = suffixes(ids)
-    depth, key = known.depths(lang, words)
-    complete = words[np.minimum(depth, LONGEST) - 1, np.arange(words.shape[1])] != 0  # shorter ones are known prefixes
-    words, depth, key = words[:, complete], depth[complete], key[complete]
-    if not len(key):
-        return pd.DataFrame({"group": [], "lang": [], "blob": []})
+    keys = list(prefix_keys(lang, words))
+    depth, key = known.depths(keys)
     group = np.searchsorted(known.borders, key, side="right")
-    _, pair, _, whole = (k.copy() for k in prefix_keys(lang, words))
-    by = np.lexsort((whole, pair, group))
+    # One number to sort by: the group, then bits of the first two words' key, so that like suffixes stand together
+    # and pack well, then bits of the whole suffix's. Equal suffixes that are kept apart by others do no harm.
+    bits = max(1, int(len(known.borders)).bit_length())
+    half = np.uint64((64 - bits) // 2)
+    place = group.astype(np.uint64) << np.uint64(64 - bits)
+    place |= keys[1].view(np.uint64) >> np.uint64(bits) >> half << half
+    place |= keys[3].view(np.uint64) >> (np.uint64(64) - half)
+    complete = words[depth - 1, np.arange(words.shape[1])] != 0  # shorter ones are known prefixes
+    by = np.argsort(place)
+    by = by[complete[by]]
+    if not len(by):
+        return pd.DataFrame({"group": [], "lang": [], "blob": []})
     words, depth, group = words[:, by], depth[by], group[by]
-    new = np.flatnonzero(np.r_[True, (words[:, 1:] != words[:, :-1]).any(axis=0) | (group[1:] != group[:-1])])
+    new = np.flatnonzero(_changes(words))
     counts = np.diff(np.r_[new, len(group)]).astype(np.uint32)
     words, depth, group = words[:, new], depth[new], group[new]
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
@@ -286,26 +306,32 @@ def nodes(lang: str, words: np.ndarray, counts: np.ndarray, depth: np.ndarray, k
     `lefts` are the counts of the shorter beginnings, read off the path to the root; `rests` are what follows them;
     `inner` are the shorter phrases of two words or more inside the node's.
     """
-    by = np.lexsort(words[::-1])
-    words, counts, depth = words[:, by], counts[by].astype(np.int64), depth[by]
+    counts = counts.astype(np.int64)
+    first, of_first = np.unique(words[0], return_inverse=True)
+    sums = np.bincount(of_first, weights=counts).astype(np.int64)
+    one, pair = prefix_keys(lang, words[:2])
+    single = np.zeros(len(first), dtype=bool)
+    single[of_first] = ~known.is_over(1, one)
+    found = [(lang, w.tobytes(), 1, n, [], [], []) for w, n in zip(first[single], sums[single].tolist(), strict=True) if n >= least]
+    # Only under beginnings of two words that occur often enough do suffixes need their order.
+    by = np.argsort(pair)
+    starts = np.flatnonzero(_changes(pair[by][None, :]))
+    by = by[np.repeat(np.add.reduceat(counts[by], starts) >= least, np.diff(np.r_[starts, len(by)]))]
+    by = by[words[1, by] != 0]
+    by = by[np.lexsort(words[::-1, by])]
+    totals, words, counts, depth = [sums[of_first[by]]], words[:, by], counts[by], depth[by]
     keys = list(prefix_keys(lang, words))
-    new = np.zeros(len(counts), dtype=bool)
-    new[0] = True
-    totals, place = [], []
-    found = []
-    for k in range(LONGEST):
-        new[1:] |= words[k, 1:] != words[k, :-1]
+    for k in range(1, LONGEST):
+        new = _changes(words[: k + 1])
         starts = np.flatnonzero(new)
-        totals.append(np.add.reduceat(counts, starts))
-        place.append(np.cumsum(new) - 1)
-        for at in starts[(totals[k] >= least) & (words[k, starts] != 0) & (depth[starts] <= k + 1)]:
+        sums = np.add.reduceat(counts, starts) if len(starts) else counts
+        totals.append(sums[np.cumsum(new) - 1])
+        for at in starts[(sums >= least) & (words[k, starts] != 0) & (depth[starts] <= k + 1)]:
             raw = words[: k + 1, at].tobytes()
-            lefts = [
-                int(totals[j][place[j][at]]) if j + 1 >= depth[at] else int(known.count(j + 1, keys[j][at])) for j in range(k)
-            ]
+            lefts = [int(totals[j][at]) if j + 1 >= depth[at] else int(known.count(j + 1, keys[j][at])) for j in range(k)]
             rests = [raw[8 * (j + 1) :] for j in range(k)]
             inner = [raw[8 * i : 8 * (i + n)] for n in range(2, k + 1) for i in range(k + 2 - n)]
-            found.append((lang, raw, k + 1, int(totals[k][place[k][at]]), lefts, rests, inner))
+            found.append((lang, raw, k + 1, int(totals[k][at]), lefts, rests, inner))
     return pd.DataFrame(found, columns=["lang", "words", "size", "f", "lefts", "rests", "inner"])
 
 

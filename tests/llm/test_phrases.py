@@ -86,7 +86,7 @@ def test_groups_keep_the_budget(docs, corpus):
     sizes = Counter()
     for lang, text in corpus:
         ids = np.concatenate([phrases.Hashes(0).of(w) for w in phrases.slices(text)])
-        depth, key = known.depths(lang or "und", phrases.suffixes(ids))
+        depth, key = known.depths(list(phrases.prefix_keys(lang or "und", phrases.suffixes(ids))))
         whole = phrases.suffixes(ids)[depth - 1, np.arange(len(depth))] != 0
         deepest = depth == phrases.LONGEST
         sizes.update(np.searchsorted(known.borders, key[whole & ~deepest], side="right").tolist())
