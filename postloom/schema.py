@@ -91,6 +91,16 @@ SERVING = T.StructType(
         T.StructField("raw_number", T.LongType()),
     ]
 )
+#: Postings in the layout of keyword search, and the search index: places of a bigram within a block of numbers.
+POSTING_SEARCH = T.StructType([*SERVING.fields, T.StructField("doc", T.LongType())])
+KEYWORD_INDEX = T.StructType(
+    [
+        T.StructField("gram", T.StringType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("offsets", T.ArrayType(T.IntegerType())),
+        T.StructField("scope_id", T.StringType()),
+    ]
+)
 STATISTIC = T.StructType(
     [
         T.StructField("scope_id", T.StringType()),

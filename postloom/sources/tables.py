@@ -13,6 +13,8 @@ SCHEMAS = {
     "posting_detail": S.DETAIL,
     "posting_skill": S.SKILL,
     "posting_serving": S.SERVING,
+    "posting_search": S.POSTING_SEARCH,
+    "keyword_index": S.KEYWORD_INDEX,
     "statistic": S.STATISTIC,
     "statistic_hot": S.STATISTIC,
     "run_log": S.RUN_LOG,

@@ -5,7 +5,15 @@ The same SQL text builds the frame in Spark and the CTE in the checking engine.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postloom import schema as S
+from postloom.operators.paging import with_order_columns
+from postloom.sources.tables import Warehouse
 
 _TABLES = ["orders", "customer", "nation", "part"]
 
@@ -79,6 +87,24 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.selectExpr(*[f"{_DIRTY[c]} AS {c}" if c in _DIRTY else c for c in clean.columns])
 
 
+def serving_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings as rows of the serving table."""
+    made = with_order_columns(postings(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp")))
+    return made.select(*S.SERVING.names)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's checkpoint folder; a local one only where none is set (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="postloom-"))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def new_store(spark: SparkSession) -> Warehouse:
+    return Warehouse(spark, new_folder(spark, "warehouse"))
+
+
 def cte() -> str:
     """`WITH` clause for the checking engine: postings and raw."""
     body = POSTINGS.format(**{t: t for t in _TABLES})

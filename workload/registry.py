@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from postloom import schema as S
 from postloom.functions import payload as P
 from postloom.functions import text as X
-from postloom.operators import filters, geo, packing, paging, ranking
+from postloom.operators import filters, geo, packing, paging, ranking, search_index
 from postloom.operators.assembly import assemble
 from postloom.operators.counts import default_scope, labelled_counts, scope_catalog
 from postloom.operators.dedup import latest_postings
@@ -20,7 +21,7 @@ from postloom.operators.typing import clean, typed
 from postloom.plans import context, display, search, serving
 from postloom.plans import statistics as stats
 from postloom.plans.warehouse import to_detail
-from workload.adapter import cte, postings, raw_postings, table
+from workload.adapter import cte, new_store, postings, raw_postings, serving_postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -271,6 +272,23 @@ def keyword_search(spark, sf_dir):
     return rows.select("raw_id", "scope_id", "job_uid")
 
 
+#: Two runs with wildcards, one common word, a word that is in no posting, and one character, which no bigram serves.
+_KEYWORDS = ["Widget%000001", "ustomer#00000012_", "standard", "no such word", "9"]
+
+
+@query(
+    "\nUNION ALL ".join(
+        f"SELECT '{k}' AS keyword, raw_id, scope_id, job_uid FROM postings WHERE {_SEARCH.format(k=f'%{k}%')}" for k in _KEYWORDS
+    )
+)
+def keyword_search_indexed(spark, sf_dir):
+    """The search index of all postings is written, and every keyword looked up in it."""
+    store = new_store(spark)
+    search_index.build(store, serving_postings(spark, sf_dir))
+    found = [search_index.find(store, k).select(F.lit(k).alias("keyword"), "raw_id", "scope_id", "job_uid") for k in _KEYWORDS]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     f"""SELECT {_LIST} FROM postings WHERE scope_id = 'machinery'
         ORDER BY {_NEWEST} LIMIT 20 OFFSET 40"""
