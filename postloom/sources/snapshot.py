@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import schema as S
+from postloom.sources import csv_ranges
 
 _DIALECT = {"sep": ",", "quote": '"', "escape": "\\", "header": "true", "emptyValue": ""}
 ROWS_PER_FILE = 500_000
@@ -14,17 +15,12 @@ ROWS_PER_FILE = 500_000
 def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Read a snapshot as text columns; nothing is inferred.
 
-    With `multi_line` a quoted line break stays inside its field and a file is one task, which
-    is why `write_snapshot` bounds the rows per file. Pass False for huge files from elsewhere
-    that hold no quoted line breaks: Spark then splits them.
+    With `multi_line` a quoted line break stays inside its field, and large files are still read by many tasks. Pass
+    False for files that hold no quoted line breaks: Spark then reads them once instead of twice.
     """
-    return (
-        spark.read.schema(S.SNAPSHOT)
-        .options(**_DIALECT)
-        .option("multiLine", str(multi_line).lower())
-        .option("enforceSchema", "true")
-        .csv(path)
-    )
+    if multi_line:
+        return csv_ranges.read(spark, path, S.SNAPSHOT, _DIALECT)
+    return spark.read.schema(S.SNAPSHOT).options(**_DIALECT).option("enforceSchema", "true").csv(path)
 
 
 def write_snapshot(df: DataFrame, root: str, scope: S.Scope, rows_per_file: int = ROWS_PER_FILE) -> str:
