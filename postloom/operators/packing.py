@@ -33,10 +33,11 @@ def _with_parts(rows: DataFrame, part_size: int) -> DataFrame:
 
     Ranks are read off a sort that may spill; no array holds more than `part_size` categories.
     """
-    sizes = rows.groupBy(*_KEY).agg(F.ceil(F.count(F.lit(1)) / part_size).cast("int").alias("parts"))
-    order = Window.partitionBy(*_KEY).orderBy(stored_order(), "category")
-    ranked = rows.withColumn("part", F.floor((F.row_number().over(order) - 1) / part_size).cast("int"))
-    return ranked.join(sizes, _KEY).repartition(*[F.col(c) for c in _PART])
+    of = Window.partitionBy(*_KEY)
+    rank = F.row_number().over(of.orderBy(stored_order(), "category"))
+    ranked = rows.withColumn("part", F.floor((rank - 1) / part_size).cast("int"))
+    sized = ranked.withColumn("parts", F.ceil(F.count(F.lit(1)).over(of) / part_size).cast("int"))
+    return sized.repartition(*[F.col(c) for c in _PART])
 
 
 def _payload(stat_type: Column, categories: Column, values: Column, averages: Column, stamp: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom import schema as S
@@ -24,15 +24,17 @@ def serve(hot: DataFrame, durable: DataFrame, stat_types=S.STAT_TYPES) -> DataFr
         .select(*S.STATISTIC.names, F.lit(tier).alias("tier"))
         for df, tier, valid in [(hot, _HOT, P.is_json_object), (durable, _DURABLE, P.is_json)]
     ]
-    found = tiers[0].unionByName(tiers[1])
-    # Completeness is counted without the payloads' texts.
-    whole = (
-        found.groupBy("scope_id", "stat_type", "tier")
-        .agg(F.count_distinct("part").alias("found"), F.max("parts").alias("parts"))
-        .filter("found = parts")
-    )
-    chosen = whole.groupBy("scope_id", "stat_type").agg(F.min("tier").alias("tier"))
-    return found.join(chosen, ["scope_id", "stat_type", "tier"], "left_semi").select(*S.STATISTIC.names)
+    # Each tier is read once; completeness is seen beside the rows, in the one shuffle that brings them together.
+    of = Window.partitionBy("scope_id", "stat_type")
+
+    def whole(tier: int) -> Column:
+        mine = F.col("tier") == tier
+        return F.size(F.collect_set(F.when(mine, F.col("part"))).over(of)) == F.max(F.when(mine, F.col("parts"))).over(of)
+
+    found = tiers[0].unionByName(tiers[1]).withColumns({f"whole_{t}": whole(t) for t in (_HOT, _DURABLE)})
+    hot_is_whole, durable_is_whole = (F.coalesce(f"whole_{t}", F.lit(False)) for t in (_HOT, _DURABLE))
+    chosen = F.when(hot_is_whole, _HOT).when(durable_is_whole, _DURABLE)
+    return found.filter(F.col("tier") == chosen).select(*S.STATISTIC.names)
 
 
 def repair(warehouse: Warehouse, scope: S.Scope, stat_types=S.STAT_TYPES) -> None:

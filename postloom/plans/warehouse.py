@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom import schema as S
+from postloom.operators.assembly import companies, recruiters
 from postloom.operators.counts import labelled_counts
 from postloom.operators.dedup import latest_postings
 from postloom.operators.filters import has_uid, valid_row
@@ -81,16 +82,20 @@ def layer_counts(warehouse: Warehouse, scope: S.Scope) -> DataFrame:
 def publish_clean(
     warehouse: Warehouse, raw: DataFrame, scope: S.Scope, csv_root: str, at: str, complete: bool = True
 ) -> str:
-    """Clean one scope's raw postings into the serving table and its CSV snapshot.
+    """Clean one scope's raw postings into the serving table, the entity tables and its CSV snapshot.
 
-    The snapshot is written from the stored serving rows, so cleaning runs once. Returns its path.
+    Companies, recruiters and the snapshot are written from the stored serving rows, so cleaning runs once. Returns
+    the snapshot's path.
     """
     mine = raw.filter(F.col("scope_id") == scope.scope_id)
     _gate(warehouse, mine, scope, "clean", complete, at)
     cleaned = latest_postings(clean(mine).filter(has_uid()))
     stamped = with_order_columns(cleaned.withColumn("created_at", F.lit(at).cast("timestamp")))
     warehouse.replace("posting_serving", stamped.sortWithinPartitions(F.desc("published_at")), scope)
-    path = write_snapshot(warehouse.read("posting_serving", scope), csv_root, scope)
+    stored = warehouse.read("posting_serving", scope)
+    warehouse.replace("clean_company", companies(stored), scope)
+    warehouse.replace("clean_recruiter", recruiters(stored), scope)
+    path = write_snapshot(stored, csv_root, scope)
     warehouse.log_run(scope, "clean", "ok", mine.count(), warehouse.count("posting_serving", scope), at)
     return path
 

@@ -91,6 +91,9 @@ SERVING = T.StructType(
         T.StructField("raw_number", T.LongType()),
     ]
 )
+#: Entity tables made from the cleaned postings.
+CLEAN_COMPANY = _strings(["raw_id", "company", "company_size", "company_type", "financing", "industry", "scope_id"])
+CLEAN_RECRUITER = _strings(["raw_id", "job_uid", "recruiter_status", "recruiter_activity", "scope_id"])
 #: Postings in the layout of keyword search, and the search index: places of a bigram within a block of numbers.
 POSTING_SEARCH = T.StructType([*SERVING.fields, T.StructField("doc", T.LongType())])
 KEYWORD_INDEX = T.StructType(

@@ -13,6 +13,8 @@ SCHEMAS = {
     "posting_detail": S.DETAIL,
     "posting_skill": S.SKILL,
     "posting_serving": S.SERVING,
+    "clean_company": S.CLEAN_COMPANY,
+    "clean_recruiter": S.CLEAN_RECRUITER,
     "posting_search": S.POSTING_SEARCH,
     "keyword_index": S.KEYWORD_INDEX,
     "statistic": S.STATISTIC,

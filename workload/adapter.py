@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postloom import schema as S
 from postloom.operators.paging import with_order_columns
+from postloom.sources.buckets import BucketedPostings
 from postloom.sources.tables import Warehouse
 
 _TABLES = ["orders", "customer", "nation", "part"]
@@ -105,6 +106,10 @@ def new_store(spark: SparkSession) -> Warehouse:
     return Warehouse(spark, new_folder(spark, "warehouse"))
 
 
+def new_buckets(spark: SparkSession, name: str) -> BucketedPostings:
+    return BucketedPostings(spark, f"{name}_{uuid.uuid4().hex}", new_folder(spark, "buckets"), buckets=16)
+
+
 def cte() -> str:
     """`WITH` clause for the checking engine: postings and raw."""
     body = POSTINGS.format(**{t: t for t in _TABLES})

@@ -12,7 +12,7 @@ from postloom import schema as S
 from postloom.functions import payload as P
 from postloom.functions import text as X
 from postloom.operators import filters, geo, packing, paging, ranking, search_index
-from postloom.operators.assembly import assemble
+from postloom.operators.assembly import assemble, companies, recruiters
 from postloom.operators.counts import default_scope, labelled_counts, scope_catalog
 from postloom.operators.dedup import latest_postings
 from postloom.operators.facets import facet_values, ordered_facets
@@ -21,7 +21,8 @@ from postloom.operators.typing import clean, typed
 from postloom.plans import context, display, search, serving
 from postloom.plans import statistics as stats
 from postloom.plans.warehouse import to_detail
-from workload.adapter import cte, new_store, postings, raw_postings, serving_postings, table
+from postloom.sources.snapshot import read_snapshot, write_snapshot
+from workload.adapter import cte, new_buckets, new_folder, new_store, postings, raw_postings, serving_postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +148,28 @@ def dedup_latest(spark, sf_dir):
     return rows.select("raw_id", "scope_id", "job_uid")
 
 
+@query("SELECT CAST(raw_id AS VARCHAR) AS raw_id, scope_id, job_uid FROM detail")
+def merge_latest(spark, sf_dir):
+    """Two snapshots: a third of the rows comes after the others and is merged with the stored buckets."""
+    rows = valid_postings(spark, sf_dir)
+    late = F.pmod(F.col("raw_id").cast("long"), F.lit(3)) == 0
+    stored = new_buckets(spark, "merge_latest")
+    stored.merge(rows.filter(~late))
+    return stored.merge(rows.filter(late)).select("raw_id", "scope_id", "job_uid")
+
+
+@query(
+    """SELECT raw_id, scope_id, job_uid, job_name || chr(10) || '"' || company || '"' || chr(10) || ', \\' AS description
+       FROM postings WHERE scope_id = 'building'"""
+)
+def snapshot_csv(spark, sf_dir):
+    """One scope's snapshot is written as CSV and read back; its descriptions hold quotes and line breaks."""
+    text = F.concat("job_name", F.lit('\n"'), "company", F.lit('"\n, \\'))
+    rows = postings(spark, sf_dir).withColumn("description", text)
+    path = write_snapshot(rows, new_folder(spark, "snapshots"), S.Scope("BUILDING", "building"))
+    return read_snapshot(spark, path).select("raw_id", "scope_id", "job_uid", "description")
+
+
 # Salaries as crawlers deliver them: by month, in thousands or yuan, by day, as a range in one field.
 _SALARY_FORMS = {
     "salary_low": """CASE TRY_CAST(raw_id AS BIGINT) % 5 WHEN 0 THEN replace(salary_low, '万', '千/月')
@@ -258,11 +281,15 @@ _SEARCH = "(job_name ILIKE '{k}' OR company ILIKE '{k}' OR skills ILIKE '{k}' OR
 
 @query(
     f"""SELECT {_LIST} FROM postings
-        WHERE scope_id = 'building' AND education = 'O' AND {_SEARCH.format(k='%WIDGET%')}
-          AND {_AMOUNT_ANY.format(c='salary_high')} >= 10.5 AND {_AMOUNT_ANY.format(c='salary_low')} <= 40"""
+        WHERE scope_id = 'building' AND city = 'NATION_13' AND education = 'O' AND experience = '3-MEDIUM'
+          AND company_size = '100人以上' AND industry = 'new widget' AND {_SEARCH.format(k='%WIDGET%')}
+          AND {_AMOUNT_ANY.format(c='salary_high')} >= 1.5 AND {_AMOUNT_ANY.format(c='salary_low')} <= 60"""
 )
 def job_search(spark, sf_dir):
-    wanted = filters.JobQuery("building", education="O", keyword="WIDGET", salary_min=10.5, salary_max=40.0)
+    facets = {"city": "NATION_13", "education": "O", "experience": "3-MEDIUM", "company_size": "100人以上"}
+    wanted = filters.JobQuery(
+        "building", **facets, industry="new widget", keyword="WIDGET", salary_min=1.5, salary_max=60.0
+    )
     return filters.renamed(postings(spark, sf_dir).filter(wanted.predicate()), S.LIST_FIELDS)
 
 
@@ -351,6 +378,14 @@ def job_detail(spark, sf_dir):
     return filters.job_detail(postings(spark, sf_dir), "5-7")
 
 
+@query(ORACLES["job_detail"].removeprefix(f"{_CTE}\n"))
+def job_detail_bucketed(spark, sf_dir):
+    """The same from the bucketed table, of which one bucket is read."""
+    stored = new_buckets(spark, "job_detail")
+    stored.merge(postings(spark, sf_dir))
+    return stored.detail("5-7")
+
+
 @query(
     "\nUNION ALL ".join(
         f"(SELECT DISTINCT scope_id, '{f}' AS facet, {c} AS value FROM postings WHERE trim({c}) <> '')"
@@ -698,7 +733,9 @@ def _with_faults(payloads: DataFrame, faults: dict[str, str]) -> DataFrame:
 
 def _tiers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(hot, durable) tiers with broken payloads; the hot one is newer and lacks some types."""
-    payloads = _payloads(spark, sf_dir)
+    store = new_store(spark)
+    store.replace("statistic", _payloads(spark, sf_dir))
+    payloads = store.read("statistic")
     newer = payloads.withColumn("payload", F.replace("payload", F.lit(STAMP), F.lit("2024-02-02 00:00:00")))
     hot = newer.filter(~F.col("stat_type").isin("industry", "company_type"))
     return _with_faults(hot, _HOT_FAULTS), _with_faults(payloads, _DURABLE_FAULTS)
@@ -875,10 +912,15 @@ def job_context(spark, sf_dir):
 # Entity assembly
 
 
+_OF_COMPANY = ["company_size", "company_type", "financing", "industry"]
+_OF_RECRUITER = ["recruiter_status", "recruiter_activity"]
+_OF_POSTING = [c for c in S.SNAPSHOT.names if c not in _OF_COMPANY + _OF_RECRUITER]
+
+
 @query(
-    """SELECT p.raw_id, p.job_uid, p.company, p.recruiter_id, c.company_size, c.company_type, c.financing, c.industry,
+    f"""SELECT {', '.join(f'p.{c}' for c in _OF_POSTING)}, {', '.join(f'c.{c}' for c in _OF_COMPANY)},
               r.recruiter_status, r.recruiter_activity
-       FROM (SELECT raw_id, job_uid, company, CAST(raw_id AS BIGINT) % 150 AS recruiter_id FROM postings) p
+       FROM (SELECT *, CAST(raw_id AS BIGINT) % 150 AS recruiter_id FROM postings) p
        LEFT JOIN (SELECT * FROM postings QUALIFY row_number() OVER (
                       PARTITION BY company ORDER BY CAST(raw_id AS BIGINT) DESC) = 1) c ON c.company = p.company
        LEFT JOIN (SELECT l_suppkey, l_linestatus AS recruiter_status, l_returnflag AS recruiter_activity FROM lineitem
@@ -886,16 +928,42 @@ def job_context(spark, sf_dir):
               ON r.l_suppkey = p.recruiter_id"""
 )
 def wide_assembly(spark, sf_dir):
-    """Every posting also is one version of its company; every line item is one of a recruiter."""
+    """All columns of a snapshot. Every posting also is one version of its company; every line item is one of a recruiter."""
     source = postings(spark, sf_dir)
-    posting = source.select(
-        "raw_id", "job_uid", "company", F.expr("CAST(raw_id AS BIGINT) % 150").alias("recruiter_id")
-    )
-    company = source.select("raw_id", "company", "company_size", "company_type", "financing", "industry")
+    posting = source.select(*_OF_POSTING, F.expr("CAST(raw_id AS BIGINT) % 150").alias("recruiter_id"))
+    company = source.select("raw_id", "company", *_OF_COMPANY)
     recruiter = table(spark, sf_dir, "lineitem").select(
         F.expr("l_orderkey * 100 + l_linenumber").alias("raw_id"),
         F.col("l_suppkey").alias("recruiter_id"),
         F.col("l_linestatus").alias("recruiter_status"),
         F.col("l_returnflag").alias("recruiter_activity"),
     )
-    return assemble(posting, company, recruiter)
+    return assemble(posting, company, recruiter).select(*S.SNAPSHOT.names)
+
+
+_CLEANED = ", ".join(f"NULLIF(trim({c}), '') AS {c}" for c in ["company", *_OF_COMPANY])
+
+
+@query(
+    f"""SELECT scope_id, {_CLEANED} FROM detail WHERE trim(company) <> ''
+        QUALIFY row_number() OVER (PARTITION BY scope_id, trim(company) ORDER BY CAST(raw_id AS BIGINT) DESC) = 1"""
+)
+def clean_companies(spark, sf_dir):
+    """The company table, made from the cleaned postings, written and read back."""
+    store = new_store(spark)
+    cleaned = latest_postings(clean(valid_postings(spark, sf_dir)).filter(filters.has_uid()))
+    store.replace("clean_company", companies(cleaned))
+    return store.read("clean_company").select("scope_id", "company", *_OF_COMPANY)
+
+
+@query(
+    """SELECT scope_id, job_uid, NULLIF(trim(recruiter_status), '') AS recruiter_status,
+              NULLIF(trim(recruiter_activity), '') AS recruiter_activity FROM detail
+       WHERE trim(recruiter_status) <> '' OR trim(recruiter_activity) <> ''"""
+)
+def clean_recruiters(spark, sf_dir):
+    """The recruiter table, made from the cleaned postings, written and read back."""
+    store = new_store(spark)
+    cleaned = latest_postings(clean(valid_postings(spark, sf_dir)).filter(filters.has_uid()))
+    store.replace("clean_recruiter", recruiters(cleaned))
+    return store.read("clean_recruiter").select("scope_id", "job_uid", *_OF_RECRUITER)
