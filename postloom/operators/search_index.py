@@ -77,13 +77,13 @@ def needed(spark: SparkSession, keyword: str) -> list[str]:
 
 
 def candidates(index: DataFrame, grams: list[str]) -> DataFrame:
-    """(scope_id, doc) of the postings that hold every bigram in some column."""
+    """(scope_id, block, doc) of the postings that hold every bigram in some column."""
     lists = index.filter(F.col("gram").isin(grams)).groupBy("scope_id", "block").agg(F.collect_list("offsets").alias("lists"))
     rarest = F.array_sort("lists", lambda a, b: F.size(a) - F.size(b))
     common = F.aggregate(F.slice(rarest, 2, len(grams)), F.get(rarest, F.lit(0)), lambda held, other: F.array_intersect(held, other))
     complete = lists.filter(F.size("lists") == len(grams)) if len(grams) > 1 else lists
     return complete.select("scope_id", "block", F.explode(common).alias("offset")).select(
-        "scope_id", (F.col("block") * BLOCK + F.col("offset")).alias("doc")
+        "scope_id", "block", (F.col("block") * BLOCK + F.col("offset")).alias("doc")
     )
 
 
@@ -103,6 +103,6 @@ def find(store: Warehouse, keyword: str, scope_id: str | None = None, listed: in
     if len(few) <= listed:
         places = rows.filter(F.col("scope_id").isin(sorted({r.scope_id for r in few})) & F.col("doc").isin(sorted({r.doc for r in few})))
         return places.filter(matched)
-    # The condition names both sides, so the match stays above the join and is tried on candidates only.
-    joined = rows.join(found.withColumn("_hit", F.lit(True)), ["scope_id", "doc"])
-    return joined.filter(F.when(F.col("_hit"), matched)).drop("_hit")
+    # The condition names both sides, so it is not pushed below the join: the match is tried on candidates only.
+    joined = rows.join(found, ["scope_id", "doc"])
+    return joined.filter(F.when(F.col("block") >= 0, matched)).drop("block")
