@@ -54,9 +54,9 @@ def test_round_trip_of_rows(texts):
 
 def test_both_forms_of_the_vocabulary_agree():
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     fast, slow = (best_fit.encoder(P.path(f"byte_bpe_50k.{end}")) for end in ("tiktoken", "json"))
-    for text in [*random_texts(1500, 5), "<|endoftext|>", "a" * 30_000, " " * 30_000]:
+    for text in [*random_texts(1500, 5), "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  x\n<|endoftext|", "a" * 30_000, " " * 30_000]:
         ids = library.encode(text, add_special_tokens=False).ids
         assert fast(text) == ids and slow(text) == ids
 
