@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from postloom.llm.pretokens import Cache
+from postloom.llm.pretokens import Cache, splitter
 
 WORD = 64
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -26,9 +26,7 @@ class BytePairs:
     """A vocabulary of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
-
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.ranks, self.split = ranks, splitter(pattern)
         self.bytes_of = {str(i): b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
         self.pairs = {tuple(b): i for b, i in ranks.items() if len(b) == 2}

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import regex
+import tiktoken
 
 # Fixed value: the characters of Unicode's White_Space property, which the vocabularies' pattern calls \s.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -21,6 +23,42 @@ _OTHERS = [c for c in map(chr, range(0x3001)) if c not in " \n" and re.match(f"[
 CHUNKS_KEPT, PIECES_KEPT, LONGEST, CHARACTERS = 600_000, 1_500_000, 64, 4 << 20
 
 
+#: What stands for a letter, a number and any other character of the library where a text is split.
+_AS = {r"\p{L}": "\xaa", r"\p{N}": "\xb2", "": "\ue000"}
+
+
+@lru_cache(maxsize=1)
+def unlike() -> dict[int, str]:
+    """Code points that tiktoken and the pattern matcher here class differently, with what stands for them.
+
+    They know different versions of Unicode. The library tells its classes itself: encoded with a class as the whole
+    pattern, a text's ids are the bytes of its characters of that class.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([b]): b for b in range(256)}
+    there, differing = {}, set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        found = set(bytes(library.encode_ordinary(every)).decode())
+        there.update(dict.fromkeys(found, _AS[kind]))
+        differing |= found ^ set(regex.findall(kind, every))
+    return {ord(c): there.get(c, _AS[""]) for c in differing}
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of the pattern in a text, as the tiktoken library finds them."""
+    matches = regex.compile(pattern)
+    stands_for = unlike()
+    odd = re.compile("[" + "".join(map(re.escape, map(chr, stands_for))) + "]") if stands_for else re.compile("(?!)")
+
+    def split(text: str) -> list[str]:
+        if text.isascii() or not odd.search(text):
+            return matches.findall(text)
+        return [text[m.start() : m.end()] for m in matches.finditer(text.translate(stands_for))]
+
+    return split
+
+
 def chunks(text: str) -> list[str]:
     """The chunks in order; there may be empty ones."""
     plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _OTHERS))
@@ -36,7 +74,7 @@ class Cache:
     """
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], Iterable], empty: str | bytes):
-        self.split, self.encode, self.empty = regex.compile(pattern).findall, encode, empty
+        self.split, self.encode, self.empty = splitter(pattern), encode, empty
         self.chunks, self.pieces = {}, {}
 
     def _learn(self, new: set[str]) -> None:

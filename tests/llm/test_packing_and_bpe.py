@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from postloom.llm import best_fit, byte_bpe
+from postloom.llm import best_fit, byte_bpe, pretokens
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 ALPHABET = "ab é\n\t   \x1c\x85x'sllre1２٣😀中文　．,!?​́Aaaa\r\x0b\xa0\0"
@@ -36,6 +36,18 @@ def test_ids_equal_the_library(reference):
         assert pairs.decode(ids) == text.encode()
 
 
+def test_classes_of_code_points_are_the_library_s(reference):
+    pairs, cache = byte_bpe._worker(RANKS, P.PATTERN)
+    odd = list(pretokens.unlike())
+    assert {0x18EC0, 0x88F, 0xC5C, 0xA7CE, 0x10940} <= set(odd)
+    others = [c for c in range(0x80, 0x110000, 97) if not 0xD800 <= c < 0xE000]
+    texts = [form.format(chr(c)) for c in [*odd, *others] for form in ("{}'ll", "a{}", "1{}", " {0}{0}x")]
+    for text, forms in zip(texts, cache.encoded(texts), strict=True):
+        ids = reference.encode_ordinary(text)
+        assert pairs.encode(text) == ids, text
+        assert [int(i) for i in "".join(forms).split(",")[:-1]] == ids, text
+
+
 def test_long_pieces(reference):
     pairs, _ = byte_bpe._worker(RANKS, P.PATTERN)
     for text in ("ab" * 3000 + "z" * 3000, "é" * 2000, " " * 5000, "\n" * 3001 + "x"):
