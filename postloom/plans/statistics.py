@@ -94,11 +94,12 @@ def summary(detail: DataFrame) -> DataFrame:
     )
 
 
+def skill_counts(skill_rows: DataFrame) -> DataFrame:
+    return skill_rows.groupBy("scope_id", F.col("skill").alias("category")).agg(F.count(F.lit(1)).alias("value"))
+
+
 def skills(skill_rows: DataFrame, limit: int = S.TOP_LIMIT["skills"]) -> DataFrame:
-    counts = skill_rows.groupBy("scope_id", F.col("skill").alias("category")).agg(
-        F.count(F.lit(1)).alias("value")
-    )
-    return top(counts, limit)
+    return top(skill_counts(skill_rows), limit)
 
 
 def fill_trend(per_day: DataFrame, days: int = S.TREND_DAYS) -> DataFrame:
@@ -162,9 +163,11 @@ def category_counts(detail: DataFrame) -> DataFrame:
             F.sum(total).alias("total"),
             F.count(total).alias("jobs"),
             F.max(known).alias("known"),
+            F.count_if(known).alias("known_rows"),
             F.max(at).alias("type"),
         )
-        .select("scope_id", F.get(names, F.col("type")).alias("stat_type"), "category", "value", "total", "jobs", "known")
+        .withColumn("stat_type", F.get(names, F.col("type")))
+        .select("scope_id", "stat_type", "category", "value", "total", "jobs", "known", "known_rows")
     )
 
 
@@ -187,6 +190,11 @@ def _summary_from(counts: DataFrame) -> DataFrame:
 
 def statistic_rows(counts: DataFrame, skill_rows: DataFrame) -> DataFrame:
     """Rows of every statistic but the summary: (scope_id, stat_type, category, value, average)."""
+    return rows_of(counts, skill_counts(skill_rows))
+
+
+def rows_of(counts: DataFrame, skill_totals: DataFrame) -> DataFrame:
+    """The same from (scope_id, category, value) of every skill."""
     stat_type = F.col("stat_type")
     no_average = F.lit(None).cast("double").alias("average_salary_wan")
     ranked_types = ["top_companies", "industry"]
@@ -199,13 +207,18 @@ def statistic_rows(counts: DataFrame, skill_rows: DataFrame) -> DataFrame:
         "scope_id", F.col("category").try_cast("date").alias("day"), "value"
     )
     trend = fill_trend(days).withColumn("stat_type", F.lit("publish_trend")).select(*ROW[:-1], no_average)
-    skill = skills(skill_rows).withColumn("stat_type", F.lit("skills")).select(*ROW[:-1], no_average)
+    best_skills = top(skill_totals.select("scope_id", "category", "value"), S.TOP_LIMIT["skills"])
+    skill = best_skills.withColumn("stat_type", F.lit("skills")).select(*ROW[:-1], no_average)
     return reduce(DataFrame.unionByName, [whole, *best, trend, skill])
 
 
 def statistics(detail: DataFrame, skill_rows: DataFrame, updated_at: str) -> DataFrame:
     """All twelve statistics of every scope as payload rows; one that counts nothing is empty."""
-    counts = category_counts(detail)
+    return packed(category_counts(detail), skill_counts(skill_rows), updated_at)
+
+
+def packed(counts: DataFrame, skill_totals: DataFrame, updated_at: str) -> DataFrame:
+    """The payload rows of `category_counts` and the counts of skills."""
     totals = _summary_from(counts)
-    packed = pack(statistic_rows(counts, skill_rows), updated_at)
-    return completed(packed, totals, updated_at).unionByName(pack_summary(totals, updated_at))
+    rows = pack(rows_of(counts, skill_totals), updated_at)
+    return completed(rows, totals, updated_at).unionByName(pack_summary(totals, updated_at))

@@ -91,6 +91,18 @@ SERVING = T.StructType(
         T.StructField("raw_number", T.LongType()),
     ]
 )
+#: Counts behind the statistics that can be added and taken away.
+STATISTIC_COUNT = T.StructType(
+    [
+        T.StructField("stat_type", T.StringType()),
+        T.StructField("category", T.StringType()),
+        T.StructField("value", T.LongType()),
+        T.StructField("total", T.DecimalType(28, 2)),
+        T.StructField("jobs", T.LongType()),
+        T.StructField("known_rows", T.LongType()),
+        T.StructField("scope_id", T.StringType()),
+    ]
+)
 #: Entity tables made from the cleaned postings.
 CLEAN_COMPANY = _strings(["raw_id", "company", "company_size", "company_type", "financing", "industry", "scope_id"])
 CLEAN_RECRUITER = _strings(["raw_id", "job_uid", "recruiter_status", "recruiter_activity", "scope_id"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,9 @@ SCHEMAS = {
     "keyword_index": S.KEYWORD_INDEX,
     "statistic": S.STATISTIC,
     "statistic_hot": S.STATISTIC,
+    "statistic_count": S.STATISTIC_COUNT,
+    "statistic_delta": S.STATISTIC_COUNT,
+    "statistic_merged": S.STATISTIC_COUNT,
     "run_log": S.RUN_LOG,
 }
 PARTITIONS = {"statistic": ["scope_id", "stat_type"], "statistic_hot": ["scope_id", "stat_type"]}
@@ -41,6 +45,14 @@ class Warehouse:
         df = self.spark.read.schema(SCHEMAS[table]).format(self.fmt).load(self.path(table, staged))
         return df if scope is None else df.filter(F.col("scope_id") == scope.scope_id)
 
+    def exists(self, table: str) -> bool:
+        """Whether the table has been written."""
+        try:
+            self.spark.read.format(self.fmt).load(self.path(table))
+        except AnalysisException:
+            return False
+        return True
+
     def statistics(self, scope: S.Scope, stat_types=S.STAT_TYPES, table: str = "statistic") -> DataFrame:
         return self.read(table, scope).filter(F.col("stat_type").isin(list(stat_types)))
 
@@ -75,6 +87,11 @@ class Warehouse:
         if scope is not None and seen.get["rows"] == 0:
             self._empty(table, scope, staged)
 
+    def rewrite(self, table: str, df: DataFrame) -> None:
+        """Replaces the whole table, also the partitions that `df` does not hold."""
+        writer = df.select(*SCHEMAS[table].names).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        writer.partitionBy(*PARTITIONS.get(table, ["scope_id"])).format(self.fmt).save(self.path(table))
+
     def _empty(self, table: str, scope: S.Scope, staged: bool) -> None:
         fields = [f for f in SCHEMAS[table].fields if f.name != "scope_id"]
         nothing = self.spark.createDataFrame([], T.StructType(fields))

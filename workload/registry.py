@@ -18,7 +18,7 @@ from postloom.operators.dedup import latest_postings
 from postloom.operators.facets import facet_values, ordered_facets
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import clean, typed
-from postloom.plans import context, display, search, serving
+from postloom.plans import context, display, incremental, search, serving
 from postloom.plans import statistics as stats
 from postloom.plans.warehouse import to_detail
 from postloom.sources.snapshot import read_snapshot, write_snapshot
@@ -967,3 +967,19 @@ def clean_recruiters(spark, sf_dir):
     cleaned = latest_postings(clean(valid_postings(spark, sf_dir)).filter(filters.has_uid()))
     store.replace("clean_recruiter", recruiters(cleaned))
     return store.read("clean_recruiter").select("scope_id", "job_uid", *_OF_RECRUITER)
+
+
+# Incremental statistics
+
+
+@query(ORACLES["stat_unpacked"].removeprefix(f"{_CTE}\n"))
+def stat_incremental(spark, sf_dir):
+    """Counts of a first state, in which postings are missing, moved or to be removed, and one update to all postings."""
+    rows = typed_postings(spark, sf_dir)
+    late, moved = F.col("raw_id") % 5 == 0, F.col("raw_id") % 7 == 0
+    before = rows.filter(~late & moved).withColumns({"city": F.lit("elsewhere"), "salary_low_wan": F.lit(None).cast("decimal(10,2)")})
+    extra = rows.filter(F.col("raw_id") % 11 == 0).withColumn("company", F.lit("closed"))
+    store = new_store(spark)
+    incremental.update(store, rows.filter(~late & ~moved).unionByName(before).unionByName(extra))
+    incremental.update(store, rows.filter(late | moved), before.unionByName(extra))
+    return packing.unpack(incremental.payloads(store.read("statistic_count"), STAMP))
