@@ -4,10 +4,10 @@ Rows that agree in a table's bits form a group. Within a group comparison is bit
 bit planes; a query flips the planes where its bit is set, and carry-save counters add the planes for 64 distances
 at a time. A (query, block) pair is abandoned once all its distances exceed the radius.
 
-Two sets of tables: `band_pairs` is exact, as fingerprints within radius r agree in at least two of r + 2 bands.
-`sampled_tables` takes random bits of wider fingerprints, for radii that no bands can serve; a pair at distance d
-of n bits meets in one table with probability (1 - d / n) ** bits. What these bring together are candidates only:
-`deduplicated` compares the candidates' sets of shingles.
+`band_pairs` is exact, as fingerprints within radius r agree in at least two of r + 2 bands. No bands can serve the
+radius of near copies, so `deduplicated` brings those together by their rarest shingles: sets of similarity 0.8 or
+more share one of the first fifth of their shingles in any common order. The bit-sliced comparison of wider
+fingerprints is the sieve inside these groups, and the candidates' sets of shingles decide.
 
 Equal fingerprints are collapsed before the search. A group of more than `BLOCK_ROWS` fingerprints is cut into parts
 and every two parts meet in a group of their own, so no task holds more than two parts of one group.
@@ -18,6 +18,7 @@ has fingerprint zero and links like any other; a null doc_id stays null and take
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -51,6 +52,11 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
     return np.fromiter(hashes, dtype=np.uint64, count=len(words) - shingle + 1)
 
 
+def set_name(hashes: np.ndarray) -> int:
+    """Names a sorted set of shingles."""
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
 def voted(hashes: np.ndarray, width: int = 1) -> np.ndarray:
     """`width` words of 64 bits; the first holds the votes of the hashes, the others those of mixed copies."""
     votes = np.zeros(64 * width, dtype=np.int64)
@@ -82,7 +88,7 @@ def fingerprints(
                 hashes = list(map(np.unique, hashes))
             found = [voted(h, width) for h in hashes]
             if distinct:
-                nodes = [xxhash.xxh64_intdigest(h.tobytes()) for h in hashes]
+                nodes = [set_name(h) for h in hashes]
             else:
                 nodes = [p[0] if width == 1 else xxhash.xxh64_intdigest(p.tobytes()) for p in found]
             yield pd.DataFrame(
@@ -104,11 +110,6 @@ def band_pairs(radius: int, bits: int = 64) -> list[np.ndarray]:
     return [np.concatenate(two) for two in combinations(bands, 2)]
 
 
-def sampled_tables(tables: int, key_bits: int, bits: int, seed: int = SEED) -> list[np.ndarray]:
-    random = np.random.default_rng(seed)
-    return [random.choice(bits, key_bits, replace=False) for _ in range(tables)]
-
-
 def near_masks(queries: np.ndarray, planes: np.ndarray, counts: np.ndarray, radius: int) -> np.ndarray:
     """For each pair of a query and a block of up to 64 members, the lanes within the radius.
 
@@ -205,18 +206,12 @@ def _keyed(values: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     return values.select("node", "print").mapInPandas(run, "bands int, key bigint, node bigint, print binary")
 
 
-def _groups(keyed: DataFrame, block_rows: int, drop_single: bool = True) -> DataFrame:
-    """The rows with `part`: a group of more than `block_rows` rows is cut, and every two cuts meet in one part.
-
-    Groups of one row are dropped by a join that moves all rows once more; without `drop_single` only the groups
-    over the bound (at most rows / block_rows) are sent to the rows.
-    """
+def _groups(keyed: DataFrame, block_rows: int) -> DataFrame:
+    """The rows of groups of two or more, with `part`: a group of more than `block_rows` rows is cut, and every two
+    cuts meet in one part."""
     sizes = keyed.groupBy("bands", "key").agg(F.count(F.lit(1)).alias("rows"))
-    if drop_single:
-        sized = keyed.join(sizes.where("rows > 1"), ["bands", "key"])
-    else:
-        sized = keyed.join(F.broadcast(sizes.where(F.col("rows") > block_rows)), ["bands", "key"], "left")
-    cuts = F.ceil(F.coalesce("rows", F.lit(1)) / block_rows).cast("int")
+    sized = keyed.join(sizes.where("rows > 1"), ["bands", "key"])
+    cuts = F.ceil(F.col("rows") / block_rows).cast("int")
     return _cut(sized.withColumn("cuts", cuts)).select(*GROUP, "node", "print")
 
 
@@ -235,9 +230,7 @@ def _cut(sized: DataFrame) -> DataFrame:
 EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def linking_edges(
-    values: DataFrame, tables: list[np.ndarray], radius: int, block_rows: int = BLOCK_ROWS, drop_single: bool = True
-) -> DataFrame:
+def linking_edges(values: DataFrame, tables: list[np.ndarray], radius: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Edges (a, b) between nodes, with the connected components of all links that the tables bring together.
 
     `values` has one row for each node, with its `print`.
@@ -246,7 +239,7 @@ def linking_edges(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return (_edges(rows, radius) for rows in _whole_groups(batches, GROUP))
 
-    rows = _groups(_keyed(values, tables), block_rows, drop_single)
+    rows = _groups(_keyed(values, tables), block_rows)
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInPandas(run, EDGE)
 
 
@@ -289,9 +282,12 @@ def near_duplicates(
 
 
 # Fixed values of `deduplicated`: 256 bits; documents with Jaccard similarity 0.8 of their shingles differ in 15 % of
-# the bits (39, standard deviation 6), unrelated ones in half. The radius is four deviations wider, and the tables
-# meet 99.9 % of pairs at 39 bits and 97 % at 50.
-WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_TABLES, WIDE_KEY_BITS = 4, 5, 62, 72, 14
+# the bits (39, standard deviation 6; more in texts of few shingles), unrelated ones in half (128, 8).
+WIDE, WIDE_SHINGLE, WIDE_RADIUS = 4, 5, 84
+#: Cells that count the sets a shingle stands in, registers a cell, and cells that are merged as one row.
+CELLS, REGISTERS, SLICE = 1 << 20, 4, 1 << 16
+#: Tasks whose registers are merged in one step, and rows of a group that is compared by itself.
+MERGED_AT_ONCE, LARGE = 1024, 256
 #: Numerator and denominator of the least similarity of near copies.
 ALIKE = 4, 5
 #: Characters of a candidate group from which it is cut, and shingles compared with one document at once.
@@ -370,22 +366,215 @@ def confirmed_edges(df: DataFrame, candidates: DataFrame, block_chars: int = BLO
     return parts.repartition("component", "part").sortWithinPartitions("component", "part", "node").mapInPandas(run, EDGE)
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The largest value of every register of a slice, batch by batch."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, packed in zip(batch["slice"], batch["registers"], strict=True):
+            values = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+            held[at] = np.maximum(held[at], values) if at in held else values
+    yield pd.DataFrame({"slice": list(held), "registers": [zlib.compress(v.tobytes(), 1) for v in held.values()]})
+
+
+def commonness(df: DataFrame) -> np.ndarray:
+    """For each cell of shingles about four times the binary logarithm of the number of different sets it stands in.
+
+    Every set writes its own rank into one register of its shingles' cells and the largest stays, so copies count
+    once. The result has CELLS bytes at any size of the corpus. It only orders shingles and says which groups to cut;
+    shingles that share a cell, or an estimate that is off, cost time but no link.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        registers = np.zeros((REGISTERS, CELLS), dtype=np.uint8)
+        for batch in batches:
+            for text in batch["text"]:
+                hashes = np.unique(shingle_hashes(text, WIDE_SHINGLE))
+                name = int(mixed(np.array([set_name(hashes)], dtype=np.uint64))[0])
+                mine, cells, rest = registers[name % REGISTERS], _cells(hashes), name // REGISTERS | 1 << 60
+                mine[cells] = np.maximum(mine[cells], (rest & -rest).bit_length())
+        if registers.any():
+            slices = [registers[:, at : at + SLICE].tobytes() for at in range(0, CELLS, SLICE)]
+            yield pd.DataFrame({"slice": range(len(slices)), "registers": [zlib.compress(v, 1) for v in slices]})
+
+    form = "slice int, registers binary"
+    parts = df.select("text").mapInPandas(run, form).withColumn("some", F.spark_partition_id() % MERGED_AT_ONCE)
+    some = parts.repartition("slice", "some").select("slice", "registers").mapInPandas(_merged, form)
+    common = np.zeros(CELLS, dtype=np.uint8)
+    for row in some.repartition("slice").mapInPandas(_merged, form).collect():  # CELLS * REGISTERS bytes at most
+        values = np.frombuffer(zlib.decompress(row["registers"]), dtype=np.uint8).reshape(REGISTERS, -1)
+        common[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = values.sum(axis=0)
+    return common
+
+
+def rare_shingles(df: DataFrame, common: np.ndarray, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """key, part, node: every set with the first fifth, plus one, of its shingles from rare to common.
+
+    A shingle of about more than `block_rows` sets is cut, and every two cuts meet in one part. A set is given once
+    for each partition of `df` at most, however many copies it has there.
+    """
+    sets = 0.3 * REGISTERS * 2.0 ** (common / REGISTERS)
+    cuts_of = 1 + (np.maximum(0, sets - np.median(sets)) // block_rows).astype(np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((common, cuts_of))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common, cuts_of = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            keys, parts, nodes = [], [], []
+            for text in batch["text"]:
+                hashes = np.unique(shingle_hashes(text, WIDE_SHINGLE))
+                name = set_name(hashes)
+                if name in seen or not len(hashes):
+                    continue
+                seen.add(name)
+                cells = _cells(hashes)
+                first = len(hashes) - -(-ALIKE[0] * len(hashes) // ALIKE[1]) + 1
+                chosen = np.lexsort((hashes, common[cells]))[:first]
+                cuts = cuts_of[cells[chosen]]
+                own = (np.uint64(name) % cuts.astype(np.uint64)).astype(np.int64)
+                at = np.repeat(np.arange(first), cuts)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                keys.append(hashes[chosen][at])
+                parts.append(np.minimum(own[at], other) * cuts[at] + np.maximum(own[at], other))
+                nodes.append(np.full(len(at), name, dtype=np.uint64))
+            if keys:
+                key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes).view(np.int64)
+                yield pd.DataFrame({"key": key, "part": np.concatenate(parts), "node": node})
+
+    return df.select("text").mapInPandas(run, "key bigint, part bigint, node bigint")
+
+
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups of two or more nodes among rows sorted by key, part and node; a group that comes again goes."""
+    seen: set[int] = set()
+    for rows in _whole_groups(batches, ["key", "part"]):
+        key, part, node = (rows[c].to_numpy() for c in ("key", "part", "node"))
+        new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        fresh = new | np.r_[True, node[1:] != node[:-1]]
+        new, node = new[fresh], node[fresh]
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(node)]
+        many = ends - starts > 1
+        found = []
+        for start, end in zip(starts[many], ends[many], strict=True):
+            members = node[start:end].tobytes()
+            name = xxhash.xxh64_intdigest(members)
+            if name not in seen:
+                seen.add(name)
+                found.append((node[start], name - 2**63, members))
+        if found:
+            yield pd.DataFrame(found, columns=["least", "name", "members"])
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        nodes = [np.frombuffer(m, dtype=np.int64) for m in batch["members"]]
+        if nodes:
+            sizes = np.array([len(n) for n in nodes])
+            again = {c: np.repeat(batch[c].to_numpy(), sizes) for c in ("least", "name")}
+            yield pd.DataFrame(again | {"size": np.repeat(sizes, sizes), "node": np.concatenate(nodes)})
+
+
+def _near(prints: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, row) within the radius among the rows of one group."""
+    first = np.arange(0, len(prints), 64)
+    counts = np.minimum(64, len(prints) - first)
+    planes = _planes(prints, first, counts)
+    for some in np.array_split(queries, max(1, -(-len(queries) * len(first) // PAIRS_AT_ONCE))):
+        query, block = np.repeat(some, len(first)), np.tile(np.arange(len(first)), len(some))
+        mask = near_masks(prints[query], planes[block], counts[block], radius)
+        on = np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        pair, lane = np.nonzero(on)
+        yield query[pair], first[block[pair]] + lane
+
+
+def _sifted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidate edges of groups that stand together by `least`, the largest first.
+
+    Small groups are compared many at a time. In a large one, rows that earlier groups of the same least node have
+    connected are not compared with each other again: only rows outside the largest part ask all others.
+    """
+    last, parent = None, {}
+
+    def root(node: int) -> int:
+        while parent.setdefault(node, node) != node:
+            parent[node] = node = parent[parent[node]]
+        return node
+
+    for rows in _whole_groups(batches, ["least", "name"]):
+        small = rows[rows["size"] <= LARGE]
+        if len(small):
+            prints = np.frombuffer(b"".join(small["print"]), dtype="<u8").reshape(len(small), -1)
+            at = small[["least", "name"]].to_numpy()
+            group = np.r_[0, np.cumsum((at[1:] != at[:-1]).any(axis=1))]
+            a, b = links(prints, group, WIDE_RADIUS)
+            node = small["node"].to_numpy()
+            yield pd.DataFrame({"a": node[a], "b": node[b]})
+        for (least, _), group in rows[rows["size"] > LARGE].groupby(["least", "name"], sort=False):
+            if least != last:
+                last, parent = least, {}
+            node = group["node"].to_numpy()
+            prints = np.frombuffer(b"".join(group["print"]), dtype="<u8").reshape(len(group), -1)
+            label = np.array([root(n) for n in node.tolist()])
+            names, sizes = np.unique(label, return_counts=True)
+            if sizes.max() == 1:
+                a, b = links(prints, np.zeros(len(node), dtype=np.int64), WIDE_RADIUS)
+                pairs = np.column_stack([node[a], node[b]])
+            else:
+                queries = np.flatnonzero(label != names[sizes.argmax()])
+                met = [np.unique(np.column_stack([label[q], label[r]]), axis=0) for q, r in _near(prints, queries, WIDE_RADIUS)]
+                pairs = np.concatenate([np.zeros((0, 2), dtype=np.int64), *met])
+            edges = []
+            for a, b in pairs.tolist():
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    edges.append((a, b))
+            if edges:
+                yield pd.DataFrame(edges, columns=["a", "b"])
+
+
+def candidate_edges(df: DataFrame, classes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Edges (a, b) with the components of all pairs of sets that share a rare shingle and lie within the radius.
+
+    classes: `node` and `print`, a row for each set of shingles of `df`.
+    """
+    rare = rare_shingles(df, commonness(df), block_rows)
+    rare = rare.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    met = rare.mapInPandas(_meetings, "least bigint, name bigint, members binary").dropDuplicates(["name"])
+    rows = met.mapInPandas(_members, "least bigint, name bigint, size bigint, node bigint").join(classes, "node")
+    rows = rows.repartition("least").sortWithinPartitions("least", F.desc("size"), "name", "node")
+    return rows.select("least", "name", "size", "node", "print").mapInPandas(_sifted, EDGE)
+
+
 def deduplicated(df: DataFrame) -> DataFrame:
     """The rows of `df` without near copies: of each group the row with the smallest doc_id (and text hash) stays.
 
     Documents are near copies at a similarity (Jaccard) of 0.8 or more of their sets of five-word shingles.
-    Fingerprints of 256 bits only bring candidates together; every link is confirmed on the shingles. Rows that
-    repeat are near copies, too, and so are all texts without a word.
+    Fingerprints of 256 bits only sift candidates; every link is confirmed on the shingles. Rows that repeat are near
+    copies, too, and so are all texts without a word. An empty table gives an empty one; columns of any name pass.
     """
-    tables = sampled_tables(WIDE_TABLES, WIDE_KEY_BITS, 64 * WIDE)
+    df_id, df_key = _unused("doc", df), _unused("key", df)
     prints = settled(fingerprints(df, WIDE_SHINGLE, SEED, WIDE, distinct=True))
     row = F.struct("doc_id", "text_key")
     classes = settled(prints.groupBy("node").agg(F.min(row).alias("row"), F.first("print").alias("print")))
-    edges = linking_edges(classes.select("node", "print"), tables, WIDE_RADIUS, drop_single=False)
+    edges = candidate_edges(df.select("text"), classes.select("node", "print"))
     candidates = classes.select("node", "row.*").join(connected(edges), "node")
     linked = connected(confirmed_edges(df, candidates))
     placed = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = placed.groupBy("component").agg(F.min("row").alias("kept")).select("kept.*")
-    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc"), F.col("text_key").alias("__key"))
-    rows = df.withColumn("__doc", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("__key", F.xxhash64("text"))
-    return rows.join(kept, ["__doc", "__key"], "left_semi").dropDuplicates(["__doc", "__key"]).drop("__doc", "__key")
+    kept = kept.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(df_id), F.col("text_key").alias(df_key))
+    rows = df.withColumn(df_id, F.coalesce("doc_id", F.lit(NULL_ID))).withColumn(df_key, F.xxhash64("text"))
+    return rows.join(kept, [df_id, df_key], "left_semi").dropDuplicates([df_id, df_key]).drop(df_id, df_key)
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """`name` with as many leading underscores as no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

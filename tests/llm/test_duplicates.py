@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -126,6 +127,88 @@ def test_links_have_the_similarity(texts):
     assert linked == 30 and kept == {i for i, _ in rows} - {100 + i for i in range(1, 60, 2)}
 
 
+def alike(sets, numerator=4, denominator=5):
+    nodes = range(len(sets))
+    return [(i, j) for i in nodes for j in nodes
+            if i < j and denominator * len(sets[i] & sets[j]) >= numerator * len(sets[i] | sets[j]) > 0]
+
+
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_candidates_lose_no_link(spark, texts, block_rows):
+    """Texts of 5 to 300 words beside a line that all of them hold; small blocks cut the groups of that line."""
+    choose = random.Random(12)
+    word = lambda: "".join(choose.choice("abcdefgh") for _ in range(6))
+    line, rows = [word() for _ in range(12)], []
+    for size in (5, 6, 7, 9, 12, 20, 40, 80, 300):
+        for _ in range(6):
+            words = [word() for _ in range(size)]
+            rows += [words] + [[word() if choose.random() < rate else w for w in words] for rate in (0, 0.01, 0.02, 0.04, 0.06)]
+            rows += [[*words, word()], [*line, *words], [*line, *words[1:]]]
+    rows = [" ".join(r) for r in rows] + [None, ""]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    df = texts(*enumerate(rows))
+    prints = simhash.fingerprints(df, 5, width=simhash.WIDE, distinct=True)
+    classes = prints.groupBy("node").agg(F.first("print").alias("print"))
+    edges = [(r.a, r.b) for r in simhash.candidate_edges(df, classes, block_rows).collect()]
+    names = {s: int(np.uint64(simhash.set_name(np.array(sorted(s), dtype=np.uint64))).view(np.int64)) for s in sets}
+    found = plain_components(set(names.values()), edges)
+    links = alike(sets)
+    assert len(links) > 200 and all(found[names[sets[a]]] == found[names[sets[b]]] for a, b in links)
+    kept = {r.doc_id for r in simhash.deduplicated(df).collect()}
+    parts = plain_components(range(len(rows)), [*links, (len(rows) - 2, len(rows) - 1)])
+    assert kept == set(parts.values())
+
+
+def test_large_groups_are_sifted_once():
+    """Two groups of one least node: the second repeats the first but for a few rows, of which one links."""
+    choose = random.Random(6)
+    base = [choose.getrandbits(64) for _ in range(4)]
+    near = lambda n: [flipped(base[0], choose.sample(range(64), 6)), *(b ^ choose.getrandbits(4) for b in base[1:])][:n]
+    prints = {i: near(4) for i in range(400)} | {i: [choose.getrandbits(64) for _ in range(4)] for i in range(400, 403)}
+    prints[403] = near(4)
+    size = {1: range(402), 2: [*range(0, 399), 402, 403]}
+    rows = [(0, name, len(size[name]), i, np.array(prints[i], dtype="<u8").tobytes()) for name in (1, 2) for i in size[name]]
+    frame = pd.DataFrame(rows, columns=["least", "name", "size", "node", "print"])
+    edges = []
+    for at in range(0, len(frame), 100):  # batches end inside groups
+        edges.append(frame.iloc[at : at + 100])
+    found = [(a, b) for part in simhash._sifted(iter(edges)) for a, b in part.itertuples(index=False)]
+    parts = plain_components(prints, found)
+    assert parts == {i: 0 if i < 400 or i == 403 else i for i in prints}
+    assert len(found) == 400
+
+
+def test_commonness_counts_sets_not_copies(spark, texts):
+    choose = random.Random(7)
+    word = lambda: "".join(choose.choice("abcdefgh") for _ in range(6))
+    line, copy = [word() for _ in range(8)], " ".join(word() for _ in range(30))
+    rows = [(i, copy) for i in range(600)]
+    rows += [(1000 + i, " ".join([*line, *(word() for _ in range(20))])) for i in range(600)]
+    common = simhash.commonness(texts(*rows))
+    of = lambda text: common[simhash._cells(simhash.shingle_hashes(text, 5))].mean()
+    assert of(" ".join(line)) > of(copy) + 15
+    assert not simhash.commonness(texts().limit(0)).any()
+
+
+def test_near_dedup_passes_columns_of_its_own_names(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9), (1, "a b c d e f", 7, 8, 9), (None, None, 1, 2, 3), (4, "", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, doc int, key int, __key int")
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == [(1, "a b c d e f", 7, 8, 9), (None, None, 1, 2, 3)]
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_one_group_of_ten_thousand_short_texts(spark, texts):
+    """Every text exchanges one of 60 words: all are near copies of each other, and one is unlike them."""
+    choose = random.Random(5)
+    word = lambda: "".join(choose.choice("abcdefgh") for _ in range(7))
+    words = [word() for _ in range(60)]
+    rows = [(i, " ".join([*words[:at], word(), *words[at + 1 :]])) for i, at in enumerate([0, 59] * 5000)]
+    rows.append((20000, " ".join(word() for _ in range(60))))
+    assert sorted(r.doc_id for r in simhash.deduplicated(texts(*rows)).select("doc_id").collect()) == [0, 20000]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_similar_sets_are_all_connected(seed):
     choose = random.Random(seed)
