@@ -27,6 +27,11 @@ def is_json_object(c: Column) -> Column:
     return c.rlike(r"^\s*\{") & is_json(c)
 
 
+def canonical(c: Column) -> Column:
+    """JSON text in its compact form with keys sorted at every depth, as variants store them; nulls are kept."""
+    return F.to_json(parsed(c))
+
+
 def envelope(data: Column, updated_at: Column) -> Column:
     """`{"data": …, "updated_at": …}` as compact JSON."""
     return F.to_json(F.struct(data.alias("data"), updated_at.alias("updated_at")), KEEP_NULLS)

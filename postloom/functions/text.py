@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from postloom import schema as S
+from postloom.functions import payload as P
+from postloom.functions.entities import unescape
 
 # Whitespace sets, as Java regex classes.
 UNICODE_SPACE = r"[\s\x1c-\x1f]"
@@ -123,6 +121,14 @@ def row_fingerprint(*names: str) -> Column:
     return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
 
 
+def json_fingerprint(c: Column) -> Column:
+    """SHA-256 of JSON text as compact JSON with sorted keys at every depth; null unless it is one JSON value.
+
+    Numbers count by value (1.0 is 1), and an object that repeats a key is no value.
+    """
+    return F.sha2(P.canonical(c), 256)
+
+
 def like_pattern(keyword: str) -> str:
     """Contains-pattern; % and _ stay wildcards, a stray backslash just quotes the next character."""
     out, chars = [], iter(f"%{keyword}%")
@@ -134,20 +140,6 @@ def like_pattern(keyword: str) -> str:
     return "".join(out)
 
 
-def unescape_html(c: Column) -> Column:
-    """Decode every HTML entity.
-
-    Spark has no entity table, so text that holds an `&` goes through Arrow; other rows send null.
-    The function is local so that it travels with the plan and workers need no copy of this package.
-    """
-
-    @F.pandas_udf(StringType())
-    def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
-
-    return F.coalesce(decode(F.when(F.contains(c, F.lit("&")), c)), c)
-
-
 # Block structure becomes line breaks, other tags vanish.
 _MARKUP_STEPS = [
     (rf"(?iuU)<{UNICODE_SPACE}*br{UNICODE_SPACE}*/?{UNICODE_SPACE}*>", "\n"),
@@ -161,7 +153,7 @@ _MARKUP_STEPS = [
 
 def plain_text(c: Column) -> Column:
     """HTML description as plain text; entities are decoded before tags are dropped."""
-    text = unescape_html(F.coalesce(c, F.lit("")))
+    text = unescape(F.coalesce(c, F.lit("")))
     for pattern, replacement in _MARKUP_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
     return text

@@ -719,6 +719,18 @@ def row_fingerprint(spark, sf_dir):
     return postings(spark, sf_dir).select("raw_id", hashed.alias("fingerprint"))
 
 
+@query(
+    """SELECT raw_id, sha256(CAST(to_json({'facets': [{'name': 'city', 'values': [city]}, {'name': 'education', 'values': [education]}],
+              'keyword': keyword, 'page': {'number': CAST(raw_id AS BIGINT), 'size': 20}}) AS VARCHAR)) AS fingerprint FROM postings"""
+)
+def json_fingerprint(spark, sf_dir):
+    """Nested parameters, their keys out of order, as a request brings them."""
+    facet = lambda c: F.struct(F.array(c).alias("values"), F.lit(c).alias("name"))
+    page = F.struct(F.lit(20).alias("size"), F.col("raw_id").cast("bigint").alias("number"))
+    params = F.struct(page.alias("page"), F.col("keyword"), F.array(facet("city"), facet("education")).alias("facets"))
+    return postings(spark, sf_dir).select("raw_id", X.json_fingerprint(F.to_json(params, P.KEEP_NULLS)).alias("fingerprint"))
+
+
 # Serving
 
 
