@@ -18,7 +18,7 @@ from postloom.operators.dedup import latest_postings
 from postloom.operators.facets import facet_values, ordered_facets
 from postloom.operators.skills import explode_skills
 from postloom.operators.typing import clean, typed
-from postloom.plans import context, display, incremental, search, serving
+from postloom.plans import context, display, distinct, incremental, search, serving
 from postloom.plans import statistics as stats
 from postloom.plans.warehouse import to_detail
 from postloom.sources.snapshot import read_snapshot, write_snapshot
@@ -995,3 +995,18 @@ def stat_incremental(spark, sf_dir):
     incremental.update(store, rows.filter(~late & ~moved).unionByName(before).unionByName(extra))
     incremental.update(store, rows.filter(late | moved), before.unionByName(extra))
     return packing.unpack(incremental.payloads(store.read("statistic_count"), STAMP))
+
+
+@query(
+    """SELECT scope_id, count(DISTINCT CASE WHEN trim(company) <> '' THEN company END) AS company_count,
+              count(DISTINCT CASE WHEN trim(city) <> '' THEN city END) AS city_count FROM typed GROUP BY scope_id"""
+)
+def distinct_merged(spark, sf_dir):
+    """Two loads of months, then those of the first once more; the counts come from the stored bitmaps of all months."""
+    rows = typed_postings(spark, sf_dir).withColumn("publish_date", F.trunc("publish_date", "month"))
+    odd = F.coalesce(F.month("publish_date") % 2 == 1, F.lit(False))
+    store = new_store(spark)
+    distinct.update(store, rows.filter(odd).withColumn("company", F.lit("replaced")))
+    distinct.update(store, rows.filter(~odd))
+    distinct.update(store, rows.filter(odd))
+    return distinct.counted(distinct.bitmaps(store), "scope_id")
