@@ -48,3 +48,9 @@ def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["scope_id", "category", "value"]
     assert rows.count() > 0
+
+
+def test_search_leaves_four_facets_open(spark):
+    rows = entry.queries()["job_search"](spark, SF_DIR).collect()
+    assert {r.education for r in rows} == {"O"}
+    assert all(len({r[c] for r in rows}) > 1 for c in ("city", "experience", "company_size", "industry"))

@@ -279,13 +279,24 @@ _NEWEST = "TRY_CAST(publish_time AS TIMESTAMP) DESC NULLS LAST, CAST(raw_id AS B
 _SEARCH = "(job_name ILIKE '{k}' OR company ILIKE '{k}' OR skills ILIKE '{k}' OR description ILIKE '{k}')"
 
 
+@query(
+    f"""SELECT {_LIST} FROM postings
+        WHERE scope_id = 'building' AND education = 'O' AND {_SEARCH.format(k='%WIDGET%')}
+          AND {_AMOUNT_ANY.format(c='salary_high')} >= 10.5 AND {_AMOUNT_ANY.format(c='salary_low')} <= 40"""
+)
+def job_search(spark, sf_dir):
+    wanted = filters.JobQuery("building", education="O", keyword="WIDGET", salary_min=10.5, salary_max=40.0)
+    return filters.renamed(postings(spark, sf_dir).filter(wanted.predicate()), S.LIST_FIELDS)
+
+
 @query(
     f"""SELECT {_LIST} FROM postings
         WHERE scope_id = 'building' AND city = 'NATION_13' AND education = 'O' AND experience = '3-MEDIUM'
           AND company_size = '100人以上' AND industry = 'new widget' AND {_SEARCH.format(k='%WIDGET%')}
           AND {_AMOUNT_ANY.format(c='salary_high')} >= 1.5 AND {_AMOUNT_ANY.format(c='salary_low')} <= 60"""
 )
-def job_search(spark, sf_dir):
+def job_search_faceted(spark, sf_dir):
+    """The same with all five facets set."""
     facets = {"city": "NATION_13", "education": "O", "experience": "3-MEDIUM", "company_size": "100人以上"}
     wanted = filters.JobQuery(
         "building", **facets, industry="new widget", keyword="WIDGET", salary_min=1.5, salary_max=60.0
