@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -23,7 +24,7 @@ from postloom.llm import (
     va_file,
     warc,
 )
-from postloom.llm.common import id_crc, table
+from postloom.llm.common import id_crc, shared_folder, table
 
 SHARDS = 24
 
@@ -65,11 +66,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole documents are shuffled and written as shards; the digests are those of the texts in the shards."""
     text = F.coalesce("text", F.lit(""))
-    records = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    return sharding.shard(records, F.col("size"), SHARDS).withColumns(
+    size = (F.octet_length(text) + 8).cast("long")
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.shard(table(spark, sf_dir, "documents"), size, SHARDS), path, files_per_shard=None)
+    stored = spark.read.schema("doc_id bigint, text string, slot bigint, shard int").parquet(path)
+    return stored.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot").withColumns(
         {"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}
     )
 

@@ -1,6 +1,7 @@
 """Sharding and preference formatting."""
 
 import os
+import zlib
 
 import duckdb
 from pyspark.sql import functions as F
@@ -43,6 +44,28 @@ def test_order_is_shuffled_and_written(texts, spark, tmp_path):
     assert spark.read.parquet(path).count() == 100
 
 
+def test_query_shards_whole_documents(spark, monkeypatch):
+    kept, write = [], sharding.write_shards
+
+    def written(sharded, path, files_per_shard=1):
+        kept.append((sharded, path))
+        write(sharded, path, files_per_shard)
+
+    monkeypatch.setattr(sharding, "write_shards", written)
+    found = {r.doc_id: r for r in queries.op7_sharding(spark, SF_DIR).collect()}
+    (sharded, path), = kept
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    stored = spark.read.parquet(path)
+    assert stored.select(*docs.columns).exceptAll(docs).isEmpty() and docs.exceptAll(stored.select(*docs.columns)).isEmpty()
+    assert len(found) == docs.count() == stored.count()
+    for r in stored.collect():
+        raw = (r.text or "").encode()
+        assert (found[r.doc_id].size, found[r.doc_id].text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+        assert (found[r.doc_id].shard, found[r.doc_id].slot) == (int(r.shard), r.slot)
+    plan = sharded._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan  # the texts are shuffled once
+
+
 def turns(spark, *rows):
     return spark.createDataFrame(rows, "pair_id bigint, turn bigint, role string, text string")
 
