@@ -5,12 +5,20 @@ lower-cased bigram and block of `BLOCK` numbers, the sorted places of the postin
 searched columns; the file format stores such lists as differences. A frequent bigram is many rows, one a block, so
 no list grows with the table.
 
+The lists are made in two steps. Each task turns its postings, some millions of characters at a time, into sorted
+arrays of (bigram, place) and hands on one list for each bigram and block; Spark merges the lists of a block. So what
+is shuffled are lists, not single pairs, and the characters themselves are paired in numpy.
+
 A pattern's literal runs give its bigrams. The blocks' lists are intersected, rarest first, and the pattern is matched
 on the postings that remain only. A pattern without two literal characters in a row is matched on every posting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +30,9 @@ from postloom.sources.tables import Warehouse
 BLOCK = 1 << 16
 #: Up to so many candidates are named in the scan's filter; more are joined.
 LISTED = 1_000
+#: Bytes of text that a task pairs at once (a posting is never parted), and bits of a code point.
+TOGETHER, POINT = 8 << 20, 21
+LISTS = "scope_id string, gram string, block bigint, offsets array<int>"
 
 
 def bigrams(text: Column) -> Column:
@@ -49,11 +60,72 @@ def _write(store: Warehouse, table: str, df: DataFrame) -> None:
 
 def postings_lists(rows: DataFrame) -> DataFrame:
     """(scope_id, gram, block, offsets) of rows with scope_id, doc and the searched columns."""
-    of_row = F.array_distinct(F.flatten(F.array(*[F.coalesce(bigrams(F.lower(c)), F.array().cast("array<string>")) for c in S.SEARCH_COLUMNS])))
-    block = F.floor(F.col("doc") / BLOCK).cast("long")
-    each = rows.select("scope_id", block.alias("block"), F.pmod("doc", F.lit(BLOCK)).cast("int").alias("offset"), F.explode(of_row).alias("gram"))
-    lists = each.groupBy("scope_id", "gram", "block").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
-    return lists.select("gram", "block", "offsets", "scope_id")
+    block, size = F.floor(F.col("doc") / BLOCK).cast("long"), BLOCK
+    place = F.pmod("doc", F.lit(BLOCK)).cast("int")
+    # Lower-cased by the engine, as patterns are.
+    lowered = [F.lower(c).cast("binary").alias(c) for c in S.SEARCH_COLUMNS]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _bounded(batches):
+            for (scope_id, block), own in _by_block(part):
+                grams, offsets = _paired(own, size)
+                yield pd.DataFrame({"scope_id": scope_id, "gram": grams, "block": block, "offsets": offsets})
+
+    parts = rows.select("scope_id", block.alias("block"), place.alias("offset"), *lowered).mapInPandas(run, LISTS)
+    merged = F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets")
+    return parts.groupBy("scope_id", "gram", "block").agg(merged).select("gram", "block", "offsets", "scope_id")
+
+
+def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows in parts of about `TOGETHER` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = sum(np.fromiter((len(v) if v else 0 for v in batch[c]), np.int64, len(batch)) for c in S.SEARCH_COLUMNS)
+        # A part ends before the row with which its bytes reach the next multiple of the bound.
+        at = 0
+        for start in np.flatnonzero(np.diff((size + np.cumsum(sizes)) // TOGETHER, prepend=0)):
+            yield pd.concat([*held, batch.iloc[at:start]])
+            held, at = [], start
+        held.append(batch.iloc[at:])
+        size = (size + int(sizes.sum())) % TOGETHER
+    if held:
+        yield pd.concat(held)
+
+
+def _by_block(rows: pd.DataFrame) -> Iterator[tuple[tuple[str | None, int], pd.DataFrame]]:
+    """The rows of each scope and block."""
+    scope, scopes = pd.factorize(rows["scope_id"].to_numpy(dtype=object), use_na_sentinel=False)
+    block, blocks = pd.factorize(rows["block"].to_numpy())
+    group = scope * len(blocks) + block
+    order = np.argsort(group, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        if len(own):
+            scope_id = scopes[scope[own[0]]]
+            yield (None if pd.isna(scope_id) else scope_id, blocks[block[own[0]]]), rows.iloc[own]
+
+
+def _paired(rows: pd.DataFrame, block: int) -> tuple[list[str], list[np.ndarray]]:
+    """The bigrams of the rows' texts, each with its sorted places."""
+    cells = [(v.decode("utf-8", "replace"), at) for c in S.SEARCH_COLUMNS for v, at in zip(rows[c], rows["offset"], strict=True) if v]
+    if not cells:
+        return [], []
+    lengths = np.fromiter((len(text) for text, _ in cells), np.int64, len(cells))
+    points = np.frombuffer("".join(text for text, _ in cells).encode("utf-32-le"), "<u4").astype(np.int64)
+    bits = max(1, (block - 1).bit_length())
+    within = np.ones(len(points), bool)
+    within[np.cumsum(lengths) - 1] = False  # a text's last character begins no pair
+    within = within[:-1]
+    owner = np.repeat(np.fromiter((at for _, at in cells), np.int64, len(cells)), lengths)
+    pairs = ((points[:-1] << POINT | points[1:]) << bits | owner[:-1])[within]
+    pairs.sort()
+    if not len(pairs):
+        return [], []
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
+    grams = pairs >> bits
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+    places = (pairs & (1 << bits) - 1).astype(np.int32)
+    spelled = [chr(g >> POINT) + chr(g & (1 << POINT) - 1) for g in grams[first].tolist()]
+    return spelled, np.split(places, first[1:])
 
 
 def runs(pattern: str) -> list[str]:

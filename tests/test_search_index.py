@@ -1,6 +1,7 @@
 """Keyword search by bigrams against the plain filter."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from postloom import schema as S
@@ -85,3 +86,26 @@ def test_only_candidates_are_read(serving, store):
 def test_empty(serving, store):
     search_index.build(store, serving(*ROWS))
     assert search_index.candidates(store.read("keyword_index").limit(0), ["ab"]).count() == 0
+
+
+def test_lists_are_made_before_the_shuffle(spark, monkeypatch):
+    """Tasks hand on a list for each bigram and block, however the texts are parted; pairs are never single rows."""
+    monkeypatch.setattr(search_index, "BLOCK", 100)
+    rows = spark.range(1_000).select(
+        F.when(F.col("id") % 7 > 0, F.lit("s")).alias("scope_id"),
+        F.col("id").alias("doc"),
+        F.concat(F.lit("😀İa "), F.col("id").cast("string")).alias("job_name"),
+        *[F.lit(c).alias(c) for c in S.SEARCH_COLUMNS[1:]],
+    )
+    lists = search_index.postings_lists(rows)
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInPandas" in plan and plan.count("Exchange") == 1
+    found = sorted(map(repr, lists.collect()))
+    texts = rows.select("scope_id", "doc", F.explode(F.array(*[F.lower(c) for c in S.SEARCH_COLUMNS])).alias("text")).collect()
+    expected = {}
+    for r in texts:
+        for a, b in zip(r.text, r.text[1:], strict=False):
+            expected.setdefault((a + b, r.doc // 100, r.scope_id), set()).add(r.doc % 100)
+    assert found == sorted(repr(Row(gram=g, block=k, offsets=sorted(v), scope_id=s)) for (g, k, s), v in expected.items())
+    monkeypatch.setattr(search_index, "TOGETHER", 50)
+    assert sorted(map(repr, search_index.postings_lists(rows).collect())) == found
