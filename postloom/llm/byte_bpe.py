@@ -3,6 +3,8 @@
 Merges are taken from a rank queue: a bucket per merge rank holds positions of a linked list of symbols, and a
 hierarchical bitmap over the ranks finds the lowest rank that waits by find-first-set. Entries whose pair has
 changed meanwhile are skipped when they are met. Finding the next merge costs the same however long a pre-token is.
+Many pre-tokens share one queue: they lie in one row of symbols with a stop after each, which nothing merges with, so
+a rank is taken once for all of them.
 
 Null texts count as empty: no ids, no bytes. Every row is encoded on its own, so ties and repeats need no rule.
 """
@@ -11,14 +13,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from postloom.llm.pretokens import Cache, splitter
 
 WORD = 64
+#: Bytes of pre-tokens that share a queue; a longer pre-token has one of its own.
+SHARED = 1 << 18
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -29,7 +35,11 @@ class BytePairs:
         self.ranks, self.split = ranks, splitter(pattern)
         self.bytes_of = {str(i): b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
-        self.pairs = {tuple(b): i for b, i in ranks.items() if len(b) == 2}
+        self.listed = {i: f"{i}," for i in ranks.values()}
+        self.pairs = np.full(1 << 16, -1, np.int32)
+        for b, i in ranks.items():
+            if len(b) == 2:
+                self.pairs[b[0] << 8 | b[1]] = i
         self.bottom, self.middle = [0] * WORD**2, [0] * WORD
 
     @classmethod
@@ -42,19 +52,57 @@ class BytePairs:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, size = self.ranks, self.size
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        known = ranks.get
-        end = list(range(1, n + 1))  # of the symbol that starts here; 0: merged away
+        return next(self.encode_pieces([piece]))
+
+    def encode_pieces(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of each pre-token."""
+        held, size = [], 0
+        for piece in pieces:
+            if held and size + len(piece) > SHARED:
+                yield from self._encoded(held)
+                held, size = [], 0
+            held.append(piece)
+            size += len(piece)
+        yield from self._encoded(held)
+
+    def _encoded(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        whole = [self.ranks.get(piece) for piece in pieces]
+        parted = self._merged([piece for piece, rank in zip(pieces, whole, strict=True) if rank is None])
+        for rank in whole:
+            yield next(parted) if rank is None else [rank]
+
+    def _merged(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        if not pieces:
+            return
+        ranks, size, known = self.ranks, self.size, self.ranks.get
+        row = b"\0".join(pieces) + b"\0"
+        n = len(row)
+        stops = np.cumsum([len(piece) + 1 for piece in pieces]) - 1
+        end = list(range(1, n + 1))  # of the symbol that starts here; 0: merged away, -1: a stop
         before = list(range(-1, n - 1))
+        stops_at = stops.tolist()
+        for stop in stops_at:
+            end[stop] = -1
+            if stop + 1 < n:
+                before[stop + 1] = -1
         # The queue: positions by rank, and which ranks wait: a bit each in `bottom`, a bit for each word of it that
-        # is not 0 in `middle`, and likewise in `top`. All are empty again when the piece is done.
+        # is not 0 in `middle`, and likewise in `top`. All are empty again when the row is done.
         buckets: dict[int, list[int]] = {}
         bottom, middle, top = self.bottom, self.middle, 0
-        pairs = self.pairs
-        new = [(rank, i) for i, rank in enumerate(map(pairs.get, zip(piece, piece[1:], strict=False))) if rank is not None]
+        symbols = np.frombuffer(row, np.uint8).astype(np.int32)
+        first = self.pairs[symbols[:-1] << 8 | symbols[1:]]
+        first[stops[:-1]] = -1  # no pair holds a stop
+        first[stops[stops > 0] - 1] = -1
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        for found in np.split(places, np.flatnonzero(np.diff(first[places])) + 1) if len(places) else []:
+            rank = int(first[found[0]])
+            buckets[rank] = found.tolist()
+            word = rank >> 6
+            bottom[word] |= 1 << (rank & 63)
+            middle[word >> 6] |= 1 << (word & 63)
+            top |= 1 << (word >> 6)
+        new = []
         while True:
             for rank, i in new:
                 if rank in buckets:
@@ -84,31 +132,37 @@ class BytePairs:
             positions = buckets.pop(rank)
             if len(positions) > 1:
                 positions.sort()
-            length, lower, new = size[rank], False, []
+            length, held_to, new = size[rank], -1, []
             for i in positions:
-                if lower:
-                    new.append((rank, i))  # a rank below this one has come up: it goes first
+                if i < held_to:
+                    new.append((rank, i))  # a rank below this one has come up in the pre-token: it goes first
                     continue
                 middle_of = end[i]
-                if not middle_of or middle_of == n:
+                if not middle_of:
                     continue
                 last = end[middle_of]
                 if last - i != length:
                     continue  # stale: one of its symbols has grown
                 end[i], end[middle_of] = last, 0
-                if last < n:
+                lower = False
+                if (after := end[last]) > 0:
                     before[last] = i
-                    if (other := known(piece[i : end[last]])) is not None:
+                    if (other := known(row[i:after])) is not None:
                         new.append((other, i))
                         lower = other < rank
-                if (left := before[i]) >= 0 and (other := known(piece[left:last])) is not None:
+                if (left := before[i]) >= 0 and (other := known(row[left:last])) is not None:
                     new.append((other, left))
                     lower = lower or other < rank
-        ids, i = [], 0
-        while i < n:
-            ids.append(ranks[piece[i : end[i]]])
-            i = end[i]
-        return ids
+                if lower:
+                    held_to = stops_at[bisect_left(stops_at, i)]
+        i = 0
+        for stop in stops_at:
+            ids = []
+            while i < stop:
+                ids.append(ranks[row[i : end[i]]])
+                i = end[i]
+            yield ids
+            i = stop + 1
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
@@ -124,7 +178,8 @@ def _worker(path: str, pattern: str) -> tuple[BytePairs, Cache]:
     """The vocabulary and a cache, kept as long as the Python worker. Forms are ids with a comma after each."""
     if (path, pattern) not in _known:
         pairs = BytePairs.read(path, pattern)
-        form = lambda pieces: ("".join(f"{i}," for i in pairs.encode_piece(p.encode())) for p in pieces)
+        listed = pairs.listed.__getitem__
+        form = lambda pieces: ("".join(map(listed, ids)) for ids in pairs.encode_pieces(map(str.encode, pieces)))
         _known[path, pattern] = pairs, Cache(pattern, form, "")
     return _known[path, pattern]
 

@@ -127,3 +127,18 @@ def test_pieces_and_places(texts, spark):
         found = found.sort_values("offset")
         assert list(found["offset"]) == [0, *found["length"].cumsum()[:-1]] and found["length"].sum() <= 128
     assert best_fit.pack(best_fit.cut(texts().limit(0), vocabulary)).count() == 0
+
+
+def test_pretokens_share_a_queue(monkeypatch):
+    """Each pre-token gets the ids that it gets alone, whatever lies beside it in the row of symbols."""
+    pairs = byte_bpe.BytePairs.read(RANKS, P.PATTERN)
+    draw = random.Random(3)
+    pieces = [bytes(draw.choice(b"aabteh \0\xe4\xbd") for _ in range(draw.randrange(40))) for _ in range(2_000)]
+    pieces += [b"", b"\0\0", b"a" * 5_000, b"ab" * 3_000, b" the", b"xyzzyqq"]
+    library = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=pairs.ranks, special_tokens={})
+    expected = [library._encode_single_piece(piece) if piece else [] for piece in pieces]
+    for shared in (1, 100, 1 << 18):
+        monkeypatch.setattr(byte_bpe, "SHARED", shared)
+        assert list(pairs.encode_pieces(pieces)) == expected
+    assert [pairs.encode_piece(piece) for piece in pieces[-8:]] == expected[-8:]
+    assert not any(pairs.bottom) and not any(pairs.middle)
