@@ -165,7 +165,7 @@ class BytePairs:
             i = stop + 1
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in self.encode_piece(piece.encode())]
+        return [i for ids in self.encode_pieces(map(str.encode, self.split(text))) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.bytes_of[str(i)] for i in ids)
