@@ -11,6 +11,9 @@ prefixes that were counted while partitioning.
 Words travel as 64-bit hashes. The vocabulary is counted as text first, so two words of a language with one hash are
 noticed, and all hashes are then taken anew with another salt; counts are exact.
 
+No stage feeds one Python function from another: each such task would hold two Python workers, and those stay alive
+with what they once took.
+
 Defined results: a null text is empty; a null lang is `und`; a text of any length is cut into slices at word borders
 and read whole; rows that repeat count as often as they occur; ties in the ranking go to the phrase's bytes; an empty
 table gives an empty result. Only `lang` and `text` are read, so further columns of any name do no harm.
@@ -19,12 +22,13 @@ table gives an empty result. Only `lang` and `text` are read, so further columns
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -41,7 +45,9 @@ SCALE = 2_000_000
 #: at most `GROUPS` groups, whose borders every task knows (8 bytes each).
 BUDGET, GROUPS = 1 << 20, 1 << 22
 #: Words handled at once, bytes split at once, and words whose hashes a worker remembers.
-WORDS_AT_ONCE, SLICE, REMEMBERED = 1 << 20, 1 << 22, 1 << 19
+WORDS_AT_ONCE, SLICE, REMEMBERED = 3 << 18, 1 << 22, 1 << 17
+#: Different words a worker counts before it passes on those of one language, and how many it passes on at once.
+COUNTED, PASSED = 1 << 18, 1 << 15
 #: Sets of hashes that are tried until no two words share one.
 SALTS = 8
 UNKNOWN = "und"
@@ -60,20 +66,31 @@ class Hashes(dict):
         super().__init__({_BORDER: 0})
         self.salt = b"%d " % salt if salt else b""
 
+    def made(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(self.salt + word, _SEED)
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
             self[_BORDER] = 0
-        self[word] = found = xxhash.xxh64_intdigest(self.salt + word, _SEED)
+        self[word] = found = self.made(word)
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def slices(text: str | None) -> Iterator[list[bytes]]:
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
+    """(lang, text), one text at a time taken out of the batch."""
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            yield lang, text.as_buffer().to_pybytes() if text.is_valid else None
+
+
+def slices(text: str | bytes | None) -> Iterator[list[bytes]]:
     """The words of a text in order, with `_BORDER` between pieces and at the end; long texts in several slices."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_FOLDED)
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    raw = raw.translate(_FOLDED)
     at = 0
     while at < len(raw):
         end = len(raw)
@@ -85,43 +102,53 @@ def slices(text: str | None) -> Iterator[list[bytes]]:
     yield [_BORDER]
 
 
-def chunks(batches: Iterator[pd.DataFrame], of: Callable[[list[bytes]], np.ndarray | list]) -> Iterator[tuple[str, list]]:
-    """(lang, what `of` makes of the slices) in chunks of about `WORDS_AT_ONCE` words; a document is never divided."""
-    held: dict[str, list] = {}
+def chunks(batches: Iterator[pa.RecordBatch], hashes: Hashes) -> Iterator[tuple[str, np.ndarray]]:
+    """(lang, hashes of the words in order) in chunks of about `WORDS_AT_ONCE` words; a document is never divided."""
+    held: dict[str, list[np.ndarray]] = {}
     size: Counter[str] = Counter()
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            for words in slices(text):
-                held.setdefault(lang, []).append(of(words))
-                size[lang] += len(words)
-            if sum(size.values()) >= WORDS_AT_ONCE:
-                largest = max(size, key=size.__getitem__)
-                size.pop(largest)
-                yield largest, held.pop(largest)
-    yield from held.items()
+    for lang, text in rows(batches):
+        for words in slices(text):
+            held.setdefault(lang, []).append(hashes.of(words))
+            size[lang] += len(words)
+        if sum(size.values()) >= WORDS_AT_ONCE:
+            largest = max(size, key=size.__getitem__)
+            size.pop(largest)
+            yield largest, np.concatenate(held.pop(largest))
+    while held:
+        lang, ids = held.popitem()
+        yield lang, np.concatenate(ids)
 
 
 def vocabulary(texts: DataFrame, salt: int) -> DataFrame:
     """(lang, word, h, f): every word with its hash (8 bytes) and its number of occurrences."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes(salt)
-        for lang, lists in chunks(batches, list):
-            counts: Counter[bytes] = Counter()
-            for some in lists:
-                counts.update(some)
-            del counts[_BORDER]
-            words = list(counts)
-            yield pd.DataFrame(
+    def passed(lang: str, counts: Counter[bytes], hashes: Hashes) -> Iterator[pa.RecordBatch]:
+        counts.pop(_BORDER, None)
+        words = list(counts)
+        for at in range(0, len(words), PASSED):
+            some = words[at : at + PASSED]
+            ids = np.fromiter(map(hashes.made, some), dtype="<u8", count=len(some))
+            yield pa.RecordBatch.from_pydict(
                 {
-                    "lang": lang,
-                    "word": [w.decode("utf-8", "surrogatepass") for w in words],
-                    "h": [hashes[w].to_bytes(8, "little") for w in words],
-                    "f": np.fromiter(counts.values(), dtype=np.int64, count=len(words)),
+                    "lang": [lang] * len(some),
+                    "word": pa.array(some, pa.binary()).view(pa.string()),
+                    "h": pa.array([h.tobytes() for h in ids], pa.binary()),
+                    "f": np.fromiter(map(counts.__getitem__, some), dtype=np.int64, count=len(some)),
                 }
             )
 
-    found = texts.mapInPandas(run, "lang string, word string, h binary, f bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = Hashes(salt), defaultdict(Counter)
+        for lang, text in rows(batches):
+            for words in slices(text):
+                counts[lang].update(words)
+                if sum(map(len, counts.values())) >= COUNTED:
+                    largest = max(counts, key=lambda of: len(counts[of]))
+                    yield from passed(largest, counts.pop(largest), hashes)
+        while counts:
+            yield from passed(*counts.popitem(), hashes)
+
+    found = texts.mapInArrow(run, "lang string, word string, h binary, f bigint")
     return found.groupBy("lang", "word", "h").agg(F.sum("f").alias("f"))
 
 
@@ -133,16 +160,26 @@ def _clash(words: DataFrame) -> bool:
 
 def prefix_keys(lang: str, words: np.ndarray) -> Iterator[np.ndarray]:
     """Keys (int64) of the first one, two, ... words; what shares a key shares a group, nothing more."""
-    key = np.full(words.shape[1], xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass")), dtype=np.uint64)
-    for column in words:
+    key = words[0].byteswap() ^ np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), _SEED))
+    yield key.view(np.int64)
+    for column in words[1:]:
         key = mixed(key ^ column)
         yield key.view(np.int64)
 
 
+def _first_keys(words: DataFrame) -> DataFrame:
+    """(lang, words, key, f) of the prefixes of one word, with Spark's functions; the keys are those of `prefix_keys`."""
+    key = F.conv(F.hex("h"), 16, -10).cast("bigint").bitwiseXOR(F.xxhash64("lang"))
+    return words.select("lang", F.col("h").alias("words"), key.alias("key"), "f")
+
+
 def suffixes(ids: np.ndarray) -> np.ndarray:
     """LONGEST x n words of the suffixes at all words; 0 from the end of the piece on."""
     padded = np.r_[ids, np.zeros(LONGEST, dtype=np.uint64)]
-    found = np.stack([padded[k : k + len(ids)] for k in range(LONGEST)])[:, ids != 0]
+    starts = np.flatnonzero(ids)
+    found = np.empty((LONGEST, len(starts)), dtype=np.uint64)
+    for k in range(LONGEST):
+        np.take(padded[k:], starts, out=found[k])
     for k in range(1, LONGEST):
         found[k][found[k - 1] == 0] = 0
     return found
@@ -187,10 +224,9 @@ class Partition:
 def _counted(texts: DataFrame, salt: int, known: Partition, depth: int) -> DataFrame:
     """(lang, words, key, f) of the prefixes of `depth` words whose beginning is over the budget."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes(salt)
-        for lang, ids in chunks(batches, hashes.of):
-            words = suffixes(np.concatenate(ids))[:depth]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids in chunks(batches, Hashes(salt)):
+            words = suffixes(ids)[:depth]
             *_, shorter = prefix_keys(lang, words[:-1])
             words = words[:, known.is_over(depth - 1, shorter) & (words[-1] != 0)]
             *_, key = prefix_keys(lang, words)
@@ -198,24 +234,13 @@ def _counted(texts: DataFrame, salt: int, known: Partition, depth: int) -> DataF
             words, key = words[:, by], key[by]
             new = np.flatnonzero(_changes(words))
             counts = np.diff(np.r_[new, len(key)])
-            rows = np.ascontiguousarray(words[:, new].T)
-            yield pd.DataFrame({"lang": lang, "words": [r.tobytes() for r in rows], "key": key[new], "f": counts})
+            raw = pa.array([r.tobytes() for r in np.ascontiguousarray(words[:, new].T)], pa.binary())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(new), pa.string()), "words": raw, "key": key[new], "f": counts})
 
-    found = texts.mapInPandas(run, "lang string, words binary, key bigint, f bigint")
+    found = texts.mapInArrow(run, "lang string, words binary, key bigint, f bigint")
     return found.groupBy("lang", "words", "key").agg(F.sum("f").alias("f"))
 
 
-def _first_keys(words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, rows in batch.groupby("lang", sort=False):
-                ids = np.frombuffer(b"".join(rows["h"]), dtype="<u8")
-                key = next(prefix_keys(lang, ids[None, :]))
-                yield pd.DataFrame({"lang": lang, "words": rows["h"], "key": key, "f": rows["f"]})
-
-    return words.mapInPandas(run, "lang string, words binary, key bigint, f bigint")
-
-
 def partitioned(
     texts: DataFrame, words: DataFrame, salt: int, budget: int = BUDGET
 ) -> tuple[Partition, list[DataFrame]] | None:
@@ -262,7 +287,7 @@ def partitioned(
     return known, levels
 
 
-def _leaves(lang: str, ids: np.ndarray, known: Partition) -> pd.DataFrame:
+def _leaves(lang: str, ids: np.ndarray, known: Partition) -> pa.RecordBatch:
     """Packed rows (group, lang, blob): the distinct suffixes of a chunk with their numbers, by group."""
     words = suffixes(ids)
     keys = list(prefix_keys(lang, words))
@@ -278,19 +303,22 @@ def _leaves(lang: str, ids: np.ndarray, known: Partition) -> pd.DataFrame:
     complete = words[depth - 1, np.arange(words.shape[1])] != 0  # shorter ones are known prefixes
     by = np.argsort(place)
     by = by[complete[by]]
-    if not len(by):
-        return pd.DataFrame({"group": [], "lang": [], "blob": []})
-    words, depth, group = words[:, by], depth[by], group[by]
+    del keys, key, place, complete
+    for k in range(LONGEST):
+        words[k, : len(by)] = words[k, by]
+    words, depth, group = words[:, : len(by)], depth[by], group[by]
     new = np.flatnonzero(_changes(words))
     counts = np.diff(np.r_[new, len(group)]).astype(np.uint32)
     words, depth, group = words[:, new], depth[new], group[new]
-    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    edges = np.r_[np.flatnonzero(_changes(group[None, :])), len(group)]
     packer = zstandard.ZstdCompressor(level=1)
     blobs = [
         packer.compress(b"".join((words[:, a:b].tobytes(), counts[a:b].tobytes(), depth[a:b].tobytes())))
         for a, b in zip(edges, edges[1:], strict=False)
     ]
-    return pd.DataFrame({"group": group[edges[:-1]], "lang": lang, "blob": blobs})
+    return pa.RecordBatch.from_pydict(
+        {"group": group[edges[:-1]], "lang": pa.array([lang] * len(blobs), pa.string()), "blob": pa.array(blobs, pa.binary())}
+    )
 
 
 #: Bytes of one suffix in a blob.
@@ -338,25 +366,27 @@ def nodes(lang: str, words: np.ndarray, counts: np.ndarray, depth: np.ndarray, k
 def tree(texts: DataFrame, salt: int, known: Partition, over: list[DataFrame], least: int) -> DataFrame:
     """Every phrase of up to LONGEST words with `least` occurrences or more, as rows of `NODE`."""
 
-    def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes(salt)
-        for lang, ids in chunks(batches, hashes.of):
-            yield _leaves(lang, np.concatenate(ids), known)
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, ids in chunks(batches, Hashes(salt)):
+            yield _leaves(lang, ids, known)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         for lang, part in rows.groupby("lang"):
-            words, counts, depth = [], [], []
-            for blob in part["blob"]:
-                raw = zstandard.decompress(blob)
-                n = len(raw) // _BYTES
-                words.append(np.frombuffer(raw, dtype="<u8", count=LONGEST * n).reshape(LONGEST, n))
-                counts.append(np.frombuffer(raw, dtype="<u4", count=n, offset=8 * LONGEST * n))
-                depth.append(np.frombuffer(raw, dtype=np.uint8, offset=(8 * LONGEST + 4) * n))
-            found.append(nodes(lang, np.concatenate(words, axis=1), np.concatenate(counts), np.concatenate(depth), known, least))
+            sizes = [zstandard.frame_content_size(blob) // _BYTES for blob in part["blob"]]
+            words = np.empty((LONGEST, sum(sizes)), dtype=np.uint64)
+            counts, depth = np.empty(sum(sizes), dtype=np.uint32), np.empty(sum(sizes), dtype=np.uint8)
+            at = 0
+            for n, blob in zip(sizes, part["blob"], strict=True):
+                raw, to = zstandard.decompress(blob), slice(at, at + n)
+                words[:, to] = np.frombuffer(raw, dtype="<u8", count=LONGEST * n).reshape(LONGEST, n)
+                counts[to] = np.frombuffer(raw, dtype="<u4", count=n, offset=8 * LONGEST * n)
+                depth[to] = np.frombuffer(raw, dtype=np.uint8, offset=(8 * LONGEST + 4) * n)
+                at += n
+            found.append(nodes(lang, words, counts, depth, known, least))
         return pd.concat(found)
 
-    sent = texts.mapInPandas(leaves, "group long, lang string, blob binary")
+    sent = texts.mapInArrow(leaves, "group long, lang string, blob binary")
     below = sent.groupBy("group").applyInPandas(build, NODE)
     for size, level in enumerate(over, 1):
 

@@ -117,6 +117,58 @@ def test_scores_pass_64_bits(spark):
     assert [r.score for r in found] == [2_000_000 * (big - 1) // (2 * big)]
 
 
+def python_in_a_row(df):
+    """The most Python functions of a plan that follow each other with no exchange between."""
+    path, most = [], 0
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(re.match(r"[ :+-]*", line).group())
+        name = re.match(r"[ :+-]*(?:\*?\s?\(\d+\) )?(\w*)", line).group(1)
+        path = [(d, n) for d, n in path if d < depth]
+        before = 0 if name == "Exchange" or not path else path[-1][1]
+        path.append((depth, before + bool(re.search("Pandas|Arrow|Python", name))))
+        most = max(most, path[-1][1])
+    return most
+
+
+def test_no_task_holds_two_python_workers(docs, corpus, monkeypatch):
+    plans, real = [], phrases.settled
+
+    def watched(df):
+        plans.append(python_in_a_row(df))
+        return real(df)
+
+    monkeypatch.setattr(phrases, "settled", watched)
+    assert collected(phrases.collocations(docs(*corpus), budget=40)) == brute(corpus)
+    assert len(plans) >= 4 and max(plans) == 1
+
+
+def test_first_keys_in_spark_are_those_of_suffixes(docs, corpus):
+    texts = docs(*corpus).select("lang", "text").na.fill("und", ["lang"])
+    found = phrases._first_keys(phrases.vocabulary(texts, 1)).collect()
+    assert len(found) > 30
+    for r in found:
+        assert r.key == next(phrases.prefix_keys(r.lang, np.frombuffer(r.words, dtype="<u8")[None, :]))[0]
+
+
+def test_counts_and_chunks_that_are_passed_on_early(docs, corpus, monkeypatch):
+    monkeypatch.setattr(phrases, "COUNTED", 5)
+    monkeypatch.setattr(phrases, "PASSED", 2)
+    monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 100)
+    monkeypatch.setattr(phrases, "REMEMBERED", 3)
+    monkeypatch.setattr(phrases, "SLICE", 20)
+    batch = phrases.pa.RecordBatch.from_pylist([{"lang": x or "und", "text": y} for x, y in corpus])
+    for salt in (0, 1):
+        hashes, found = phrases.Hashes(salt), {}
+        for lang, ids in phrases.chunks(iter([batch]), hashes):
+            found.setdefault(lang, []).extend(ids.tolist())
+        for lang, ids in found.items():
+            want = [w for x, y in corpus if (x or "und") == lang for part in phrases.slices(y) for w in part]
+            assert sorted(ids) == sorted(0 if w == b"\n" else hashes.made(w) for w in want)
+    want = Counter((x or "und", w.decode()) for x, y in corpus for part in phrases.slices(y) for w in part if w != b"\n")
+    found = phrases.vocabulary(docs(*corpus).select("lang", "text").na.fill("und", ["lang"]), 0).collect()
+    assert {(r.lang, r.word): r.f for r in found} == want and len(found) == len(want)
+
+
 def test_hashes_that_meet_are_taken_anew(docs, corpus, monkeypatch):
     real = phrases.vocabulary
 
